@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import packing, sharding, token_files, warc
 
-MODULES = [token_files, packing]
+MODULES = [token_files, packing, sharding, warc]
 
 
 def queries() -> dict:
