@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_files, warc
+from . import decontamination, packing, sharding, token_files, warc
 
-MODULES = [token_files, packing, sharding, warc]
+MODULES = [token_files, packing, sharding, decontamination, warc]
 
 
 def queries() -> dict:
