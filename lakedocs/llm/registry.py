@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding, token_files, warc
+from . import decontamination, packing, sharding, simhash, token_files, warc
 
-MODULES = [token_files, packing, sharding, decontamination, warc]
+MODULES = [token_files, packing, sharding, decontamination, warc, simhash]
 
 
 def queries() -> dict:
