@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, packing, sharding, simhash, token_files, warc
+from . import decontamination, jaccard, lines, packing, sharding, simhash, token_files, warc
 
-MODULES = [token_files, packing, sharding, jaccard, decontamination, warc, simhash]
+MODULES = [token_files, packing, sharding, jaccard, lines, decontamination, warc, simhash]
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +38,28 @@ def forget(df: DataFrame) -> None:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
         if "/lakedocs/" in folder.toString():
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``_key``, a long unique to each row: the id itself, or where ids are null or
+    repeated, a number in input order, fixed by writing the rows once."""
+    docs = docs.drop("_key")
+    ids = docs.select(F.col(id_col).cast("long").alias("k"))
+    twice = ids.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
+    if twice.isEmpty():
+        return docs.withColumn("_key", F.col(id_col).cast("long"))
+    return written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
+def numbered(pairs: DataFrame, order: list[str], weight: str) -> DataFrame:
+    """``pairs`` with ``before``: the sum of ``weight`` over all rows that sort earlier.
+
+    Ranges are summed apart and their totals added up, so no task sees all rows. The rows of
+    ``pairs`` must differ in the columns ``order``.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(pairs.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    parts = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # a row for each range
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return cut.join(F.broadcast(parts), "_part").withColumn("before", F.col("_base") + F.sum(weight).over(inside) - F.col(weight)).drop("_part", "_base")
