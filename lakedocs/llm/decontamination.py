@@ -67,7 +67,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     """(documents, spans).
 
     documents: row_key, doc_id, n_words, a row for each row of ``docs``, written.
-    spans: row_key, start, end (words, end excluded), item_id, of the verified windows.
+    spans: row_key, doc_id, start, end (words, end excluded), item_id, of the verified windows.
 
     Words are maximal runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
     Null text has no words; so has an item of null text, which matches nothing. Ids may be null
@@ -118,7 +118,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     verified = seen.groupBy("row_key", "twin", "start", "len", "n_shingles").agg(F.countDistinct("place").alias("got")).filter("got = n_shingles")
     items_of = same.join(placed.select("window_id", "item_id").distinct(), "window_id").select("twin", "item_id").distinct()
     spans = verified.select("row_key", "twin", "start", (F.col("start") + F.col("len")).alias("end"))
-    return scanned.select("row_key", "doc_id", "n_words"), written(spans.join(items_of, "twin").select("row_key", "start", "end", "item_id"), "spans")
+    documents = scanned.select("row_key", "doc_id", "n_words")
+    found = spans.join(items_of, "twin").join(documents.drop("n_words"), "row_key")
+    return documents, written(found.select("row_key", "doc_id", "start", "end", "item_id"), "spans")
 
 
 def report(documents: DataFrame, spans: DataFrame) -> DataFrame:
