@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import written
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
+from .wordhash import slices
 
 PIECES = "row_key long, doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long"
 
@@ -168,9 +169,9 @@ def pieces(docs: DataFrame, tokenizer: str, blanks: str, end: int | None, size:
     def cut(batches):
         enc, task, seen, row = encoder(tokenizer, blanks), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low in range(0, len(texts), 256):
-                ids, sizes = enc.encode(texts[low : low + 256], end)
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for low, high in slices(texts, TEXT_BYTES):
+                ids, sizes = enc.encode(texts[low:high], end)
                 raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
                 for k, n in enumerate(sizes.tolist()):
                     for piece, start in enumerate(range(0, n, size)):

@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import new_path, written
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
+from .wordhash import slices
 
 MAX_BITS = 20
 CHECKPOINT_EVERY = 128
@@ -132,12 +133,12 @@ def tokenized(docs: DataFrame, tokenizer: str, blanks: str, end: int | None, id_
         press = zstandard.ZstdCompressor(level=1)
         enc = encoder(tokenizer, blanks)
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
-            for low in range(0, len(texts), 256):
-                ids, sizes = enc.encode(texts[low : low + 256], end)
+            names, texts = batch.column(0), batch.column(1)
+            for low, high in slices(texts, TEXT_BYTES):
+                ids, sizes = enc.encode(texts[low:high], end)
                 cut = np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1])
                 packed = [press.compress(x.astype("<u2").tobytes() if len(x) == 0 or x.max() < 65536 else b"4" + x.tobytes()) for x in cut]
-                yield pa.RecordBatch.from_arrays([names[low : low + 256], pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([names[low:high], pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, schema)
 
