@@ -8,8 +8,9 @@
 3. Answers come in stars. Each list names a leader; sets are compared with the leaders they
    meet most, so near copies join one group after one comparison each, not one for each pair.
 4. What is left are sets of different groups that meet in a list. Lists are read in blocks by
-   set size, so blocks that cannot hold a partner are skipped, and pairs are decided from the
-   answers of a common leader where its overlaps leave no doubt:
+   set size, and blocks that cannot hold a partner are skipped: a set's shingles that no other
+   set has bound its partners' sizes. Pairs are decided from the answers of a common leader
+   where its overlaps leave no doubt:
    |x & z| >= |x & y| + |y & z| - |y|,  |x & z| <= |x & y| + |z| - |y & z|.
    Only the pairs still in doubt are compared shingle by shingle.
 
@@ -90,7 +91,8 @@ def describe(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
 
 
 def index_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, set_id, n): the rarest shingles of each set that may have a partner. Written.
+    """(token, set_id, n, own): the rarest shingles of each set that may have a partner, and the
+    share of its sample that it has alone. Written.
 
     reps: set_id, n_shingles, tokens.
     """
@@ -102,7 +104,8 @@ def index_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
     kept = F.expr(f"n - {size} + 1 + n div 12 - ({size} div 12)")  # sampled - need + 1
     lone = F.expr(f"n - {size} + 1 + n div 12") - F.count(F.lit(1)).over(by_set)
     ranked = met.withColumn("lone", lone).withColumn("rank", F.row_number().over(by_set.orderBy("df", "token")))
-    return written(ranked.filter(F.col("rank") <= kept - F.col("lone")).select("token", "set_id", "n"), "lists")
+    chosen = ranked.filter(F.col("rank") <= kept - F.col("lone"))
+    return written(chosen.select("token", "set_id", "n", (F.col("lone") / F.expr(f"n - {size} + 1 + n div 12")).alias("own")), "lists")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,7 +165,9 @@ def _link(docs, rows, lists, k, num, den, id_col, text_col) -> DataFrame:
     answers = None
     for r in range(ROUNDS):
         named = lists.join(comps, "set_id")
-        draw = F.struct(F.xxhash64("set_id", F.lit(r)), "set_id", "comp")
+        # First the sets with the least of their own: originals, which copies resemble more than
+        # they resemble one another. Then any.
+        draw = F.struct(F.col("own") if r == 0 else F.lit(0.0), F.xxhash64("set_id", F.lit(r)), "set_id", "comp")
         leaders = named.groupBy("token").agg(F.min(draw).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", F.col("l.set_id").alias("b"), F.col("l.comp").alias("other"))
         met = named.join(leaders, "token").filter("comp <> other").groupBy(F.col("set_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
         if answers is not None:
@@ -177,15 +182,7 @@ def _link(docs, rows, lists, k, num, den, id_col, text_col) -> DataFrame:
         answers = got if answers is None else answers.unionByName(got)
     answers = written(answers, "answers")
 
-    # Blocks of an index list: set sizes by powers of 1/threshold; partners are in the same or the next block.
-    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("long") if num < den else F.col("n")
-    named = lists.join(comps, "set_id")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    named = written(named.join(mixed, "token").withColumn("block", block), "mixed")
-    left = named.select("token", "block", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-    right = named.select("token", F.explode(F.array("block", F.col("block") + 1, F.col("block") - 1)).alias("block"), F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    pairs = left.join(right, ["token", "block"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
-    pairs = pairs.select("a", "b", "n_a", "n_b").distinct()
+    pairs = _across(lists.join(comps, "set_id"), sets, num, den)
     asked = answers.select("a", "b").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = pairs.join(asked, ["a", "b"], "left_anti")
 
@@ -200,6 +197,39 @@ def _link(docs, rows, lists, k, num, den, id_col, text_col) -> DataFrame:
     return _merge(comps, sure.unionByName(found))
 
 
+def _across(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, n_a, n_b), a < b: sets of different groups that meet in a list and may be similar.
+
+    A set can share no more than what of it any other set has too, ``s`` of its n shingles; so a
+    partner has at most s * (num + den) / num - n shingles. For an edited copy that is fewer than
+    its original and all its other copies have, and their blocks of the list are skipped. The
+    largest group of a list is not compared with itself: every pair has a set outside it.
+    """
+    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    named = written(named.join(mixed, "token").select("token", "set_id", "n", "comp"), "mixed")
+
+    def items(batches):
+        for batch in batches:
+            parts = [np.frombuffer(v, np.int64) for v in batch.column(1).to_pylist()]
+            owner = np.repeat(np.asarray(batch.column(0)), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))], ["set_id", "item"])
+
+    rows = sets.join(named.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "items").mapInArrow(items, "set_id long, item long")
+    often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item")
+    shared = rows.join(often, "item").groupBy("set_id").agg(F.count(F.lit(1)).alias("s"))
+    low, high = F.ceil(F.col("n") * num / den - 1e-9), F.floor(F.least(F.col("n") * den / num, F.coalesce("s", F.lit(0)) * (num + den) / num - F.col("n")) + 1e-9)
+    named = named.join(shared, "set_id", "left").withColumn("lo", low).withColumn("hi", high).filter("lo <= hi")
+    named = written(named.select("token", "set_id", "n", "comp", "lo", "hi"), "feasible")
+    largest = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token", F.col("m.comp").alias("largest"))
+    named = named.join(largest, "token")
+    block = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(1.02)) + 1e-9).cast("int")
+    left = named.filter("comp <> largest").select("token", F.explode(F.sequence(block("lo"), block("hi"))).alias("block"), F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
+    right = named.select("token", block("n").alias("block"), F.col("set_id").alias("z"), F.col("n").alias("n_z"), F.col("comp").alias("c_z"), F.col("lo").alias("lo_z"), F.col("hi").alias("hi_z"))
+    met = left.join(right, ["token", "block"]).filter("c_x <> c_z and n_z between lo_x and hi_x and n_x between lo_z and hi_z")
+    first = F.col("x") < F.col("z")
+    return met.select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_z")).alias("n_a"), F.when(first, F.col("n_z")).otherwise(F.col("n_x")).alias("n_b")).distinct()
+
+
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     ends = [comps.select(F.col("set_id").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab"]
     edges = links.select("a", "b").join(ends[0], "a").join(ends[1], "b").select("c_a", "c_b").filter("c_a <> c_b")
