@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import queries_reports, queries_search
+
 FLAGSHIP = "K5_keyword_topk"
-MODULES: list = []
+MODULES: list = [queries_reports, queries_search]
 
 
 def queries() -> dict:
