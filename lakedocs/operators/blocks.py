@@ -169,7 +169,7 @@ def with_header_chain(artifacts: DataFrame) -> DataFrame:
     for k, ok in enumerate(valid):
         depth = F.when(ok, k + 1).otherwise(depth)
     chain = F.slice(F.array(*[F.when(ok, text).otherwise("") for ok, (_, text) in zip(valid, last, strict=True)]), F.lit(1), F.col("_depth"))
-    own = F.when(F.col("type") == "header", F.least("_depth", F.coalesce("level", F.lit(1)) - 1)).otherwise(F.col("_depth"))
+    own = F.when(F.col("type") == "header", F.coalesce("level", F.lit(1)) - 1).otherwise(F.col("_depth"))
     return artifacts.withColumn("_depth", depth).withColumn("_depth", own).withColumn("headers", chain).drop("_depth")
 
 

@@ -122,7 +122,7 @@ def extract_line_items(blocks: DataFrame) -> DataFrame:
     number = lambda p, t: F.regexp_replace(value(p), ",", "").try_cast(t)
     out = base.filter(F.size(F.filter("c", lambda x: x != "")) >= 2)
     out = out.select(F.col("doc_id").alias("invoice_id"), "n", value(column("description", "item")).alias("description"), number(column("qty", "quantity"), "decimal(14,4)").alias("qty"), number(column("unit price", "price"), "decimal(14,4)").alias("unit_price"), number(column("amount", "total"), "decimal(14,2)").alias("amount"))
-    return out.filter("coalesce(description, qty, unit_price, amount) is not null")
+    return out.filter("description is not null or qty is not null or unit_price is not null or amount is not null")
 
 
 def extract_contracts(blocks: DataFrame) -> DataFrame:
