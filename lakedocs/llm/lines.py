@@ -104,13 +104,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, id_col
     text = F.col(text_col).cast("string")
     parts = F.split(text, "\n")
     kept = F.filter(parts, lambda line, i: (F.trim(line) == "") | ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"])))
-    joined = docs.join(by_doc, docs["_key"] == by_doc["_k"], "left").withColumn("_kept", F.when(F.col("_runs").isNotNull(), kept))
+    joined = docs.join(by_doc.hint("merge"), docs["_key"] == by_doc["_k"], "left").withColumn("_kept", F.when(F.col("_runs").isNotNull(), kept)).withColumn("_n", F.size(parts))
     return joined.withColumns({
         "n_lines": F.coalesce(F.when(text.isNotNull(), F.size(parts)), F.lit(0)).cast("long"),
         "n_deleted": F.coalesce(F.size(parts) - F.when(F.col("_kept").isNotNull(), F.size("_kept")), F.lit(0)).cast("long"),
-        "longest_run": F.coalesce(F.array_max(F.transform("_runs", lambda r: F.least(r["end"], F.size(parts)) - r["start"])), F.lit(0)).cast("long"),
+        "longest_run": F.coalesce(F.array_max(F.transform("_runs", lambda r: F.least(r["end"], F.col("_n")) - r["start"])), F.lit(0)).cast("long"),
         text_col: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(text),
-    }).drop("_key", "_k", "_runs", "_kept")
+    }).drop("_key", "_k", "_runs", "_kept", "_n")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
