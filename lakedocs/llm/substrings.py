@@ -104,7 +104,7 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN, min_bytes: int = MIN_BYT
     # Bytes between the spans, in order; spans lie at character bounds.
     raw = F.encode(text, "UTF-8")
     keep = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.decode(F.substring(raw, F.when(i == 0, 1).otherwise(F.get("_spans", i - 1)["end"] + 1), F.greatest(F.lit(0), F.when(i == F.size("_spans"), F.length(raw)).otherwise(F.get("_spans", i)["start"]) - F.when(i == 0, 0).otherwise(F.get("_spans", i - 1)["end"]))), "UTF-8"))
-    joined = docs.join(by_doc, docs["_key"] == by_doc["_k"], "left")
+    joined = docs.join(by_doc.hint("merge"), docs["_key"] == by_doc["_k"], "left")
     return joined.withColumns({
         "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
         "removed_bytes": F.coalesce(F.aggregate("_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]), F.lit(0)).cast("long"),
