@@ -132,7 +132,10 @@ def write_warc(pages: DataFrame, path: str, least: int = 1000, id_col: str = "pa
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    some = rows.filter(F.col("payload_bytes") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id", "payload_digest")).limit(SAMPLE_ROWS).collect()  # SAMPLE_ROWS * SAMPLE_BYTES at most
+    # Which records: by narrow rows, so that tasks send the driver no payloads but the sample's.
+    order = rows.filter(F.col("payload_bytes") <= SAMPLE_BYTES).select(F.xxhash64("page_id", "payload_digest").alias("h"), F.col("page_id").alias("p"), F.col("payload_digest").alias("d"))
+    chosen = F.broadcast(order.orderBy("h").limit(SAMPLE_ROWS).select("p", "d").distinct())  # SAMPLE_ROWS rows
+    some = rows.join(chosen, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d"))).dropDuplicates(["page_id", "payload_digest"]).orderBy("payload_digest").collect()  # SAMPLE_ROWS * SAMPLE_BYTES at most
     words = train([record(r["page_id"], r["url"], bytes(r["payload"]), r["payload_digest"], r["payload_bytes"], None) for r in some])
     shared = spark.sparkContext.broadcast(words)  # DICTIONARY_BYTES at most
 
