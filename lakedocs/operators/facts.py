@@ -107,6 +107,10 @@ def extract_invoices(blocks: DataFrame) -> DataFrame:
     return t.select(F.col("doc_id").alias("invoice_id"), F.get(lines, F.lit(0)).alias("vendor"), F.nullif(F.regexp_extract("t", NUMBER, 1), F.lit("")).alias("invoice_number"), date.alias("invoice_date"), F.coalesce(_labelled_date(r"due\s*date"), _labelled_date("due")).alias("due_date"), value.alias("total"), F.upper(F.nullif(F.regexp_extract("t", CURRENCY, 1), F.lit(""))).alias("currency"))
 
 
+def _holds(word: str):
+    return lambda x: x.contains(word)
+
+
 def extract_line_items(blocks: DataFrame) -> DataFrame:
     """(invoice_id, n, description, qty, unit_price, amount) of each document's first table."""
     first = blocks.filter("type = 'table'").groupBy("doc_id").agg(F.min_by("text", "pos").alias("t"))
@@ -115,7 +119,7 @@ def extract_line_items(blocks: DataFrame) -> DataFrame:
     base = first.select("doc_id", cells(F.lower(F.get(rows, F.lit(0)))).alias("h"), F.posexplode(F.slice(rows, 2, 100_000)).alias("n", "r")).select("doc_id", "h", "n", cells(F.col("r")).alias("c"))
 
     def column(*names):
-        spots = [F.array_position(F.transform("h", lambda x, w=w: x.contains(w)), True) for w in names]
+        spots = [F.array_position(F.transform("h", _holds(w)), True) for w in names]
         return F.coalesce(*[F.when(p > 0, p) for p in spots])
 
     value = lambda p: F.when(p <= F.size("c"), F.get("c", (p - 1).cast("int")))
