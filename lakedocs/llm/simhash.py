@@ -13,6 +13,8 @@ from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .shared import written
+
 LANES = 0x0001000100010001
 RUN, HEAVIEST = 4096, 7
 
@@ -110,13 +112,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = followed(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))"), F.substring("next_text", F.lit(1), half)))
-    facts = both.select("row_key", "next_key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    texts = both.select("row_key", F.posexplode(F.array("text", "edited")).alias("which", "body"))
-    prints = fingerprints(texts, ["row_key", "which"], "body")
-    prints = prints.groupBy("row_key").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fp"))
-    from .shared import written
-
-    known = written(facts.join(prints, "row_key"), "simhash")
+    # One pass over the texts: what is known of a document rides along as part of its key.
+    facts = ["row_key", "next_key", "doc_id", "n_chars", "edited_sha256"]
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    texts = both.select(*facts, F.posexplode(F.array("text", "edited")).alias("which", "body"))
+    prints = fingerprints(texts, [*facts, "which"], "body")
+    own, other = [F.max(F.when(F.col("which") == k, F.col("fingerprint"))) for k in (0, 1)]
+    known = written(prints.groupBy(*facts).agg(own.alias("fp"), other.alias("edited_fp")), "simhash")
     following = known.select(F.col("row_key").alias("next_key"), F.col("fp").alias("next_fp"))
     # A search asks for the documents whose id is divisible by 100, against all.
     own = known.select("row_key", "doc_id", F.col("fp").alias("fingerprint"))
