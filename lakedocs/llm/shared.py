@@ -30,16 +30,6 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/lakedocs/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``_key``, a long unique to each row: the id itself, or where ids are null or
     repeated, a number in input order, fixed by writing the rows once."""
