@@ -18,7 +18,7 @@ from .wordhash import _BASE, _BASE_INV, _BYTE, LOWER, NON_BLANK, _power, mix, sl
 
 BITS = 18
 SAMPLE_PER_GRADE = 2000
-ROUNDS, PENALTY = 150, 1e-3
+ROUNDS, PENALTY, STEP = 250, 1e-3, 0.1
 
 
 @dataclass
@@ -53,19 +53,46 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
+def _runs(bound: np.ndarray, most: int = 256):
+    """Runs of texts, so that what a step needs follows neither the sample nor its texts' lengths."""
+    return ((lo, min(lo + most, len(bound) - 1)) for lo in range(0, len(bound) - 1, most))
+
+
+def _by_text(w: np.ndarray, code: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each text's features."""
+    out = np.zeros(len(bound) - 1)
+    for lo, hi in _runs(bound):
+        total = np.concatenate([[0], np.cumsum(w[code[bound[lo] : bound[hi]]])])
+        at = bound[lo : hi + 1] - bound[lo]
+        out[lo:hi] = total[at[1:]] - total[at[:-1]]
+    return out
+
+
+def _by_feature(d_score: np.ndarray, code: np.ndarray, bound: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for lo, hi in _runs(bound):
+        out += np.bincount(code[bound[lo] : bound[hi]], np.repeat(d_score[lo:hi], np.diff(bound[lo : hi + 1])), n)
+    return out
+
+
 def train(texts: pa.Array, grades: np.ndarray, share: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
     """``share``: each text's weight. Features of fewer than three texts are left out."""
     n, top = len(grades), int(grades.max())
-    parts = []
+    counts, rows = [], []
     for lo, hi in slices(texts):
         t, f = features(texts[lo:hi])
-        parts.append((t + lo) << BITS | f)
-    both = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    text, code = both >> BITS, both & ((1 << BITS) - 1)
+        counts.append(np.bincount(t, minlength=hi - lo))
+        rows.append(f.astype(np.int32))
+    code = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    sizes = np.concatenate(counts) if counts else np.zeros(n, np.int64)
+    del rows
     often = np.bincount(code, minlength=1 << BITS) >= 3
-    text, code = text[often[code]], code[often[code]]
-    used, code = np.unique(code, return_inverse=True)
+    used = np.flatnonzero(often)
+    keep = often[code]
+    text = np.repeat(np.arange(n, dtype=np.int32), sizes)[keep]
+    code = (np.cumsum(often, dtype=np.int32) - 1)[code[keep]]
     bound = np.searchsorted(text, np.arange(n + 1))
+    del text, keep
     w, seen = np.zeros(len(used)), np.full(len(used), 1e-12)
     share = share / share.sum()
     cum = np.array([share[grades <= k].sum() for k in range(top)]).clip(1e-3, 1 - 1e-3)
@@ -73,8 +100,7 @@ def train(texts: pa.Array, grades: np.ndarray, share: np.ndarray, rounds: int =
     gaps, gap_seen = np.concatenate([t[:1], np.log(np.diff(t).clip(1e-2))]), np.full(top, 1e-12)
     for _ in range(rounds):
         cuts = np.concatenate([gaps[:1], gaps[:1] + np.cumsum(np.exp(gaps[1:]))])
-        total = np.concatenate([[0], np.cumsum(w[code])])
-        score = total[bound[1:]] - total[bound[:-1]]
+        score = _by_text(w, code, bound)
         p = Model(w, cuts).below(score)
         full = np.concatenate([np.zeros((n, 1)), p, np.ones((n, 1))], 1)
         rows = np.arange(n)
@@ -84,13 +110,13 @@ def train(texts: pa.Array, grades: np.ndarray, share: np.ndarray, rounds: int =
         d_score = share * (slope[rows, grades + 1] - slope[rows, grades]) / prob
         d_cut = np.array([-(share * slope[:, k + 1] * ((grades == k) * 1.0 - (grades == k + 1)) / prob).sum() for k in range(top)])
         d_gap = np.array([d_cut.sum(), *[np.exp(gaps[k]) * d_cut[k:].sum() for k in range(1, top)]])
-        g = np.bincount(code, np.repeat(d_score, np.diff(bound)), len(used))
+        g = _by_feature(d_score, code, bound, len(used))
         seen += g * g
-        step = 0.3 / np.sqrt(seen)
+        step = STEP / np.sqrt(seen)
         w = w - step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         gap_seen += d_gap * d_gap
-        gaps = gaps - 0.3 / np.sqrt(gap_seen) * d_gap
+        gaps = gaps - STEP / np.sqrt(gap_seen) * d_gap
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w
     return Model(weights, np.concatenate([gaps[:1], gaps[:1] + np.cumsum(np.exp(gaps[1:]))]))
@@ -143,7 +169,7 @@ def scored(docs: DataFrame, model: Model | None, tail: int, text_col: str = "tex
     return docs.withColumn("_rated", rate(F.col(text_col).cast("string"))).withColumn("expected_grade", F.col("_rated.expected_grade")).withColumn("tail_probability", F.col("_rated.tail_probability")).drop("_rated")
 
 
-GOOD, KEEP_FROM = 2, 0.3
+GOOD, KEEP_FROM = 2, 0.4
 
 
 def label_grade() -> Column:
