@@ -260,6 +260,24 @@ def test_substrings(spark):
     assert substrings.dedup_substrings(table(spark, [])).count() == 0
 
 
+def test_substrings_short_and_periodic(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(51) for _ in range(40)]
+    beat = "the " * 400 + text(51)
+    rows = [(i, f"{text(20)} {p} {text(20)}") for i, p in enumerate(passages)]
+    rows += [(100 + i, f"{text(1 + i)} {p} {text(41 - i)}") for i, p in enumerate(passages)]
+    rows += [(200, f"{text(30)} {beat} {text(30)}"), (201, f"{text(9)} {beat} {text(9)}")]
+    out = {x["doc_id"]: x for x in substrings.dedup_substrings(table(spark, rows)).collect()}
+    assert all(out[i]["removed_bytes"] == 0 for i in range(40))
+    assert all(len(p) <= out[100 + i]["removed_bytes"] <= len(p) + 6 for i, p in enumerate(passages))
+    assert len(beat) <= out[201]["removed_bytes"] <= len(beat) + 6
+    # A chunk in periodic text is bounded too.
+    raw, at = wordhash.text_bytes(pa.array(["the " * 5000, "Nd, " * 5000, "a" * 9000, "é" * 500]))
+    assert np.diff(substrings.cut_points(raw, at), prepend=0).max() <= 4 * substrings.MEAN
+
+
 def test_wordhash():
     texts = pa.array(["A b", None, "", "é A", "b a b " * 500])
     h, s, e, first = wordhash.words(texts, wordhash.NON_BLANK)
