@@ -26,7 +26,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of lines deleted; a document that loses its last words goes."""
     out = lines.dedup_lines(docs)
-    return _documents(out.filter((F.col("n_deleted") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")))
+    return _documents(out.filter((F.col("n_deleted") == 0) | F.coalesce("text", F.lit("")).rlike(r"[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]")))
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

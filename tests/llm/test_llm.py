@@ -307,3 +307,11 @@ def test_pipeline(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+
+
+def test_pipeline_drops_emptied_copies(spark, sf):
+    body = "a first line that is long enough to be deleted\n\n\t\n\u00a0\r\nand a second line that is long enough as well\n\n"
+    rows = [(i, body, "en", "s", len(body)) for i in range(5)] + [(9, "\n \n", "en", "s", 3), (10, "\n\nword", "en", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.unrepeated_lines(spark, docs, sf).collect()}
+    assert out == {0: body, 9: "\n \n", 10: "\n\nword"}
