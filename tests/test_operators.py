@@ -151,3 +151,11 @@ def test_streams(spark, sf, tmp_path):
     q = streams.rate_guard_stream(live, 1, "1000 days").writeStream.outputMode("complete").format("memory").queryName("guard").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("guard").agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_lsh_recall(spark, sf):
+    from lakedocs import catalog
+
+    found = {(r["query_id"], r["chunk_id"]) for r in catalog.queries()["V6_vector_topk_lsh"](spark, sf).collect()}
+    true = {(r["query_id"], r["chunk_id"]) for r in catalog.queries()["V5_vector_topk"](spark, sf).collect()}
+    assert len(found & true) >= 0.9 * len(true)
