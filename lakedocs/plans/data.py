@@ -50,6 +50,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 8), " ").alias("q"), none.alias("doc_ids"), none.alias("types"), F.lit(None).cast("int").alias("date_last_days"))
 
 
+def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions, and some that name a month, an invoice number, and a number of days."""
+    q = questions(spark, sf_dir)
+    more = [(-1, "invoices of March 1996", None), (-2, "total for invoice INV-1996-1", None), (-3, "license and rights", 30)]
+    none = F.array().cast("array<string>")
+    asked = spark.createDataFrame(more, "query_id long, q string, date_last_days int")
+    return q.unionByName(asked.select(F.col("query_id").cast(q.schema["query_id"].dataType), "q", none.alias("doc_ids"), none.alias("types"), "date_last_days"))
+
+
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return B.with_spans(B.artifacts_to_blocks(B.text_to_artifacts(d, "line")))

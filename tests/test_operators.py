@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -159,3 +160,41 @@ def test_lsh_recall(spark, sf):
     found = {(r["query_id"], r["chunk_id"]) for r in catalog.queries()["V6_vector_topk_lsh"](spark, sf).collect()}
     true = {(r["query_id"], r["chunk_id"]) for r in catalog.queries()["V5_vector_topk"](spark, sf).collect()}
     assert len(found & true) >= 0.9 * len(true)
+
+
+def search_tables(spark, d):
+    """Documents, questions and invoices of a small corpus."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    docs = [(i, "\n".join(" ".join(r.choice(vocab) for _ in range(150)) for _ in range(24)), "en", f"src{i % 3}", 0) for i in range(1, 25)]
+    orders = [(k, 1, dt.date(1996, 3, k) if k < 9 else dt.date(2001, 1, k - 8), 5.0) for k in range(1, 23)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, docs[i][1][:400]) for i in range(3)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1, "c")], "c_custkey long, c_name string").write.parquet(f"{d}/customer.parquet")
+
+
+def test_search_vector_expands(spark, tmp_path):
+    """Vector search with its graph, against every pair of question and chunk."""
+    from lakedocs.operators import vectors as V
+    from lakedocs.plans import data as D, queries_search as Q, search as S
+
+    d = str(tmp_path)
+    search_tables(spark, d)
+    c = Q.corpus(spark, d)
+    q = D.search_questions(spark, d)
+    q = q.join(V.hash_embed(q, "query_id", "q", 64), "query_id")
+    found = {(x["query_id"], x["chunk_id"]): x["score"] for x in S.search_vector(q, c, 10, F.lit(D.NOW).cast("timestamp")).collect()}
+    of = {x["chunk_id"]: x["doc_id"] for x in c.chunks.filter("cast(doc_id as int) <> 17").select("chunk_id", "doc_id").collect()}
+    vec = {x["chunk_id"]: x["embedding"] for x in c.index.collect()}
+    want = {}
+    for x in q.collect():
+        cos = {k: sum(a * b for a, b in zip(x["embedding"], vec[k])) for k in of}
+        top = sorted(of, key=lambda k: (-round(cos[k], 9), k))[:60]
+        want |= {(x["query_id"], k): cos[k] for k in top}
+        for hit in top[:10]:
+            for k in of:
+                if of[k] == of[hit] and k not in top:
+                    want.setdefault((x["query_id"], k), 0.6 * cos[hit])
+    assert len(of) > 60 and len(want) > 60 * q.count()
+    assert set(found) == set(want) and all(abs(found[k] - v) < 1e-5 for k, v in want.items())
