@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset and all of Spark runs in this
+    process, as in tests, a folder of our own; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lakedocs-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,10 +33,30 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of one key are no burden to a task.
+FEW = 256
+
+
+def spread_join(left: DataFrame, counts: DataFrame, on: list[str], how: str = "inner", parts: int = 500, sizes=None) -> DataFrame:
+    """``left`` joined with ``counts``, which has a row for each key and ``n``, the key's rows of ``left``.
+
+    Keys with more than a share of ``1 / parts`` of these rows (and more than ``FEW``) are fewer
+    than ``parts``, whatever the input: those are broadcast, and the rest have no hot key to
+    shuffle. Both sides may be read twice: pass written tables. ``how``: inner, or left (``counts`` has no key of null). ``sizes``:
+    the sum and the largest ``n``, if known.
+    """
+    total, most = sizes or counts.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= max(FEW, (total or 0) // parts):
+        return left.join(counts, on, how)
+    is_hot = (F.col("n") * parts > total) & (F.col("n") > FEW)
+    hot, rest = counts.filter(is_hot), counts.filter(~is_hot)  # hot: fewer than ``parts`` rows
+    apart = left.join(F.broadcast(hot), on)
+    return apart.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``_key``, a long unique to each row: the id itself, or where ids are null or
     repeated, a number in input order, fixed by writing the rows once."""
-    docs = docs.drop("_key")
     ids = docs.select(F.col(id_col).cast("long").alias("k"))
     twice = ids.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
     if twice.isEmpty():

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_registered_queries(spark, sf):
         assert len(ours), name
         if name in registry.oracle_sql():
             theirs = con.sql(registry.oracle_sql()[name]).df()
-            key = lambda d: Counter(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
+            key = lambda d: Counter(tuple("" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
             assert sorted(ours.columns) == sorted(theirs.columns) and key(ours) == key(theirs), name
 
 
@@ -168,19 +169,6 @@ def test_components(spark):
     assert components.least_labels(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_lines(spark):
-    long = "a long line that is repeated as it stands, and more"
-    rows = [(1, f"x\n{long}\nend"), (2, f"{long}\nx\nother"), (3, "s1\ns2\nnew"), (4, "old\ns1\ns2"), (5, "s2\nzz"), (6, None), (7, ""), (8, "\n\n"), (9, "t\nt\nt"), (10, "s1\ns2\nnew")]
-    out = {r["doc_id"]: r for r in lines.dedup_lines(table(spark, rows)).collect()}
-    text = {i: r["text"] for i, r in out.items()}
-    assert text == {1: f"x\n{long}\nend", 2: "x\nother", 3: "s1\ns2\nnew", 4: "old", 5: "s2\nzz", 6: None, 7: "", 8: "\n\n", 9: "t", 10: ""}
-    assert out[10]["n_deleted"] == 3 and out[10]["longest_run"] == 3 and out[6]["n_lines"] == 0 and out[1]["shard"] == "s"
-    assert lines.dedup_lines(table(spark, ODD)).count() == len(ODD)
-    assert lines.dedup_lines(table(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        lines.dedup_lines(table(spark, rows), 3).count()
-
-
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(14))
     items = spark.createDataFrame([(1, item), (2, "Only three words"), (3, None), (4, item), (10, "")], "item_id long, text string")
