@@ -7,12 +7,17 @@
    two similar sets still meet in a list. Most sets share no rare shingle and are done.
 3. Answers come in stars. Each list names a leader; sets are compared with the leaders they
    meet most, so near copies join one group after one comparison each, not one for each pair.
-4. What is left are sets of different groups that meet in a list. Lists are read in blocks by
-   set size, and blocks that cannot hold a partner are skipped: a set's shingles that no other
-   set has bound its partners' sizes. Pairs are decided from the answers of a common leader
-   where its overlaps leave no doubt:
-   |x & z| >= |x & y| + |y & z| - |y|,  |x & z| <= |x & y| + |z| - |y & z|.
-   Only the pairs still in doubt are compared shingle by shingle.
+   Of the leaders that a set has been compared with, the one with most sets is its own: ``y``.
+4. Sets of one leader answer each other from their answers with it (``_within``). What two of
+   them share is either in the leader or not, so
+   |x & z| <= min(|x & y|, |z & y|) + |(x - y) & (z - y)|.
+   Pairs without a common shingle outside the leader need the first part alone: a join by size
+   that skips what is too large or too small. The others meet in lists of what sets have beside
+   their leader: lists of at most ``OFTEN`` sets in full, longer ones by size again.
+5. Sets of different leaders and groups that meet in an index list are left (``_across``). Lists
+   are read in blocks by set size, and blocks that cannot hold a partner are skipped: a set's
+   shingles that no other set has bound its partners' sizes.
+   The pairs of 4 and 5 that no bound rules out are compared shingle by shingle.
 
 No link between different sets is lost, and no group is expanded into its pairs.
 """
@@ -21,14 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .components import least_labels
-from .shared import written
+from .shared import keyed, spread_join, written
 from .wordhash import NON_BLANK, mix, shingles, slices, whole, words
 
 ROUNDS, LEADERS = 3, 2
+#: A shingle of more sets of one leader makes sets of their own, whose sizes are compared first.
+OFTEN = 64
 
 
 def _ceil(n, num: int, den: int):
@@ -69,24 +75,23 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(row_key, doc_id, n_shingles, low, high, tokens): set size, 128-bit signature, sample. Written."""
+    """(row_key, doc_id, n_shingles, low, high, tokens): set size, 128-bit signature, sample. Written.
+
+    ``docs`` has ``_key``, which differs in all rows."""
     schema = "row_key long, doc_id long, n_shingles long, low long, high long, tokens array<long>"
 
     def scan(batches):
-        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                h, text = _sets(batch.column(1)[lo:hi], k)
+            for lo, hi in slices(batch.column(2)):
+                h, text = _sets(batch.column(2)[lo:hi], k)
                 at = np.searchsorted(text, np.arange(hi - lo + 1))
                 n = np.diff(at)
                 kept = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(sampled(n, num, den), n)
                 bound = np.concatenate([[0], np.cumsum(kept)])[at]
                 tokens = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(h[kept].view(np.int64)))
-                keys = pa.array((task << 40) + row + np.arange(hi - lo))
-                row += hi - lo
-                yield pa.RecordBatch.from_arrays([keys, batch.column(0)[lo:hi], pa.array(n), pa.array(_sums(mix(h), at)), pa.array(_sums(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)), tokens], ["row_key", "doc_id", "n_shingles", "low", "high", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(n), pa.array(_sums(mix(h), at)), pa.array(_sums(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)), tokens], ["row_key", "doc_id", "n_shingles", "low", "high", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select("_key", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(scan, schema), "sets")
 
 
@@ -137,15 +142,17 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     links and ``first_key`` the row key of the group's row to keep (least doc_id, then row key).
 
     Null or empty text, and text of white space, has an empty set and no links, not even to its
-    like. Ids may be null (the least of a group ignores them) or repeated. Other columns are
-    not read. An empty table has no rows.
+    like. Ids may be null (the least of a group ignores them) or repeated: rows are told apart by
+    ``row_key``, which is the id where ids are unique. Other columns are not read. An empty table
+    has no rows.
     """
-    rows = describe(docs, k, num, den, id_col, text_col)
+    docs = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    rows = describe(docs, k, num, den, "doc_id", "text")
     sig = ["low", "high", "n_shingles"]
     equal = written(rows.filter("n_shingles > 0").groupBy(*sig).agg(F.min("row_key").alias("set_id"), F.min("doc_id").alias("least")), "equal")
     first = rows.join(equal.select(F.col("set_id").alias("row_key")), "row_key", "left_semi")
     lists = index_lists(first.select(F.col("row_key").alias("set_id"), "n_shingles", "tokens"), num, den)
-    comps = _link(docs, rows, lists, k, num, den, id_col, text_col)
+    comps = _link(docs, rows, lists, k, num, den)
 
     label = F.coalesce("comp", "set_id")
     sets = equal.join(comps, "set_id", "left").select(*sig, "set_id", "least", label.alias("comp"))
@@ -157,10 +164,10 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     return out.select("row_key", "doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first_key", "row_key").alias("first_key"))
 
 
-def _link(docs, rows, lists, k, num, den, id_col, text_col) -> DataFrame:
+def _link(docs, rows, lists, k, num, den) -> DataFrame:
     """(set_id, comp) of the sets that are in an index list."""
     nodes = lists.select("set_id").distinct()
-    sets = _load(docs, rows.join(nodes.withColumnRenamed("set_id", "row_key"), "row_key", "left_semi"), k, id_col, text_col)
+    sets = _load(docs, rows.join(nodes.withColumnRenamed("set_id", "row_key"), "row_key", "left_semi"), k)
     comps = written(nodes.withColumn("comp", F.col("set_id")), "comps")
     answers = None
     for r in range(ROUNDS):
@@ -181,32 +188,114 @@ def _link(docs, rows, lists, k, num, den, id_col, text_col) -> DataFrame:
         comps = _merge(comps, got.filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)))
         answers = got if answers is None else answers.unionByName(got)
     answers = written(answers, "answers")
-
-    pairs = _across(lists.join(comps, "set_id"), sets, num, den)
-    asked = answers.select("a", "b").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = pairs.join(asked, ["a", "b"], "left_anti")
-
-    # Derive answers from those of a common leader.
-    of_a = answers.select("a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("common").alias("o_a"))
-    of_b = answers.select(F.col("a").alias("b"), F.col("b").alias("y"), F.col("common").alias("o_b"))
-    bounds = pairs.join(of_a, "a").join(of_b, ["b", "y"]).groupBy("a", "b").agg(F.max(F.col("o_a") + F.col("o_b") - F.col("n_y")).alias("lower"), F.min(F.least(F.col("o_a") + F.col("n_b") - F.col("o_b"), F.col("o_b") + F.col("n_a") - F.col("o_a"))).alias("upper"))
-    known = written(pairs.join(bounds, ["a", "b"], "left"), "bounds")
-    sure = known.filter(_similar(F.col("lower"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
-    doubt = known.filter(F.coalesce(~_similar(F.col("lower"), F.col("n_a"), F.col("n_b"), num, den) & _similar(F.col("upper"), F.col("n_a"), F.col("n_b"), num, den), F.lit(True)))
-    found = overlaps(doubt, sets).filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
-    return _merge(comps, sure.unionByName(found))
+    led, facts = _beside(_led(answers, comps), sets)
+    # The most central set of each leader's may resemble those that the leader doesn't.
+    central = led.groupBy("y").agg(F.max(F.struct(2 * F.col("shared") - F.col("n"), "set_id")).alias("m")).select("y", F.col("m.set_id").alias("b"))
+    asked = led.filter("apart").join(central, "y").filter("set_id <> b and y <> b").select(F.col("set_id").alias("a"), "b")
+    got = written(overlaps(asked, sets), "answers")
+    comps = _merge(comps, got.filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)))
+    answers = answers.unionByName(got)
+    lead = comps.select(F.col("set_id").alias("y"), F.col("comp").alias("comp_y"))
+    led = led.drop("comp", "apart").join(comps, "set_id").join(lead, "y").withColumn("apart", F.col("comp") != F.col("comp_y")).drop("comp_y")
+    led = written(led, "led")
+    named = lists.join(comps, "set_id").join(led.select("set_id", F.col("y").alias("lead")), "set_id", "left").withColumn("lead", F.when(F.col("lead").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("lead").alias("of"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("comp").alias("of"))))
+    pairs = _within(led, facts, num, den).unionByName(_across(named, sets, num, den)).distinct()
+    asked = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = overlaps(written(pairs.join(asked, ["a", "b"], "left_anti"), "doubt"), sets)
+    return _merge(comps, found.filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)))
+
+
+def _led(answers: DataFrame, comps: DataFrame) -> DataFrame:
+    """(set_id, comp, n, y, shared, apart): each compared set with its leader, what the two share and
+    whether they are of different groups. Sets of which the leader has less than half have none. Written."""
+    size = answers.groupBy("b").agg(F.count(F.lit(1)).alias("sets"))
+    near = answers.filter("2 * common >= n_a").join(size, "b")
+    best = near.groupBy("a").agg(F.max(F.struct("sets", "b", "common", "n_a")).alias("m")).select(F.col("a").alias("set_id"), F.col("m.b").alias("y"), F.col("m.common").alias("shared"), F.col("m.n_a").alias("n"))
+    lead = comps.select(F.col("set_id").alias("y"), F.col("comp").alias("comp_y"))
+    own = best.join(comps, "set_id").join(lead, "y")
+    return written(own.select("set_id", "comp", "n", "y", "shared", (F.col("comp") != F.col("comp_y")).alias("apart")), "led")
+
+
+def _block(c: str) -> Column:
+    """Sizes in steps of a fiftieth."""
+    return F.floor(F.log(F.col(c).cast("double")) / float(np.log(1.02)) + 1e-9).cast("int")
+
+
+def _beside(led: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(led, facts). led: with ``many``, the shingles that a set has beside its leader and that many other
+    sets of the leader have too; facts: (set_id, y, item, kind), the shingles beside the leader
+    that several of its sets have. Written."""
+    some = led.join(led.filter("apart").select("y").distinct(), "y")
+
+    # What each set has beside its leader. What most sets have counts to the leader from here on: it
+    # may be an edited copy itself, and the bounds hold for any set.
+    def beside(batches):
+        for batch in batches:
+            x = [np.frombuffer(v, np.uint64) for v in batch.column(2).to_pylist()]
+            y = [np.frombuffer(v, np.uint64) for v in batch.column(3).to_pylist()]
+            items = [np.setdiff1d(u, v, assume_unique=True) for u, v in zip(x, y, strict=True)]
+            n = [len(u) for u in items]
+            own, lead = (np.repeat(np.asarray(batch.column(k)), n) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(lead, pa.int64()), pa.array(np.concatenate(items).view(np.int64) if items else np.empty(0, np.int64))], ["set_id", "y", "item"])
+
+    texts = some.select("set_id", "y").join(sets.select("set_id", F.col("items").alias("x")), "set_id").join(sets.select(F.col("set_id").alias("y"), F.col("items").alias("of_y")), "y")
+    rows = written(texts.select("set_id", "y", "x", "of_y").mapInArrow(beside, "set_id long, y long, item long"), "beside")
+    met = rows.groupBy("y", "item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = some.groupBy("y").agg(F.count(F.lit(1)).alias("sets"))
+    met = written(met.join(sizes, "y").select("y", "item", "n", F.when(F.col("n") * 2 > F.col("sets"), "most").when(F.col("n") > OFTEN, "many").otherwise("few").alias("kind")), "met")
+    facts = written(spread_join(rows, met, ["y", "item"]), "facts")
+    more = facts.groupBy("set_id").agg(F.count_if(F.col("kind") == "most").alias("most"), F.count_if(F.col("kind") == "many").alias("many"))
+    none = F.lit(0)
+    some = some.join(more, "set_id", "left").withColumn("shared", F.col("shared") + F.coalesce("most", none)).withColumn("many", F.coalesce("many", none)).drop("most")
+    some = written(some, "led")
+
+    return some, facts
+
+
+def _within(led: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: sets of one leader, but of different groups, that may be similar.
+
+    One of the two at least is not of the leader's group; it is on the left of each join.
+    """
+    some = written(led.join(led.filter("apart").select("y").distinct(), "y"), "led")
+
+    # In the leader: what both share with it is enough for sets of no more than ``hi`` shingles.
+    # Pairs that have a shingle of many sets, too, meet once more among those sets.
+    def inside(rows: DataFrame, keys: list[str], shared: Column) -> DataFrame:
+        hi = F.floor(F.least(F.col("n") * den / num, shared * (num + den) / num - F.col("n")) + 1e-9)
+        rows = rows.withColumn("lo", F.ceil(F.col("n") * num / den - 1e-9)).withColumn("hi", hi).filter("lo <= hi")
+        cols = ["set_id", "comp", "n", "lo", "hi"]
+        left = rows.filter("apart").select(*keys, *[F.col(c).alias(f"{c}_x") for c in cols]).withColumn("block", F.explode(F.sequence(_block("lo_x"), _block("hi_x"))))
+        right = rows.withColumn("block", _block("n")).select(*keys, "block", *[F.col(c).alias(f"{c}_z") for c in cols])
+        return left.join(right, [*keys, "block"]).filter("comp_x <> comp_z and n_z between lo_x and hi_x and n_x between lo_z and hi_z")
+
+    base = inside(some, ["y"], F.col("shared"))
+    among = inside(facts.filter("kind = 'many'").select("set_id", "item").join(some, "set_id"), ["y", "item"], F.col("shared") + F.col("many"))
+
+    # Beside it: pairs that share such shingles, and how many.
+    facts = facts.filter("kind = 'few'").select("set_id", "y", "item").join(some.select("set_id", "comp", "n", (F.col("shared") + F.col("many")).alias("shared"), "apart"), "set_id")
+    x = facts.filter("apart").select("y", "item", *[F.col(c).alias(f"{c}_x") for c in ("set_id", "comp", "n", "shared")])
+    z = facts.select("y", "item", *[F.col(c).alias(f"{c}_z") for c in ("set_id", "comp", "n", "shared")])
+    fits = (F.col("n_x") * num <= F.col("n_z") * den) & (F.col("n_z") * num <= F.col("n_x") * den)
+    both = x.join(z, ["y", "item"]).filter((F.col("comp_x") != F.col("comp_z")) & fits)
+    counted = both.groupBy("set_id_x", "set_id_z").agg(F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in ("n_x", "n_z", "shared_x", "shared_z")])
+    needed = F.ceil((F.col("n_x") + F.col("n_z")) * num / (num + den) - 1e-9)  # what similar sets share
+    outside = counted.filter(F.least("shared_x", "shared_z") + F.col("c") >= needed)
+    ends = [F.least("set_id_x", "set_id_z").alias("a"), F.greatest("set_id_x", "set_id_z").alias("b")]
+    return base.select(*ends).unionByName(among.select(*ends)).unionByName(outside.select(*ends)).distinct()
 
 
 def _across(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, n_a, n_b), a < b: sets of different groups that meet in a list and may be similar.
+    """(a, b), a < b: sets of different groups and leaders that meet in a list and may be similar.
+    (``lead`` is a set's leader, or its group where that is settled.)
 
     A set can share no more than what of it any other set has too, ``s`` of its n shingles; so a
     partner has at most s * (num + den) / num - n shingles. For an edited copy that is fewer than
     its original and all its other copies have, and their blocks of the list are skipped. The
-    largest group of a list is not compared with itself: every pair has a set outside it.
+    sets of a list's commonest leader are not compared with each other: they are on the right.
     """
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    named = written(named.join(mixed, "token").select("token", "set_id", "n", "comp"), "mixed")
+    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("lead").alias("y"), F.max("lead").alias("z")).filter("lo < hi and y < z").select("token")
+    named = written(named.join(mixed, "token").select("token", "set_id", "n", "comp", "lead"), "mixed")
 
     def items(batches):
         for batch in batches:
@@ -219,15 +308,14 @@ def _across(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     shared = rows.join(often, "item").groupBy("set_id").agg(F.count(F.lit(1)).alias("s"))
     low, high = F.ceil(F.col("n") * num / den - 1e-9), F.floor(F.least(F.col("n") * den / num, F.coalesce("s", F.lit(0)) * (num + den) / num - F.col("n")) + 1e-9)
     named = named.join(shared, "set_id", "left").withColumn("lo", low).withColumn("hi", high).filter("lo <= hi")
-    named = written(named.select("token", "set_id", "n", "comp", "lo", "hi"), "feasible")
-    largest = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token", F.col("m.comp").alias("largest"))
+    named = written(named.select("token", "set_id", "n", "comp", "lead", "lo", "hi"), "feasible")
+    largest = named.groupBy("token", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "lead")).alias("m"), F.count(F.lit(1)).alias("leads")).filter("leads > 1").select("token", F.col("m.lead").alias("largest"))
     named = named.join(largest, "token")
-    block = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(1.02)) + 1e-9).cast("int")
-    left = named.filter("comp <> largest").select("token", F.explode(F.sequence(block("lo"), block("hi"))).alias("block"), F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
-    right = named.select("token", block("n").alias("block"), F.col("set_id").alias("z"), F.col("n").alias("n_z"), F.col("comp").alias("c_z"), F.col("lo").alias("lo_z"), F.col("hi").alias("hi_z"))
-    met = left.join(right, ["token", "block"]).filter("c_x <> c_z and n_z between lo_x and hi_x and n_x between lo_z and hi_z")
-    first = F.col("x") < F.col("z")
-    return met.select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_z")).alias("n_a"), F.when(first, F.col("n_z")).otherwise(F.col("n_x")).alias("n_b")).distinct()
+    cols = ["set_id", "n", "comp", "lead", "lo", "hi"]
+    left = named.filter("lead <> largest").select("token", F.explode(F.sequence(_block("lo"), _block("hi"))).alias("block"), *[F.col(c).alias(f"{c}_x") for c in cols])
+    right = named.select("token", _block("n").alias("block"), *[F.col(c).alias(f"{c}_z") for c in cols])
+    met = left.join(right, ["token", "block"]).filter("comp_x <> comp_z and lead_x <> lead_z and n_z between lo_x and hi_x and n_x between lo_z and hi_z")
+    return met.select(F.least("set_id_x", "set_id_z").alias("a"), F.greatest("set_id_x", "set_id_z").alias("b")).distinct()
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,22 +325,18 @@ def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(comps.join(labels, "comp", "left").select("set_id", F.coalesce("label", "comp").alias("comp")), "comps")
 
 
-def _load(docs, wanted, k, id_col, text_col) -> DataFrame:
+def _load(docs, wanted, k) -> DataFrame:
     """(set_id, items): whole sets, as sorted unsigned longs, of the rows ``wanted``. Written."""
 
     def read(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(3)):
-                h, text = _sets(batch.column(3)[lo:hi], k)
+            for lo, hi in slices(batch.column(1)):
+                h, text = _sets(batch.column(1)[lo:hi], k)
                 at = np.searchsorted(text, np.arange(hi - lo + 1))
-                low, high = _sums(mix(h), at), _sums(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                same = np.flatnonzero((low == np.asarray(batch.column(1)[lo:hi])) & (high == np.asarray(batch.column(2)[lo:hi])))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(same)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())], ["set_id", "items"])
-
-    keys = wanted.select(F.col("row_key").alias("set_id"), "low", "high", F.col("doc_id").alias("_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).cast("string").alias("text"))
-    found = keys.join(texts, F.col("_id").eqNullSafe(F.col("_own"))).select("set_id", "low", "high", "text").mapInArrow(read, "set_id long, items binary")
-    return written(found.dropDuplicates(["set_id"]), "items")
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["set_id", "items"])
+
+    texts = docs.select(F.col("_key").alias("row_key"), "text").join(wanted.select("row_key"), "row_key", "left_semi")
+    return written(texts.mapInArrow(read, "set_id long, items binary"), "items")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakedocs.llm import components, decontamination, jaccard, lines, packing, quality, registry, sharding, simhash, substrings, token_files, tokens, warc, wordhash
-from lakedocs.llm.shared import new_path
+from lakedocs.llm.shared import keyed, new_path
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, shard string, n_lines string, _x int"
@@ -162,6 +162,45 @@ def test_jaccard(spark):
     assert jaccard.groups(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("often", [2, 64])
+def test_jaccard_edited_copies(spark, monkeypatch, often):
+    """A large group of edited copies, most of them under the bound, whose edits meet by chance."""
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    r = random.Random(11)
+    base = [r.choice(WORDS) + str(r.randrange(90)) for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        w = list(base)
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(len(w))] = r.choice("of the a".split())
+        if r.random() < 0.2:
+            del w[r.randrange(50) :][: r.randrange(9)]
+        if r.random() < 0.3:
+            w += "a passage that many of them have at the end".split()
+        rows.append((i, " ".join(w)))
+    out = jaccard.groups(table(spark, rows), 4, 85, 100).toPandas().set_index("doc_id")["component_id"].to_dict()
+    sets = {i: brute_sets(t, 4) for i, t in rows}
+    label = {i: i for i in sets}
+    find = lambda x: x if label[x] == x else find(label[x])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    assert out == {i: find(i) for i in sets} and 5 < len(set(out.values())) < 115
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    """Rows are joined by a key of their own: texts read again are as many as sets that need it."""
+    near = " ".join(w for _, t in some(3, 8, 50) for w in t.split())
+    rows = [(None, f"{near} {i % 7}") for i in range(60)] + [(5, f"{near} x{i % 7}") for i in range(60)]
+    docs = keyed(table(spark, rows))
+    sets = jaccard.describe(docs, 4, 85, 100, "doc_id", "text")
+    assert jaccard._load(docs, sets.select("row_key"), 4).count() == len(rows)
+    out = jaccard.groups(table(spark, rows)).toPandas()
+    assert len(out) == len(rows) and set(out["component_id"]) == {5} and out["row_key"].is_unique
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 99), (7, 7), (None, 3)]
     got = {r["node"]: r["label"] for r in components.least_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
