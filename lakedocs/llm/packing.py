@@ -1,10 +1,12 @@
 """Packing documents into sequences of fixed length by fitted length patterns.
 
 The histogram of piece lengths is small whatever the corpus holds, so the plan is made from it
-alone: patterns of one to three lengths that fill a sequence are fitted to the histogram by
-non-negative least squares, the repeat counts are rounded down to what the histogram can give,
-and the pieces left over are packed best fit first, again by length and count. Spark then deals
-the pieces out by their rank among those of equal length.
+alone. Patterns are the ways in which one to three pieces fill a sequence, or come as near to it as
+the lengths allow: at most ``size ** 2 / 6`` of them, all enumerated. Repeat counts are fitted to
+the histogram by non-negative least squares and rounded in order of size, up as long as the
+histogram has the pieces, so the patterns carry nearly all of it. What is left is packed best
+fit, again by length and count. Spark then deals the pieces out by their rank among those of
+equal length.
 """
 
 from __future__ import annotations
@@ -24,25 +26,19 @@ from .wordhash import slices
 PIECES = "row_key long, doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long"
 
 
-def enumerate_patterns(lengths: np.ndarray, size: int, most: int = 400_000) -> np.ndarray:
-    """Patterns (rows of three lengths, 0 for none) whose sum is ``size``, or for at most three
-    documents as near to it as the lengths allow.
-
-    With more than ``most`` patterns, the first length of triples goes in even steps: the fit
-    has fewer columns, and what it leaves is packed as residual.
-    """
+def enumerate_patterns(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Patterns (rows of three lengths, falling, 0 for none) whose sum is ``size``, or for at most
+    three pieces as near to it as the lengths allow. Every one of them, however many lengths occur."""
     have = np.zeros(size + 1, bool)
     have[lengths] = True
     near = np.maximum.accumulate(np.where(have, np.arange(size + 1), 0))  # the longest length at most so
     desc = np.sort(lengths)[::-1].astype(np.int64)
     out = [np.stack([desc[desc == size], *[np.zeros((desc == size).sum(), np.int64)] * 2], 1)]
-    two = near[size - desc[desc < size]]
     a = desc[desc < size]
+    two = near[size - a]
     ok = (two > 0) & (two <= a)
     out.append(np.stack([a[ok], two[ok], np.zeros(ok.sum(), np.int64)], 1))
-    first = a[a * 3 >= size - 2]
-    step = max(1, len(first) * len(desc) // (2 * most))
-    for x in first[::step]:
+    for x in a[a * 3 >= size - 2]:
         b = desc[(desc <= x) & (desc < size - x)]
         c = near[size - x - b]
         good = (c > 0) & (c <= b)
@@ -78,31 +74,51 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.nd
     return x
 
 
-def plan(histogram: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
-    """(repeats, lengths) of sequences that use up the histogram exactly."""
+def rounded(patterns: np.ndarray, repeats: np.ndarray, histogram: np.ndarray) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
+    """(sequences of the patterns, what is left of the histogram): full patterns first, the largest
+    repeat counts first; each count is rounded up as far as the histogram has the pieces."""
+    left = histogram.tolist()
+    out: list[tuple[int, tuple[int, ...]]] = []
+    some = np.flatnonzero(repeats > 1e-6)
+    order = some[np.lexsort((some, -repeats[some], -patterns[some].sum(1)))]
+    for (a, b, c), x in zip(patterns[order].tolist(), np.ceil(repeats[order] - 1e-6).astype(np.int64).tolist(), strict=True):
+        n = min(x, left[a] // (1 + (a == b) + (a == c)))
+        if b and n:
+            n = min(n, left[b] // (1 + (a == b) + (b == c)))
+        if c and n:
+            n = min(n, left[c] // (1 + (a == c) + (b == c)))
+        if n > 0:
+            kinds = tuple(v for v in (a, b, c) if v)
+            for v in kinds:
+                left[v] -= n
+            out.append((n, kinds))
+    return out, np.array(left, np.int64)
+
+
+def plan(histogram: np.ndarray, slack: float = 0.001) -> list[tuple[int, tuple[int, ...], bool]]:
+    """(repeats, lengths, fitted) of sequences that use up the histogram exactly.
+
+    Full patterns waste nothing, and no more than ``slack`` of a sequence is given away by the
+    others; where the pieces left would still need more sequences than best fit alone, a smaller
+    share of each repeat count is used.
+    """
     size = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    out: list[tuple[int, tuple[int, ...]]] = []
-    if left[size]:
-        out.append((int(left[size]), (size,)))
-        left[size] = 0
     lengths = np.flatnonzero(left)
-    if len(lengths):
-        patterns = enumerate_patterns(lengths, size)
-        # Only patterns that fill the sequence are taken as they are; others are left to best fit.
-        patterns = patterns[patterns.sum(1) == size]
-        repeats = np.floor(fit(patterns, left) + 1e-9).astype(np.int64)
-        for k in np.argsort(-repeats, kind="stable"):
-            if repeats[k] <= 0:
-                break
-            p = patterns[k][patterns[k] > 0]
-            kinds, each = np.unique(p, return_counts=True)
-            n = int(min(repeats[k], (left[kinds] // each).min()))
-            if n > 0:
-                left[kinds] -= n * each
-                out.append((n, tuple(int(v) for v in p)))
-    return out + best_fit(left)
+    if not len(lengths):
+        return []
+    alone = best_fit(left)
+    least = sum(n for n, _ in alone)
+    patterns = enumerate_patterns(lengths, size)
+    patterns = patterns[patterns.sum(1) >= size - int(slack * size)]
+    repeats = fit(patterns, left)
+    for share in (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25):
+        whole, rest = rounded(patterns, repeats, (left * share).astype(np.int64))
+        others = best_fit(rest + left - (left * share).astype(np.int64))
+        if sum(n for n, _ in whole) + sum(n for n, _ in others) <= least:
+            return [(n, ls, True) for n, ls in whole] + [(n, ls, False) for n, ls in others]
+    return [(n, ls, False) for n, ls in alone]
 
 
 def best_fit(left: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
@@ -191,7 +207,9 @@ _TYPES = [pa.int64() if x.endswith("long") else pa.int32() for x in PIECES.split
 
 
 def pack(docs: DataFrame, tokenizer: str, blanks: str = "whole", end: int | None = None, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+    """(row_key, doc_id, piece, start, length, ids_crc32, sequence_id, offset, fitted).
+
+    ``fitted``: whether the sequence is of a fitted pattern, or of the pieces left over.
 
     Null text counts as empty. A document without ids (no end id) has no piece. Ids may be null
     or repeat: each row is a document of its own, told apart by ``row_key``. Pieces of equal
@@ -209,15 +227,15 @@ def pack(docs: DataFrame, tokenizer: str, blanks: str = "whole", end: int | None
     # Ranges of ranks, all lengths one after the other; a range is a slot of a pattern.
     floor = np.cumsum(histogram) - histogram
     used, base, ranges = floor.copy(), 0, []
-    for repeats, lengths in made:
+    for repeats, lengths, fitted in made:
         offset = 0
         for length in lengths:
-            ranges.append((int(used[length]), base, offset))
+            ranges.append((int(used[length]), base, offset, int(fitted)))
             used[length] += repeats
             offset += length
         base += repeats
     assert (used == floor + histogram).all(), "the plan doesn't use every piece once"
-    table = np.array(sorted(ranges), np.int64).reshape(-1, 3)
+    table = np.array(sorted(ranges), np.int64).reshape(-1, 4)
     shared = spark.sparkContext.broadcast((floor, table))  # its size follows ``size``, not the corpus
 
     over = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -231,9 +249,9 @@ def pack(docs: DataFrame, tokenizer: str, blanks: str = "whole", end: int | None
             at = np.searchsorted(table[:, 0], rank, "right") - 1
             keep = [got[c] for c in ("row_key", "doc_id", "piece", "start", "length", "ids_crc32")]
             keep[4] = keep[4].cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(table[at, 1] + rank - table[at, 0]), pa.array(table[at, 2])], ["row_key", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(table[at, 1] + rank - table[at, 0]), pa.array(table[at, 2]), pa.array(table[at, 3] == 1)], ["row_key", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fitted"])
 
-    return cut.join(before, ["length", "task"]).mapInArrow(place, "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return cut.join(before, ["length", "task"]).mapInArrow(place, "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fitted boolean")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

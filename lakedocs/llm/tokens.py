@@ -1,10 +1,17 @@
-"""Encoding whole texts with the tokenizers library, once for each distinct blank-separated piece.
+"""Encoding whole texts with the tokenizers library, once for each distinct piece of many texts.
 
-Cutting a text at single blanks between non-blank characters does not change its ids for
-tokenizers whose pre-tokenizer starts a token at such a blank (byte-level BPE) or drops white
-space (word BPE); any other text is encoded whole. Nor does cutting between a letter and the
-ASCII signs after it, which are never of one token. The memory of pieces is bounded: it starts
-anew when full, which changes speed and never ids.
+Texts are handled in slices of ``TEXT_BYTES``; each is cut into pieces, every distinct piece of a
+slice goes through the library once, and the texts' ids are put together from them. A cut must
+not change the ids. It is made
+
+* at a blank between characters that aren't white space, for tokenizers whose pre-tokenizer
+  starts a token at such a blank (byte-level BPE, ``lead``) or drops white space (word BPE,
+  ``drop``); a text with other white space beside a blank is encoded whole under ``lead``;
+* between a letter and the ASCII signs that end a piece, which are never of one token. The letter
+  is of the Latin blocks up to U+024F but U+0130: their lower case and their composed forms are
+  one letter again. (U+0130 becomes i and a mark, and marks merge with the signs after them.)
+
+Memory follows the slice and its largest text, not the corpus: nothing is kept between slices.
 """
 
 from __future__ import annotations
@@ -18,19 +25,41 @@ import pyarrow.compute as pc
 #: A blank beside other white space, as Unicode has it.
 _ODD_BLANK = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 #: Texts encoded together.
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 16 << 20
 _SIGNS = ".,!?;:*&%$#|"
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_TAILED = f"[{_LATIN}][.,!?;:*&%$#|]+$"
+_WORD = f"^[{_LATIN}]+$"
+
+
+class _Table:
+    """Ids of strings, one after the other; entry 0 has none."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encoder, self.sizes, self.parts, self.n = encoder, [np.zeros(1, np.int64)], [np.empty(0, np.uint32)], 1
+
+    def add(self, strings: pa.Array) -> int:
+        """The entry of the first of ``strings``; the others follow."""
+        base, (sizes, ids) = self.n, self.encoder.learn(strings)
+        self.sizes.append(sizes)
+        self.parts.append(ids)
+        self.n += len(strings)
+        return base
+
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.concatenate(self.sizes).astype(np.int32)
+        return sizes, (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32), np.concatenate(self.parts)
 
 
 class PieceEncoder:
     """Ids of texts as uint32 arrays. ``blanks``: 'lead' if a blank belongs to the piece after
     it, 'drop' if blanks have no ids, 'whole' to cut nothing."""
 
-    def __init__(self, path: str, blanks: str, most: int = 800_000):
+    def __init__(self, path: str, blanks: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.blanks, self.most = blanks, most
+        self.blanks = blanks
         plain = [(k, x.content) for k, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.single_word)]
         self.mark_id, self.mark = max(plain, default=(None, None))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -38,91 +67,91 @@ class PieceEncoder:
         self.closes = self.opens.copy()
         for token, k in vocabulary.items():
             self.opens[k], self.closes[k] = token.startswith("Ġ"), token.endswith("</w>")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # no piece: no ids
-        self.pairs: dict[str, dict[str, int]] = {" ": {}, "": {}}
-        self.starts = np.zeros(1 << 16, np.int32)
-        self.lengths = np.zeros(1 << 16, np.int32)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, pieces: list[str], n: np.ndarray, ids: np.ndarray) -> None:
-        base, total = len(self.known), len(ids)
-        while base + len(pieces) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = ids
-        self.lengths[base : base + len(pieces)] = n
-        self.starts[base : base + len(pieces)] = self.used + np.cumsum(n) - n
-        self.used += total
-        self.known.update(zip(pieces, range(base, base + len(pieces)), strict=True))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Many pieces go through the library as one text and are told apart by their first
-        token (a leading blank), their last (a word's end) or a special token between them."""
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._whole(texts)
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
+
+    def learn(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids). Many strings go through the library as one text and are
+        told apart by their first token (a leading blank), their last (a word's end) or a special
+        token between them."""
+        if not len(strings):
+            return np.empty(0, np.int64), np.empty(0, np.uint32)
         if self.blanks == "lead":
-            easy = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[-1].isspace()]
+            easy = pc.match_substring_regex(strings, r"^ [^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$")
         else:
-            easy = [p for p in pieces if p.isalpha()]
-        apart = set(easy)
-        hard = [p for p in pieces if p not in apart]
-        for part, joint in [*((x, "" if self.blanks == "lead" else " ") for x in _parts(easy)), *((x, self.mark) for x in _parts(hard))]:
+            easy = pc.match_substring_regex(strings, _WORD)
+        apart = np.asarray(easy.cast(pa.uint8())).astype(bool)
+        parts = [self._joined(strings.filter(easy), "" if self.blanks == "lead" else " "), self._joined(strings.filter(pc.invert(easy)), self.mark)]
+        if apart.all() or not apart.any():
+            return parts[0] if apart.all() else parts[1]
+        sizes = np.empty(len(strings), np.int64)
+        sizes[apart], sizes[~apart] = parts[0][0], parts[1][0]
+        of = np.repeat(apart, sizes)
+        ids = np.empty(len(of), np.uint32)
+        ids[of], ids[~of] = parts[0][1], parts[1][1]
+        return sizes, ids
+
+    def _joined(self, strings: pa.Array, joint: str | None, n: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+        sizes, all_ids = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for low in range(0, len(strings), n):
+            part = strings[low : low + n].to_pylist()
+            found = None
             if joint is not None:
                 ids = np.array(self._whole([joint.join(part)])[0], np.uint32)
                 if joint == self.mark:
-                    first = np.flatnonzero(ids == self.mark_id)
-                    n, ids = np.diff(first, prepend=-1, append=len(ids)) - 1, np.delete(ids, first)
+                    at = np.flatnonzero(ids == self.mark_id)
+                    size, ids = np.diff(at, prepend=-1, append=len(ids)) - 1, np.delete(ids, at)
                 elif joint == " ":
-                    n = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+                    size = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
                 else:
-                    n = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
-                if len(n) == len(part) and n.sum() == len(ids):
-                    self._store(part, n, ids)
-                    continue
-            found = self._whole(part)  # one of them has signs that the tokenizer takes for others
-            self._store(part, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
-
-    def _codes(self, pieces: list[str], lead: str) -> np.ndarray:
-        """Two codes a piece: its words and the signs after them."""
-        memo = self.pairs[lead]
-        new = [p for p in pieces if p not in memo]
-        cores, tails = [], []
-        for p in new:
-            core = p.rstrip(_SIGNS)
-            if len(core) < len(p) and core[-1:].isalpha():
-                cores.append(lead + core)
-                tails.append(p[len(core) :])
-            else:
-                cores.append(lead + p)
-                tails.append("")
-        self._learn(list({x for x in chain(cores, tails) if x not in self.known}))
-        get = self.known.__getitem__
-        memo.update(zip(new, (a << 32 | b for a, b in zip(map(get, cores), map(get, tails), strict=True)), strict=True))
-        both = np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))
-        return np.stack([both >> 32, both & 0xFFFFFFFF], 1)
+                    size = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+                if len(size) == len(part) and size.sum() == len(ids):
+                    found = size, ids
+            if found is None:  # one of them has signs that the tokenizer takes for others
+                found = self._each(part)
+            sizes.append(found[0])
+            all_ids.append(found[1])
+        return np.concatenate(sizes), np.concatenate(all_ids)
+
+    def _codes(self, pieces: pa.Array, lead: str, table: _Table) -> np.ndarray:
+        """Two entries a piece: its words and the signs after them."""
+        tailed = pc.match_substring_regex(pieces, _TAILED)
+        cores = pc.if_else(tailed, pc.utf8_rtrim(pieces, characters=_SIGNS), pieces)
+        cut = np.asarray(pc.subtract(pc.binary_length(pieces), pc.binary_length(cores)))
+        coded = cores.dictionary_encode()
+        words = pc.binary_join_element_wise(pa.scalar(lead), coded.dictionary, pa.scalar("")) if lead else coded.dictionary
+        codes = np.zeros((len(pieces), 2), np.int32)
+        codes[:, 0] = table.add(words) + np.asarray(coded.indices)
+        for k in np.unique(cut[cut > 0]).tolist():  # lengths of the signs
+            rows = np.flatnonzero(cut == k)
+            tails = pc.utf8_slice_codeunits(pieces.take(pa.array(rows)), -k).dictionary_encode()
+            codes[rows, 1] = table.add(tails.dictionary) + np.asarray(tails.indices)
+        return codes
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of texts that may be cut at blanks."""
-        if len(self.known) > self.most:
-            self._clear()
         lists = pc.split_pattern(texts, " ")
         at = np.asarray(lists.offsets).astype(np.int64)
         at -= at[0]
         coded = lists.flatten().dictionary_encode()
-        index, pieces = np.asarray(coded.indices), coded.dictionary.to_pylist()
-        codes = self._codes(pieces, " ") if self.blanks == "lead" else self._codes(pieces, "")
-        size = self.lengths[codes].sum(1)[index]
+        del lists
+        index, pieces, table = np.asarray(coded.indices), coded.dictionary, _Table(self)
         if self.blanks == "lead":
             some = at[:-1][np.diff(at) > 0]
             first, back = np.unique(index[some], return_inverse=True)
-            lone = self._codes([pieces[k] for k in first], "")
-            size[some] = self.lengths[lone].sum(1)[back]
+            lone = self._codes(pieces.take(pa.array(first)), "", table)
+            codes = self._codes(pieces, " ", table)
+        else:
+            codes = self._codes(pieces, "", table)
+        sizes, starts, flat = table.close()
+        size = sizes[codes].sum(1)[index]
+        if self.blanks == "lead":
+            size[some] = sizes[lone].sum(1)[back]
         # A row of pieces is gathered in runs that stay in the processor's cache.
         out = []
         for low in range(0, len(index), 1 << 15):
@@ -130,16 +159,14 @@ class PieceEncoder:
             if self.blanks == "lead":
                 a, b = np.searchsorted(some, (low, low + len(words)))
                 words[some[a:b] - low] = lone[back[a:b]]
-            out.append(self._gather(words.ravel()))
+            words = words.ravel()
+            n = sizes[words]
+            end = np.cumsum(n, dtype=np.int32)
+            out.append(flat[np.repeat(starts[words] - (end - n), n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)])
         ids = np.concatenate(out) if out else np.empty(0, np.uint32)
-        bound = np.concatenate([[0], np.cumsum(size)])[at]
+        bound = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[at]
         return ids, np.diff(bound)
 
-    def _gather(self, words: np.ndarray) -> np.ndarray:
-        n = self.lengths[words]
-        end = np.cumsum(n, dtype=np.int32)
-        return self.flat[np.repeat(self.starts[words] - (end - n), n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
-
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids), ``end`` appended to each text; null is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -160,15 +187,11 @@ class PieceEncoder:
         return ids, sizes
 
 
-def _parts(pieces: list[str], n: int = 5_000):
-    return (pieces[k : k + n] for k in range(0, len(pieces), n))
-
-
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
 def encoder(path: str, blanks: str) -> PieceEncoder:
-    """One encoder a Python worker, kept between tasks."""
+    """One encoder a Python worker, kept between tasks: the tokenizer, no texts."""
     if (path, blanks) not in _encoders:
         _encoders[path, blanks] = PieceEncoder(path, blanks)
     return _encoders[path, blanks]
