@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .components import least_labels
-from .shared import keyed, spread_join, written
+from .shared import keyed, release, spread_join, written
 from .wordhash import NON_BLANK, mix, shingles, slices, whole, words
 
 ROUNDS, LEADERS = 3, 2
@@ -152,6 +152,7 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     equal = written(rows.filter("n_shingles > 0").groupBy(*sig).agg(F.min("row_key").alias("set_id"), F.min("doc_id").alias("least")), "equal")
     first = rows.join(equal.select(F.col("set_id").alias("row_key")), "row_key", "left_semi")
     lists = index_lists(first.select(F.col("row_key").alias("set_id"), "n_shingles", "tokens"), num, den)
+    release(docs.sparkSession)
     comps = _link(docs, rows, lists, k, num, den)
 
     label = F.coalesce("comp", "set_id")
@@ -174,9 +175,10 @@ def _link(docs, rows, lists, k, num, den) -> DataFrame:
         named = lists.join(comps, "set_id")
         # First the sets with the least of their own: originals, which copies resemble more than
         # they resemble one another. Then any.
-        draw = F.struct(F.col("own") if r == 0 else F.lit(0.0), F.xxhash64("set_id", F.lit(r)), "set_id", "comp")
-        leaders = named.groupBy("token").agg(F.min(draw).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", F.col("l.set_id").alias("b"), F.col("l.comp").alias("other"))
-        met = named.join(leaders, "token").filter("comp <> other").groupBy(F.col("set_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+        draw = F.struct(F.col("own") if r == 0 else F.lit(0.0), F.xxhash64("set_id", F.lit(r)), "set_id", "comp", "n")
+        leaders = named.groupBy("token").agg(F.min(draw).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", F.col("l.set_id").alias("b"), F.col("l.comp").alias("other"), F.col("l.n").alias("n_b"))
+        # A leader of twice or half the size says nothing.
+        met = named.join(leaders, "token").filter("comp <> other and n <= 2 * n_b and n_b <= 2 * n").groupBy(F.col("set_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
         if answers is not None:
             met = met.join(answers.select("a", "b"), ["a", "b"], "left_anti")
         asked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).filter(F.col("rank") <= LEADERS)
@@ -187,7 +189,9 @@ def _link(docs, rows, lists, k, num, den) -> DataFrame:
             break
         comps = _merge(comps, got.filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)))
         answers = got if answers is None else answers.unionByName(got)
+        release(docs.sparkSession)
     answers = written(answers, "answers")
+    release(docs.sparkSession)
     led, facts = _beside(_led(answers, comps), sets)
     # The most central set of each leader's may resemble those that the leader doesn't.
     central = led.groupBy("y").agg(F.max(F.struct(2 * F.col("shared") - F.col("n"), "set_id")).alias("m")).select("y", F.col("m.set_id").alias("b"))

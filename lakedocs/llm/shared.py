@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go once the driver's collector finds that nothing refers to them, by default
+    every half hour. Called after a step that has been written, so that disks hold one step's."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: So many rows of one key are no burden to a task.
 FEW = 256
 
