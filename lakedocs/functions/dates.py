@@ -19,35 +19,56 @@ def _span(start: Column, end: Column) -> Column:
     return F.struct(start.cast("date").alias("start"), end.cast("date").alias("end"))
 
 
-def _quarter(first: Column) -> Column:
-    return _span(first, F.date_sub(F.add_months(first, 3), 1))
+def _months(first: Column, n: int) -> Column:
+    """``n`` whole months from the day ``first``."""
+    return _span(first, F.date_sub(F.add_months(first, n), 1))
+
+
+def _year(digits: Column) -> Column:
+    """A year of two or four digits, of this century."""
+    return (F.lit(2000) + F.right(digits, F.lit(2)).try_cast("int")).cast("int")
+
+
+#: Days of a unit in "last 3 weeks".
+UNITS = {"day": 1, "week": 7, "month": 30}
 
 
 def parse_date_range(c: Column, today: Column) -> Column:
-    """struct<start, end> of the first phrase that fits, both ends included; null without one.
+    """struct<start, end> of the first of these that a text names, both ends included; null without.
 
     last N days, weeks or months (of 30 days); last month; last year; this or last quarter;
-    Qn YYYY; Qn FYyy[yy], the year from April; Month YYYY.
+    Qn YYYY; Qn FYyy or FYyyyy, the year from April; Month YYYY (of several the earliest month).
+    Years are of this century.
     """
     s, today = F.lower(F.coalesce(c, F.lit(""))), today.cast("date")
-    match = lambda rx, g: F.when(s.rlike(rx), F.regexp_extract(s, rx, g))
-    rx = r"last\s+(\d{1,3})\s*(day|days|week|weeks|month|months)"
-    n, unit = match(rx, 1).cast("int"), match(rx, 2)
-    days = n * F.when(unit.startswith("day"), 1).when(unit.startswith("week"), 7).otherwise(30)
-    month, quarter = F.trunc(today, "month"), F.trunc(today, "quarter")
-    cases = F.when(n.isNotNull(), _span(F.date_sub(today, days), today))
-    cases = cases.when(s.contains("last month"), _span(F.add_months(month, -1), F.date_sub(month, 1)))
-    last = F.year(today) - 1
-    cases = cases.when(s.contains("last year"), _span(F.make_date(last, F.lit(1), F.lit(1)), F.make_date(last, F.lit(12), F.lit(31))))
-    cases = cases.when(s.contains("this quarter"), _quarter(quarter)).when(s.contains("last quarter"), _quarter(F.add_months(quarter, -3)))
-    rx = r"\bq([1-4])\s*(20\d{2})\b"
-    cases = cases.when(s.rlike(rx), _quarter(F.make_date(match(rx, 2).cast("int"), match(rx, 1).cast("int") * 3 - 2, F.lit(1))))
-    rx = r"\bq([1-4])\s*fy\s*(20?\d{2})\b"
-    y, q = match(rx, 2), match(rx, 1).cast("int")
-    year = F.when(F.length(y) == 4, y.cast("int")).otherwise(F.concat(F.lit("20"), y).try_cast("int"))
-    cases = cases.when(s.rlike(rx) & (year < 2100), _quarter(F.add_months(F.make_date(F.least(year, F.lit(9998)), F.lit(4), F.lit(1)), (q - 1) * 3)))
-    for k, name in enumerate(MONTHS, 1):
-        rx = name + r"\s+(20\d{2})"
-        first = F.make_date(match(rx, 1).cast("int"), F.lit(k), F.lit(1))
-        cases = cases.when(s.rlike(rx), _span(first, F.last_day(first)))
-    return cases
+    month, quarter, year = (F.trunc(today, unit) for unit in ("month", "quarter", "year"))
+    found = []
+
+    ago = F.regexp_extract_all(s, F.lit(r"last\s+\d{1,3}\s*(?:day|week|month)"), F.lit(0))
+    ago = F.get(ago, F.lit(0))
+    days = F.regexp_substr(ago, F.lit(r"\d+")).try_cast("int")
+    unit = F.regexp_substr(ago, F.lit("[a-z]+$"))
+    for name, n in UNITS.items():
+        found.append((F.endswith(unit, F.lit(name)), _span(F.date_sub(today, days * n), today)))
+
+    found.append((s.contains("last month"), _months(F.add_months(month, -1), 1)))
+    found.append((s.contains("last year"), _months(F.add_months(year, -12), 12)))
+    found.append((s.contains("this quarter"), _months(quarter, 3)))
+    found.append((s.contains("last quarter"), _months(F.add_months(quarter, -3), 3)))
+
+    for shape, first_month in ((r"\bq[1-4]\s*20\d\d\b", 1), (r"\bq[1-4]\s*fy\s*(?:20)?\d\d\b", 4)):
+        named = F.regexp_substr(s, F.lit(shape))
+        start = F.make_date(_year(named), F.lit(first_month), F.lit(1))
+        nth = F.substring(named, 2, 1).try_cast("int")
+        found.append((named.isNotNull(), _months(F.add_months(start, 3 * (nth - 1)), 3)))
+
+    names = F.array(*map(F.lit, MONTHS))
+    named = F.regexp_extract_all(s, F.lit(rf"(?:{'|'.join(MONTHS)})\s+20\d\d"), F.lit(0))
+    dated = F.transform(named, lambda x, i: F.struct(F.array_position(names, F.regexp_substr(x, F.lit("^[a-z]+"))).cast("int").alias("month"), i.alias("place"), _year(x).alias("year")))
+    first = F.array_min(dated)
+    found.append((first.isNotNull(), _months(F.make_date(first["year"], first["month"], F.lit(1)), 1)))
+
+    out = F.lit(None)
+    for test, span in reversed(found):
+        out = F.when(test, span).otherwise(out)
+    return out

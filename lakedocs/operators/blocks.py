@@ -146,11 +146,6 @@ def text_to_artifacts(docs: DataFrame, split: str = "none", id_col: str = "doc_i
     return rows.select("doc_id", "pos", kind.alias("type"), "text", F.lit(0).alias("page_idx"), null("int").alias("level"), null("string").alias("caption"), null("int").alias("rows"), null("int").alias("cols"), null("int").alias("items"), null("boolean").alias("ordered"), null("string").alias("html"))
 
 
-def _last_headers(over) -> list[tuple[Column, Column]]:
-    """For each level its latest header before the row: (pos, text)."""
-    return [(F.max(F.when((F.col("type") == "header") & (F.coalesce("level", F.lit(1)) == k), F.struct("pos", "text"))).over(over)["pos"], F.max(F.when((F.col("type") == "header") & (F.coalesce("level", F.lit(1)) == k), F.struct("pos", "text"))).over(over)["text"]) for k in LEVELS]
-
-
 def with_header_chain(artifacts: DataFrame) -> DataFrame:
     """Adds ``headers``: the headers that a part stands under, outermost first, skipped levels ''.
 
@@ -158,19 +153,21 @@ def with_header_chain(artifacts: DataFrame) -> DataFrame:
     The chain starts anew on each page section.
     """
     over = Window.partitionBy("doc_id", "page_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = _last_headers(over)
-    valid = []
-    for k, (pos, _) in enumerate(last):
-        ok = pos.isNotNull()
-        for outer, _ in last[:k]:
-            ok = ok & (outer.isNull() | (outer < pos))
-        valid.append(ok)
-    depth = F.lit(0)
-    for k, ok in enumerate(valid):
-        depth = F.when(ok, k + 1).otherwise(depth)
-    chain = F.slice(F.array(*[F.when(ok, text).otherwise("") for ok, (_, text) in zip(valid, last, strict=True)]), F.lit(1), F.col("_depth"))
-    own = F.when(F.col("type") == "header", F.coalesce("level", F.lit(1)) - 1).otherwise(F.col("_depth"))
-    return artifacts.withColumn("_depth", depth).withColumn("_depth", own).withColumn("headers", chain).drop("_depth")
+    level = F.coalesce("level", F.lit(1))
+    header = F.col("type") == "header"
+    # Of each level the latest header before the part, each window once.
+    last = [f"_h{k}" for k in LEVELS]
+    out = artifacts.withColumns({c: F.last(F.when(header & (level == k), F.struct("pos", "text")), ignorenulls=True).over(over) for c, k in zip(last, LEVELS, strict=True)})
+    # It stands unless a header of an outer level came later.
+    for k, c in enumerate(last[1:], 1):
+        outer = F.greatest(*[F.col(f"{x}.pos") for x in last[:k]]) if k > 1 else F.col(f"{last[0]}.pos")
+        out = out.withColumn(f"_ok{k + 1}", F.col(c).isNotNull() & (outer.isNull() | (outer < F.col(f"{c}.pos"))))
+    out = out.withColumn("_ok1", F.col(last[0]).isNotNull())
+    depth = F.greatest(*[F.when(F.col(f"_ok{k}"), k).otherwise(0) for k in LEVELS])
+    own = F.when(header, level - 1).otherwise(depth)
+    out = out.withColumn("_depth", own)
+    chain = F.slice(F.array(*[F.when(F.col(f"_ok{k}"), F.col(f"{c}.text")).otherwise("") for k, c in zip(LEVELS, last, strict=True)]), F.lit(1), F.col("_depth"))
+    return out.withColumn("headers", chain).drop("_depth", *last, *[f"_ok{k}" for k in LEVELS])
 
 
 def artifact_stats(artifacts: DataFrame) -> DataFrame:
@@ -223,13 +220,31 @@ def strip_repeated_edges(blocks: DataFrame, variant: str = "manifest") -> DataFr
     return blocks.filter(~edge).unionByName(blocks.filter(edge).join(drop, ["doc_id", "text"], "left_anti").select(*blocks.columns))
 
 
+def _column(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
 def artifacts_to_blocks(artifacts: DataFrame) -> DataFrame:
-    """Blocks without spans: types mapped, images described, empty parts dropped."""
+    """Blocks without spans: types mapped, images described, empty parts dropped.
+
+    Takes the artifacts of every reader: columns that one doesn't have count as null. A table's text
+    is its Markdown, else its text, else its rows with bars between the cells.
+    """
+    a = artifacts
     kind = F.when(F.col("type") == "text", "paragraph").otherwise(F.col("type"))
-    text = F.when(F.col("type") == "image", F.when(F.coalesce("caption", "text", F.lit("")) != "", F.concat(F.lit("[Image: "), F.coalesce(F.nullif("caption", F.lit("")), "text"), F.lit("]"))).otherwise("[Image]")).otherwise(F.coalesce("text", F.lit("")))
-    headers = F.col("headers") if "headers" in artifacts.columns else F.array().cast("array<string>")
-    meta = F.struct(F.col("level"), headers.alias("headers"), F.col("rows"), F.col("cols"), F.col("items"), F.col("ordered"), F.col("html"), F.col("caption"), F.col("type").alias("origin_type"))
-    out = artifacts.select(stable_id(F.col("doc_id"), F.col("pos"), kind).alias("block_id"), "doc_id", "pos", (F.col("page_idx") + 1).alias("page"), kind.alias("type"), text.alias("text"), meta.alias("meta"))
+    caption, html = _column(a, "caption", "string"), F.coalesce(_column(a, "html", "string"), _column(a, "table_html", "string"))
+    body = _column(a, "table_body", "array<array<string>>")
+    cells = F.array_join(F.transform(body, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")), "\n")
+    full = lambda c: F.when(strip(c) != "", c)
+    plain = F.coalesce("text", F.lit(""))
+    table = F.coalesce(full(_column(a, "table_markdown", "string")), full(plain), full(cells), F.lit(""))
+    image = F.when(F.coalesce(caption, F.col("text"), F.lit("")) != "", F.concat(F.lit("[Image: "), F.coalesce(F.nullif(caption, F.lit("")), F.col("text")), F.lit("]"))).otherwise("[Image]")
+    text = F.when(F.col("type") == "image", image).when(F.col("type") == "table", table).otherwise(plain)
+    headers = F.coalesce(_column(a, "headers", "array<string>"), F.array().cast("array<string>"))
+    rows = F.coalesce(_column(a, "rows", "int"), F.when(F.size(body) > 0, F.size(body)))
+    cols = F.coalesce(_column(a, "cols", "int"), F.array_max(F.transform(body, lambda r: F.size(r))))
+    meta = F.struct(_column(a, "level", "int").alias("level"), headers.alias("headers"), rows.alias("rows"), cols.alias("cols"), _column(a, "items", "int").alias("items"), _column(a, "ordered", "boolean").alias("ordered"), html.alias("html"), caption.alias("caption"), F.col("type").alias("origin_type"))
+    out = a.select(stable_id(F.col("doc_id"), F.col("pos"), kind).alias("block_id"), "doc_id", "pos", (_column(a, "page_idx", "int") + 1).alias("page"), kind.alias("type"), text.alias("text"), meta.alias("meta"))
     return out.filter((F.col("type") == "image") | (strip(F.col("text")) != ""))
 
 
@@ -273,10 +288,11 @@ def _among(words: list[str]):
     return lambda w: w.isin(*words)
 
 
-def with_language(docs: DataFrame, text_col: str = "text", most: int = 4000) -> DataFrame:
-    """Adds ``language``: that of most stop words among the first characters, ties to the earlier
-    name; null without any. A vote by known words, not a detector."""
-    words = F.split(F.lower(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, most)), r"[^\p{L}]+")
+def with_language(docs: DataFrame, text_col: str = "text", most: int | None = None) -> DataFrame:
+    """Adds ``language``: that of most stop words, ties to the earlier name; null without any. A vote
+    by known words, not a detector. ``most``: vote on so many first characters alone."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.split(F.lower(text if most is None else F.substring(text, 1, most)), r"[^\p{L}]+")
     votes = F.array(*[F.struct(F.size(F.filter(words, _among(s))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, s) in enumerate(sorted(STOP_WORDS.items()))])
     best = F.array_max(votes)
     return docs.withColumn("language", F.when(best["n"] > 0, best["lang"]))

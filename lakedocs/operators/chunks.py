@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import stable_id
@@ -111,50 +111,72 @@ def split_text(text: str, target: int, overlap: int) -> list[str]:
     return out
 
 
+def _packed(rows: list, target: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of the chunks of a document's rows (text, tokens, segment)."""
+    spans, k = [], 0
+    while k < len(rows):
+        j, used = k, 0
+        while j < len(rows) and (j == k or used + rows[j][1] <= target):
+            used += rows[j][1]
+            j += 1
+        if spans and used < ORPHAN and spans[-1][2] < 1.2 * target:
+            spans[-1] = (spans[-1][0], j, spans[-1][2] + used)
+        else:
+            spans.append((k, j, used))
+        if j >= len(rows):
+            break
+        room = overlap * (0.5 if rows[k][2]["type"] in ("list", "header") else 1.5 if rows[k][1] > int(0.7 * target) else 1)
+        back = j
+        while back - 1 > k and rows[back - 1][1] <= room:
+            back -= 1
+            room -= rows[back][1]
+        k = back
+    return [(k, j) for k, j, _ in spans]
+
+
+def _chunk_rows(segments: list[dict], overlap: int) -> list[tuple]:
+    target, rows = segments[0]["target"], []
+    for s in segments:
+        for text in split_text(s["text"], target, 0 if s["type"] == "table" else overlap):
+            rows.append((text, math.ceil(len(text) / 4), s))
+    made = []
+    for n, (k, j) in enumerate(_packed(rows, target, overlap)):
+        part = [x[2] for x in rows[k:j]]
+        heads = list(dict.fromkeys(h for s in part for h in (s["headers"] or [])))
+        pages = [s["page"] for s in part if s["page"] is not None]
+        body = "\n\n".join(x[0] for x in rows[k:j])
+        text = " / ".join(heads) + "\n\n" + body if heads else body
+        ids = list(dict.fromkeys(s["block_id"] for s in part))
+        made.append((part[0]["doc_id"], n, part[0]["span_start"], max(s["span_end"] for s in part), min(pages, default=None), max(pages, default=None), text, sorted({s["type"] for s in part}), ids, math.ceil(len(text) / 4), part[0]["strategy"], heads))
+    return made
+
+
 def pack_segments(segments: DataFrame, targets: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Segments packed in order into chunks of at most the target, each next one starting some
-    whole segments back. Packing follows a document's order, so it is a fold over each document;
-    documents are spread over tasks."""
+    whole segments back. Packing follows a document's order, so documents are dealt out by id and
+    sorted, and a task folds them one after the other, many to an Arrow batch."""
     schema = "doc_id string, ordinal int, span_start int, span_end int, page_start int, page_end int, text string, types array<string>, source_block_ids array<string>, tokens int, strategy string, context_headers array<string>"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        target, rows = int(pdf["target"].iloc[0]), []
-        for r in pdf.itertuples():
-            for text in split_text(r.text, target, 0 if r.type == "table" else overlap):
-                rows.append((text, math.ceil(len(text) / 4), r))
-        out, k = [], 0
-        while k < len(rows):
-            j, used = k, 0
-            while j < len(rows) and (j == k or used + rows[j][1] <= target):
-                used += rows[j][1]
-                j += 1
-            out.append((k, j, used))
-            if j >= len(rows):
-                break
-            room = overlap * (0.5 if rows[k][2].type in ("list", "header") else 1.5 if rows[k][1] > int(0.7 * target) else 1)
-            back = j
-            while back - 1 > k and rows[back - 1][1] <= room:
-                back -= 1
-                room -= rows[back][1]
-            k = back
-        merged = []
-        for k, j, used in out:
-            if merged and used < ORPHAN and merged[-1][2] < 1.2 * target:
-                merged[-1] = (merged[-1][0], j, merged[-1][2] + used)
-            else:
-                merged.append((k, j, used))
-        made = []
-        for n, (k, j, _) in enumerate(merged):
-            part = [x[2] for x in rows[k:j]]
-            heads = list(dict.fromkeys(h for r in part for h in (r.headers if r.headers is not None else [])))
-            pages = [int(r.page) for r in part if r.page == r.page and r.page is not None]
-            body = "\n\n".join(x[0] for x in rows[k:j])
-            text = " / ".join(heads) + "\n\n" + body if heads else body
-            made.append((part[0].doc_id, n, int(part[0].span_start), int(max(r.span_end for r in part)), min(pages, default=None), max(pages, default=None), text, sorted({r.type for r in part}), list(dict.fromkeys(r.block_id for r in part)), math.ceil(len(text) / 4), part[0].strategy, heads))
-        return pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")]).astype({"page_start": "Int32", "page_end": "Int32"})
-
-    packed = segments.join(targets, "doc_id").groupBy("doc_id").applyInPandas(fold, schema)
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+    def fold(batches):
+        held, made = [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["doc_id"] != row["doc_id"]:
+                    made += _chunk_rows(held, overlap)
+                    held = []
+                held.append(row)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), arrow.types, strict=True)], schema=arrow)
+                made = []
+        if held:
+            made = _chunk_rows(held, overlap)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    cols = ["doc_id", "pos", "type", "text", "headers", "block_id", "page", "span_start", "span_end", "strategy", "target"]
+    dealt = segments.join(targets, "doc_id").select(*cols).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    packed = dealt.mapInArrow(fold, schema)
     meta = F.struct("types", "source_block_ids", "tokens", "strategy", "context_headers", *[F.lit(None).cast(t).alias(c) for c, t in (("rows", "int"), ("cols", "int"), ("html", "string"))])
     return packed.select("doc_id", "ordinal", "span_start", "span_end", "page_start", "page_end", "text", meta.alias("meta"))
 

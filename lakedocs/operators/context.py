@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import parse_date_range
 from ..functions.keys import citation_url
 from ..functions.text import any_of, answer_mode, citation_numbers, est_tokens, groundedness
+from .filters import span_days
 
 #: Words that make tables and lists go first.
 PREFER_TABLES = ["total", "amount", "sum", "balance", "fee", "fees", "tax", "subtotal"]
@@ -104,8 +105,10 @@ def with_spend_hit(hits: DataFrame, queries: DataFrame, invoices: DataFrame, tod
     low = F.lower(F.coalesce("q", F.lit("")))
     wants = any_of(low, ["total spend", "spend", "amount due", "total amount", "sum of invoices"]) | (low.contains("invoice") & any_of(low, ["total", "amount"]))
     asked = queries.filter(wants).select("query_id", parse_date_range(F.col("q"), today).alias("r")).filter("r is not null")
-    met = asked.join(invoices.select("invoice_date", "total"), F.col("invoice_date").between(F.col("r.start"), F.col("r.end")), "left")
-    sums = met.groupBy("query_id", "r").agg(F.coalesce(F.sum(F.col("total").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("v"))
+    # Sums of days, then of each different span, then of the questions that name it.
+    daily = invoices.groupBy(F.col("invoice_date").alias("day")).agg(F.sum(F.col("total").cast("decimal(18,2)")).alias("v"))
+    spans = span_days(asked.select(F.col("r").alias("span"))).join(daily, "day").groupBy(F.col("span").alias("r")).agg(F.sum("v").alias("v"))
+    sums = asked.join(spans, "r", "left").withColumn("v", F.coalesce(F.col("v").cast("double"), F.lit(0.0)))
     a, b = F.col("r.start").cast("string"), F.col("r.end").cast("string")
     made = {
         "chunk_id": F.concat_ws(":", F.lit("structured:invoices"), a, b), "doc_id": F.lit("structured:invoices"), "uri": F.concat(F.lit("db://invoices?start="), a, F.lit("&end="), b),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import parse_date_range
 from ..functions.text import is_numeric_question
@@ -38,36 +38,62 @@ def restrict_docs(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.join(free, "query_id", "left_semi").unionByName(hits.join(bound, ["query_id", "doc_id"], "left_semi").select(*hits.columns))
 
 
-def _narrow(queries: DataFrame, found: DataFrame, then: Column | None = None) -> DataFrame:
-    """``doc_ids`` cut to the sets in ``found`` (query_id, ids); a set that would be empty is ignored."""
+def _cut(queries: DataFrame) -> DataFrame:
+    """``doc_ids`` cut to the column ``_ids``; a set that would be empty is ignored."""
     have = F.coalesce("doc_ids", F.array().cast("array<string>"))
     both = F.when(F.size(have) > 0, F.array_intersect(have, "_ids")).otherwise(F.col("_ids"))
-    out = queries.join(found.withColumnRenamed("ids", "_ids"), "query_id", "left")
-    return out.withColumn("doc_ids", F.when(F.col("_ids").isNotNull() & (F.size(both) > 0), both).otherwise(have)).drop("_ids")
+    return queries.withColumn("doc_ids", F.when(F.col("_ids").isNotNull() & (F.size(both) > 0), both).otherwise(have)).drop("_ids")
+
+
+def _narrow(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_ids`` cut to the sets in ``found`` (query_id, ids)."""
+    return _cut(queries.join(found.withColumnRenamed("ids", "_ids"), "query_id", "left"))
+
+
+def span_days(spans: DataFrame) -> DataFrame:
+    """(span, day): the days of each different ``span`` (struct<start, end>). A span is one phrase of a
+    question, so there are few, of some thousand days at most; days are keys to join by."""
+    return spans.select("span").filter("span is not null").distinct().select("span", F.explode(F.sequence("span.start", "span.end")).alias("day"))
+
+
+def _dated(spans: DataFrame, invoices: DataFrame, limit: int | None) -> DataFrame:
+    """(span, _ids): invoices dated in each span, sorted; of more than ``limit`` the first ones, cut
+    before they are collected. Found once for each span, however many questions name it."""
+    met = span_days(spans).join(invoices.select(F.col("invoice_id").cast("string").alias("id"), F.col("invoice_date").alias("day")), "day").select("span", "id").distinct()
+    if limit is not None:
+        met = met.withColumn("n", F.row_number().over(Window.partitionBy("span").orderBy("id"))).filter(F.col("n") <= limit)
+    return met.groupBy("span").agg(F.sort_array(F.collect_list("id")).alias("_ids"))
 
 
 def restrict_by_date(queries: DataFrame, invoices: DataFrame, today: Column, limit: int = 1000) -> DataFrame:
     """Questions that name a time, cut to the invoices dated in it (the first ``limit``, a stated
     cut of the filter); numeric ones ask for tables too. Adds ``date_range``."""
     asked = queries.withColumn("date_range", parse_date_range(F.col("q"), today))
-    ranges = asked.filter("date_range is not null").select("query_id", "date_range")
-    met = ranges.join(invoices.select("invoice_id", "invoice_date"), F.col("invoice_date").between(F.col("date_range.start"), F.col("date_range.end")))
-    ids = met.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.col("invoice_id").cast("string"))), 1, limit).alias("ids"))
+    found = _dated(asked.select(F.col("date_range").alias("span")), invoices, limit)
     types = F.coalesce("types", F.array().cast("array<string>"))
     wants = F.col("date_range").isNotNull() & is_numeric_question(F.col("q"))
-    return _narrow(asked, ids).withColumn("types", F.when(wants, F.array_union(types, F.array(F.lit("table")))).otherwise(types))
+    return _cut(asked.join(found.withColumnRenamed("span", "date_range"), "date_range", "left")).withColumn("types", F.when(wants, F.array_union(types, F.array(F.lit("table")))).otherwise(types)).select(*asked.columns)
+
+
+#: Characters by which numbers and invoices are joined; an invoice number has five at least.
+GRAM = 5
 
 
 def restrict_by_number(queries: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Questions that name an invoice number, cut to the invoices that contain it."""
+    """Questions that name an invoice number, cut to the invoices that contain it: joined by the
+    number's last five characters, which are among the invoice's runs of five, then checked."""
     number = F.regexp_extract(F.upper("q"), INVOICE_NUMBER, 1)
     asked = queries.select("query_id", number.alias("number")).filter("number <> ''")
-    met = asked.join(invoices.select("invoice_id", F.upper("invoice_number").alias("n")), F.contains("n", "number"))
+    n = F.upper("invoice_number")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - GRAM + 1)), lambda k: F.substring(n, k, F.lit(GRAM)))
+    runs = invoices.select("invoice_id", n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram"))
+    met = asked.withColumn("gram", F.right("number", F.lit(GRAM))).join(runs, "gram").filter(F.contains("n", "number"))
     return _narrow(queries, met.groupBy("query_id").agg(F.sort_array(F.collect_set(F.col("invoice_id").cast("string"))).alias("ids")))
 
 
 def restrict_last_days(queries: DataFrame, invoices: DataFrame, today: Column) -> DataFrame:
     """Questions with ``date_last_days``, cut to the invoices of those days."""
-    asked = queries.filter("date_last_days > 0").select("query_id", F.date_sub(today.cast("date"), F.col("date_last_days")).alias("start"))
-    met = asked.join(invoices.select("invoice_id", "invoice_date"), F.col("invoice_date").between(F.col("start"), today.cast("date")))
-    return _narrow(queries, met.groupBy("query_id").agg(F.sort_array(F.collect_set(F.col("invoice_id").cast("string"))).alias("ids")))
+    t = today.cast("date")
+    span = F.when(F.col("date_last_days") > 0, F.struct(F.date_sub(t, F.col("date_last_days")).alias("start"), t.alias("end")))
+    asked = queries.withColumn("span", span)
+    return _cut(asked.join(_dated(asked.select("span"), invoices, None), "span", "left")).select(*queries.columns)

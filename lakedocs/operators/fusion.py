@@ -111,7 +111,11 @@ def safety_net(queries: DataFrame, hits: DataFrame, corpus: DataFrame, k: int =
     bound = empty.filter((size("doc_ids") > 0) | (size("types") > 0)).select("query_id", "numeric", F.col("types").alias("want"), F.explode_outer(F.when(size("doc_ids") > 0, F.col("doc_ids"))).alias("only"))
     c = corpus.select("chunk_id", "doc_id", "text", "types")
     with_docs = bound.filter("only is not null").join(c, F.col("only") == F.col("doc_id"))
-    with_types = bound.filter("only is null").join(c.withColumn("t", F.explode("types")).select("t", "chunk_id", "doc_id", "text", "types"), F.array_contains("want", F.col("t")))
+    # By type: of each type (and of its tables) the k longest, then the questions that want it.
+    table = F.array_contains("types", "table")
+    typed = c.withColumns({"t": F.explode(F.array_distinct("types")), "numeric": F.explode(F.when(table, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))})
+    typed = typed.withColumn("nth", F.row_number().over(Window.partitionBy("t", "numeric").orderBy(*order))).filter(F.col("nth") <= k).drop("nth")
+    with_types = bound.filter("only is null").withColumn("t", F.explode(F.array_distinct("want"))).join(typed, ["t", "numeric"])
     two = with_docs.select("query_id", "numeric", "want", "chunk_id", "doc_id", "text", "types").unionByName(with_types.select("query_id", "numeric", "want", "chunk_id", "doc_id", "text", "types")).distinct()
     two = two.filter(((size("want") <= 0) | F.arrays_overlap("types", "want")) & (~F.col("numeric") | F.array_contains("types", "table"))).drop("want")
     every = one.select("query_id", "numeric", "chunk_id", "doc_id", "text", "types").unionByName(two)
@@ -121,17 +125,21 @@ def safety_net(queries: DataFrame, hits: DataFrame, corpus: DataFrame, k: int =
 
 def expand_window(hits: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
     """The first n hits of a question take in the chunks before and after theirs (by span start, of
-    another start); adds ``window_expanded``. Neighbours are found once for all chunks."""
-    starts = chunks.groupBy("doc_id", "span_start").agg(F.min(F.struct("chunk_id", "text", "span_end")).alias("c"))
+    another start); adds ``window_expanded``. Neighbours are looked for in the hits' documents
+    alone, by id, and their texts fetched last."""
+    first = F.col("rank") <= n
+    some = chunks.join(hits.filter(first).select("doc_id").distinct(), "doc_id", "left_semi")
+    starts = some.groupBy("doc_id", "span_start").agg(F.min(F.struct("chunk_id", "span_end")).alias("c"))
     by = Window.partitionBy("doc_id").orderBy("span_start")
-    near = starts.select("doc_id", "span_start", F.lag("c").over(by).alias("p"), F.lead("c").over(by).alias("x"), F.lag("span_start").over(by).alias("p_start"))
-    near = near.select("doc_id", "span_start", F.col("p.text").alias("_before"), F.col("x.text").alias("_after"), "p_start", F.col("x.span_end").alias("_end"))
+    near = starts.select("doc_id", "span_start", F.lag("c").over(by)["chunk_id"].alias("_p"), F.lead("c").over(by).alias("x"), F.lag("span_start").over(by).alias("p_start"))
+    near = near.select("doc_id", "span_start", "_p", F.col("x.chunk_id").alias("_x"), "p_start", F.col("x.span_end").alias("_end"))
     j = hits.join(near, ["doc_id", "span_start"], "left")
-    first = F.col("rank") <= n
+    for key, text in (("_p", "_before"), ("_x", "_after")):
+        j = j.join(some.select(F.col("chunk_id").alias(key), F.col("text").alias(text)), key, "left")
     grown = first & (F.col("_before").isNotNull() | F.col("_after").isNotNull())
     return j.withColumns({
         "text": F.when(grown, F.concat_ws("\n\n", "_before", "text", "_after")).otherwise(F.col("text")),
         "span_start": F.when(first, F.coalesce("p_start", "span_start")).otherwise(F.col("span_start")),
         "span_end": F.when(first, F.greatest("span_end", F.coalesce("_end", "span_end"))).otherwise(F.col("span_end")),
         "window_expanded": F.coalesce(grown, F.lit(False)),
-    }).drop("_before", "_after", "p_start", "_end")
+    }).select(*[c for c in hits.columns], "window_expanded")

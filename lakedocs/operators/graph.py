@@ -58,7 +58,10 @@ def graph_neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit:
     out = start.join(e, F.col("own") == F.col("src_node_id")).select("seed_id", F.col("dst_node_id").alias("node_id"), F.col("rel_type").alias("rel")).distinct()
     into = start.join(e, F.col("own") == F.col("dst_node_id")).select("seed_id", "own", F.col("src_node_id").alias("parent"), "rel_type")
     parents = into.select("seed_id", F.col("parent").alias("node_id"), F.concat(F.lit("incoming_"), "rel_type").alias("rel")).distinct()
-    siblings = into.select("seed_id", "own", "parent").distinct().join(e.select(F.col("src_node_id").alias("parent"), F.col("dst_node_id").alias("node_id")), "parent").filter("node_id <> own").select("seed_id", "node_id", F.lit("shared_parent").alias("rel")).distinct()
+    # No seed takes more than ``limit`` siblings and itself: only a parent's first children move.
+    kids = e.select(F.col("src_node_id").alias("parent"), F.col("dst_node_id").alias("node_id")).distinct().join(into.select("parent").distinct(), "parent").join(nodes.select("node_id", "pos"), "node_id")
+    kids = kids.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy("pos", "node_id"))).filter(F.col("nth") <= limit + 1)
+    siblings = into.select("seed_id", "own", "parent").distinct().join(kids.select("parent", "node_id"), "parent").filter("node_id <> own").select("seed_id", "node_id", F.lit("shared_parent").alias("rel")).distinct()
     every = out.unionByName(parents).unionByName(siblings).join(nodes.select("node_id", "pos", "source_block_id"), "node_id")
     rank = F.row_number().over(Window.partitionBy("seed_id").orderBy("rel", "pos", "node_id"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= limit)

@@ -43,11 +43,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of each benchmark text."""
+    """The words of each benchmark text."""
     b = read(spark, sf_dir, "benchmark")
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     none = F.array().cast("array<string>")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 8), " ").alias("q"), none.alias("doc_ids"), none.alias("types"), F.lit(None).cast("int").alias("date_last_days"))
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("q"), none.alias("doc_ids"), none.alias("types"), F.lit(None).cast("int").alias("date_last_days"))
 
 
 def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,6 @@ SQL_DOCS = """docs as (select doc_id::varchar as doc_id, source as tenant_id, sh
 SQL_INVOICES = """inv as (select o_orderkey::varchar as invoice_id, c_name as vendor, 'INV-' || year(o_orderdate) || '-' || o_orderkey as invoice_number, o_orderdate::date as invoice_date, o_totalprice::decimal(14,2) as total from orders join customer on o_custkey = c_custkey)"""
 SQL_EVENTS = """ev as (select event_id::varchar as event_id, (user_id % 100)::varchar as doc_id, case event_type when 'signup' then 'STORED' when 'view' then 'EXTRACTED' when 'click' then 'CHUNKED' when 'purchase' then 'GENERATE' when 'error' then 'NORMALIZED' else 'SYSTEM' end as stage,
  case when event_type = 'error' then 'ERROR' else 'OK' end as status, ts, props as details_json, (user_id % 10)::varchar as job_id, user_id from events)"""
-SQL_QUESTIONS = r"""qs as (select item_id as query_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}]+')[1:8], ' ') as q from benchmark)"""
+SQL_QUESTIONS = r"""qs as (select item_id as query_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}]+'), ' ') as q from benchmark)"""
 SQL_BLOCKS = """lines as (select doc_id::varchar as doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
 bl as (select doc_id, pos::int as pos, 'paragraph' as type, text from lines where trim(text) <> '')"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_numeric_question
 from ..operators import filters, fusion, graph, keyword, vectors
+from ..sources.stage import staged
 
 
 @dataclass
@@ -31,17 +32,41 @@ def searchable(corpus: Corpus) -> DataFrame:
     return corpus.chunks.join(docs, "doc_id").withColumn("types", F.col("meta.types"))
 
 
+def _split(queries: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions that may see every chunk, those with ``doc_ids``, and what the latter see as (query_id,
+    chunk_id): restrictions hold before a leg is cut to its depth, so nothing below the cut is lost."""
+    n = F.coalesce(F.size("doc_ids"), F.lit(0))
+    free, bound = queries.filter(n <= 0), queries.filter(n > 0)
+    seen = bound.select("query_id", F.explode("doc_ids").alias("doc_id")).join(facts.select("doc_id", "chunk_id"), "doc_id")
+    return free, bound, seen.select("query_id", "chunk_id").distinct()
+
+
+def keyword_leg(queries: DataFrame, corpus: Corpus, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): any of a question's terms, among the live chunks it may see."""
+    live = searchable(corpus)
+    free, bound, seen = _split(queries, live)
+    parts = [keyword.keyword_topk(q, corpus.postings, k, mode="any", allowed=a) for q, a in ((free, live.select("chunk_id")), (bound, seen))]
+    return parts[0].unionByName(parts[1])
+
+
 def search_vector(queries: DataFrame, corpus: Corpus, k: int, now: Column) -> DataFrame:
-    """Nearest chunks with boosts for headers, tables and recency, widened along the graph.
+    """Nearest chunks with boosts for headers, tables and recency, widened along the graph. Hits of
+    other types than a question asks for drop out.
 
-    queries: query_id, q, embedding.
+    queries: query_id, q, embedding, doc_ids, types.
     """
     depth = max(k, 60)
     live = searchable(corpus)
-    hits = vectors.vector_topk(queries, corpus.index.join(live.select("chunk_id"), "chunk_id", "left_semi"), depth).withColumnRenamed("score", "score_vec")
-    full = hits.join(live.select("chunk_id", "collected_at", "types", F.col("meta.context_headers").alias("headers")), "chunk_id").join(queries.select("query_id", "q"), "query_id")
+    free, bound, seen = _split(queries, live)
+    near = vectors.vector_topk(free, corpus.index.join(live.select("chunk_id"), "chunk_id", "left_semi"), depth)
+    own = seen.join(bound.select("query_id", F.col("embedding").alias("e")), "query_id").join(corpus.index.select("chunk_id", "embedding"), "chunk_id")
+    own = vectors.ranked(own.select("query_id", "chunk_id", vectors.cosine(F.col("e"), F.col("embedding")).alias("score")), depth)
+    hits = staged(near.unionByName(own), "nearest").withColumnRenamed("score", "score_vec")
+    asked = queries.select("query_id", "q", F.col("types").alias("want"))
+    full = hits.join(live.select("chunk_id", "collected_at", "types", F.col("meta.context_headers").alias("headers")), "chunk_id").join(asked, "query_id")
+    full = full.filter((F.coalesce(F.size("want"), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap("types", "want"), F.lit(False)))
     score = F.col("score_vec") + vectors.recency_boost(F.col("collected_at"), now) + vectors.context_boost(F.col("headers"), F.col("types"), F.col("q"))
-    scored = full.select("query_id", "chunk_id", "score_vec", "rank", score.alias("score"))
+    scored = staged(full.select("query_id", "chunk_id", "score_vec", "rank", score.alias("score")), "scored")
     if corpus.nodes is not None and corpus.edges is not None:
         more = graph.expand_hits(scored.filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score_vec"), corpus.nodes, corpus.edges, corpus.chunks)
         more = more.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
@@ -52,26 +77,25 @@ def search_vector(queries: DataFrame, corpus: Corpus, k: int, now: Column) -> Da
 def search(queries: DataFrame, corpus: Corpus, today: Column, now: Column, k: int = 8, hybrid: bool = True, alpha: float = 0.7) -> DataFrame:
     """Restrict, search both legs, fuse, diversify, cap, net, widen: at most k hits a question.
 
-    queries: query_id, q, embedding, doc_ids, types, date_last_days.
+    queries: query_id, q, embedding, doc_ids, types, date_last_days. What several steps read is
+    written once.
     """
     asked = queries
     if corpus.invoices is not None:
         asked = filters.restrict_by_date(asked, corpus.invoices, today).drop("date_range")
         asked = filters.restrict_by_number(asked, corpus.invoices)
         asked = filters.restrict_last_days(asked, corpus.invoices, today)
-    live = searchable(corpus)
-    facts = live.select("chunk_id", "doc_id", "text", "types", "uri", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids"))
-    vec = search_vector(asked, corpus, max(k, 32), now)
+    asked = staged(asked, "asked")
+    facts = searchable(corpus).select("chunk_id", "doc_id", "text", "types", "uri", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids"))
+    fused = staged(search_vector(asked, corpus, max(k, 32), now), "vector-leg")
     if hybrid:
-        kw = keyword.keyword_topk(asked, corpus.postings, max(k, 100), mode="any")
-        fused = fusion.top_n(fusion.fuse_rrf(vec, kw, alpha), max(50, 4 * k))
-    else:
-        fused = vec
-    full = fusion.ranked(filters.restrict_docs(fused.join(facts, "chunk_id"), asked).drop("rank"))
+        kw = staged(keyword_leg(asked, corpus, max(k, 100)), "keyword-leg")
+        fused = fusion.top_n(fusion.fuse_rrf(fused, kw, alpha), max(50, 4 * k))
+    full = staged(fusion.ranked(filters.restrict_docs(fused.join(facts, "chunk_id"), asked).drop("rank")), "fused")
     if hybrid:
         picked = fusion.mmr(full, k).drop("score")
         full = picked.join(full.drop("rank"), ["query_id", "chunk_id"])
-    hits = fusion.cap_hits(full, 3, k)
+    hits = staged(fusion.cap_hits(full, 3, k), "hits")
     net = fusion.safety_net(asked, hits, facts, k)
     net = net.select("query_id", "chunk_id", "score", "rank").join(facts, "chunk_id")
     every = hits.select(*net.columns).unionByName(net)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+
 import duckdb
+import pandas as pd
 import pytest
 
 from lakedocs import catalog
@@ -20,8 +23,10 @@ def duck(sf):
 
 def rows(df):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
+        if isinstance(v, datetime.date):  # of a time at midnight, too: DuckDB's frames have no dates
+            return str(v).removesuffix(" 00:00:00")
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
         try:
@@ -40,7 +45,7 @@ def test_query(spark, sf, duck, name):
     if sql:
         assert rows(ours) == rows(duck.sql(sql).df())
     else:
-        assert len(ours) >= 0 and len(ours.columns)
+        assert len(ours) and len(ours.columns)
 
 
 def test_sql_has_queries():
