@@ -125,21 +125,36 @@ def train(texts: pa.Array, grades: np.ndarray, share: np.ndarray, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, per_grade: int = SAMPLE_PER_GRADE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on a sample of labelled rows: of each grade the ``per_grade`` with the least hash of the id,
     weighted so that the grades have their shares of all labels. Labels without a grade, an id or
-    a document are left out. Without labels of two grades there is no model: None.
+    a document are left out; an id that is repeated brings each of its rows, up to twice
+    ``per_grade`` a grade in all. Without labels of two grades there is no model: None.
     """
     rated = labels.select(F.col(id_col).cast("long").alias("_id"), grade.cast("int").alias("_grade")).filter("_id is not null and _grade >= 0")
     counts = {r["_grade"]: r["n"] for r in rated.groupBy("_grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each grade
-    order = Window.partitionBy("_grade").orderBy(F.xxhash64("_id"), "_id")
-    chosen = rated.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_grade)
-    some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_grade", "_id").limit(2 * per_grade * max(1, len(counts)))
-    table = some.toArrow().sort_by("_id")
-    grades = table["_grade"].to_numpy()
-    kinds = sorted(set(grades.tolist()))
-    if len(kinds) < 2:
-        return None
-    have = {k: int((grades == k).sum()) for k in kinds}
-    share = np.array([counts[k] / have[k] for k in grades.tolist()])
-    return train(table["_text"].combine_chunks(), grades, share)
+    # A hash below a threshold from the grade's count passes: half as many again as are wanted, and a
+    # few. Only these are ranked.
+    least = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, (1.5 * per_grade + 50) / n)]) if counts else F.lit(None)
+    passed = rated.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.try_element_at(least, F.col("_grade")) * (1 << 30)) if counts else rated
+    order = Window.partitionBy("_grade").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
+    chosen = passed.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_grade)
+    some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_grade", "_id")
+    # Repeated ids may give more rows: those of the least hashes are taken.
+    some = some.orderBy(F.xxhash64("_id", "_text"), "_grade").limit(2 * per_grade * max(1, len(counts)))
+    def learn(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).sort_by([("_id", "ascending"), ("_text", "ascending"), ("_grade", "ascending")])
+        grades = table["_grade"].to_numpy()
+        kinds = sorted(set(grades.tolist()))
+        if len(kinds) < 2:
+            return
+        have = {k: int((grades == k).sum()) for k in kinds}
+        model = train(table["_text"].combine_chunks(), grades, np.array([counts[k] / have[k] for k in grades.tolist()]))
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tolist()]}, pa.schema([("weights", pa.binary()), ("thresholds", pa.list_(pa.float64()))]))
+
+    # The sample has a stated bound, so one task holds it; the driver sees the model alone.
+    found = some.coalesce(1).mapInArrow(learn, "weights binary, thresholds array<double>").collect()
+    return Model(np.frombuffer(found[0]["weights"], np.float32), np.array(found[0]["thresholds"])) if found else None
 
 
 def scored(docs: DataFrame, model: Model | None, tail: int, text_col: str = "text") -> DataFrame:

@@ -67,18 +67,23 @@ def walk(nodes: list[tuple[int, int]], counts: dict[int, int], room: list[int])
     return out
 
 
-def shard(rows: DataFrame, keys: list[str], shards: int = 16, virtual: int = 64, slack: float = 0.0, spread: list[str] | None = None) -> DataFrame:
+def shard(rows: DataFrame, keys: list[str], shards: int = 16, virtual: int = 64, slack: float = 0.0) -> DataFrame:
     """``rows`` with ``shard`` and ``slot`` (gapless from 0 within the shard) and ``home``, the
     shard that the key has on an unbounded ring.
 
     Keys may be null (they hash as null) or repeated: rows of one key lie in one arc and share
-    its walk, and the columns ``spread`` (all by default) only divide the work of ranking them.
-    Which of an arc's rows go on is settled by hash, never by input order, but for rows that are
-    equal in all columns. An empty table has no rows in any shard. ``rows`` is read twice:
-    pass narrow or written rows. Columns named shard, slot or home are replaced.
+    its walk. Which of an arc's rows go on is settled by the hash of all their columns, never by
+    input order or partitions; rows equal in all columns are interchangeable, and are counted
+    before they move. An empty table has no rows in any shard. ``rows`` must be narrow, of types
+    that can be grouped. Columns named shard, slot or home are replaced.
+
+    One more shard takes rows from all others; with no slack, the capacities of the old shards
+    shrink at once, and what they no longer hold goes on clockwise, some of it to other old
+    shards: see ``tests/llm`` for figures.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot", "home")
+    columns = rows.columns
     nodes = ring(spark, shards, virtual)
     ends = [p for p, _ in nodes]
     arcs = [(k, (ends[k - 1] + 1) if k else 0, ends[k], nodes[k][1]) for k in range(len(ends))]
@@ -86,13 +91,12 @@ def shard(rows: DataFrame, keys: list[str], shards: int = 16, virtual: int = 64,
         arcs.append((0, ends[-1] + 1, PLACES - 1, nodes[0][1]))
     places = spark.createDataFrame(arcs, "_arc int, low int, high int, home int").select("_arc", "home", F.explode(F.sequence("low", "high")).alias("_place"))
 
-    # 64 parts of an arc, so that one repeated key does not fill a task; rows equal in every
-    # column are told apart by the input partition that they lie in.
-    part = F.pmod(F.xxhash64(*(spread or rows.columns), F.spark_partition_id()), F.lit(64)).cast("int")
-    placed = rows.withColumn("_place", _hash(*keys).cast("int")).withColumn("_part", part)
+    # 64 parts of an arc, so that one repeated key does not fill a task.
+    once = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    placed = once.withColumn("_place", _hash(*keys).cast("int")).withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(64)).cast("int"))
     placed = written(placed.join(F.broadcast(places), "_place").drop("_place"), "placed")  # PLACES rows
 
-    by_part = placed.groupBy("_arc", "_part").agg(F.count(F.lit(1)).alias("n"))
+    by_part = placed.groupBy("_arc", "_part").agg(F.sum("_n").alias("n"))
     earlier = Window.partitionBy("_arc").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = written(by_part.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "arcs")
     counts = {r["_arc"]: r["n"] for r in before.groupBy("_arc").agg(F.sum("n").alias("n")).collect()}  # a row for each virtual node
@@ -101,12 +105,14 @@ def shard(rows: DataFrame, keys: list[str], shards: int = 16, virtual: int = 64,
     # The plan's ranges cut by part: a part's rows lie in few of them.
     ranges = spark.createDataFrame(plan, "_arc int, _low long, _high long, shard int, _slot long")
     lists = ranges.groupBy("_arc").agg(F.collect_list(F.struct("_low", "_high", "shard", "_slot")).alias("_ranges"))  # at most ``shards`` for each arc
-    known = before.join(F.broadcast(lists), "_arc").select("_arc", "_part", "_before", F.filter("_ranges", lambda x: (x["_high"] > F.col("_before")) & (x["_low"] < F.col("_before") + F.col("n"))).alias("_ranges"))
-    order = Window.partitionBy("_arc", "_part").orderBy(F.xxhash64(*rows.columns))
-    ranked = placed.withColumn("_nth", F.row_number().over(order) - 1).join(F.broadcast(known), ["_arc", "_part"])  # 64 rows for each virtual node
-    rank = F.col("_before") + F.col("_nth")
-    hit = F.filter("_ranges", lambda x: (x["_low"] <= rank) & (x["_high"] > rank))[0]
-    return ranked.withColumn("_hit", hit).select(*rows.columns, "home", F.col("_hit.shard").alias("shard"), (F.col("_hit._slot") + rank - F.col("_hit._low")).alias("slot"))
+    inside = lambda x: (x["_high"] > F.col("_before")) & (x["_low"] < F.col("_before") + F.col("n"))
+    known = before.join(F.broadcast(lists), "_arc").select("_arc", "_part", "_before", F.filter("_ranges", inside).alias("_ranges"))
+    order = Window.partitionBy("_arc", "_part").orderBy(F.xxhash64(*columns), *columns)
+    nth = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ranked = placed.withColumn("_nth", nth).join(F.broadcast(known), ["_arc", "_part"])  # 64 rows for each virtual node
+    ranked = ranked.withColumn("_rank", F.explode(F.sequence(F.col("_before") + F.col("_nth"), F.col("_before") + F.col("_nth") + F.col("_n") - 1)))
+    hit = F.filter("_ranges", lambda x: (x["_low"] <= F.col("_rank")) & (x["_high"] > F.col("_rank")))[0]
+    return ranked.withColumn("_hit", hit).select(*columns, "home", F.col("_hit.shard").alias("shard"), (F.col("_hit._slot") + F.col("_rank") - F.col("_hit._low")).alias("slot"))
 
 
 def op3_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,13 +122,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = known.select(F.col("row_key").alias("next_key"), F.col("fp").alias("next_fp"))
     # A search asks for the documents whose id is divisible by 100, against all.
     own = known.select("row_key", "doc_id", F.col("fp").alias("fingerprint"))
-    near = within_radius(own.filter("doc_id % 100 = 0"), own, "row_key").filter("distance > 0").groupBy("row_key").agg(F.count(F.lit(1)).alias("n"))
+    near = within_radius(own.filter("doc_id % 100 = 0"), own, "row_key").filter("distance > 0").groupBy("row_key").agg(F.sort_array(F.collect_list("fingerprint")).alias("near"))
     out = known.join(following, "next_key").join(near, "row_key", "left")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-        F.when(F.col("doc_id") % 100 == 0, F.coalesce("n", F.lit(0))).alias("fingerprints_within_3"),
+        F.when(F.col("doc_id") % 100 == 0, F.coalesce(F.array_join(F.transform("near", hexed), ","), F.lit(""))).alias("fingerprints_within_3"),
     )
 
 
