@@ -265,14 +265,17 @@ def _turns(spark, d):
 
 
 @query("R1_route", f"""with {_TURNS} select query_id, case k when 0 then 'NUMERIC' when 1 then 'LIST' when 2 then 'NUMERIC' when 3 then 'CLAUSE' else 'DEFAULT' end as flavor, case k when 0 then 'invoice_total' when 2 then 'student_fees' end as fact_kind,
- case when k = 0 then split_part(q, ' ', 4) end as invoice_no, case when k in (0, 2) then 'FACT_LOOKUP' else 'HYBRID' end as intent from t where k < 5""")
+ case when k = 0 then split_part(q, ' ', 4) end as invoice_no, case when k in (0, 2) then 'FACT_LOOKUP' else 'HYBRID' end as intent from t""")
 def _(spark, d):
-    return facts.route(_turns(spark, d).filter("k < 5")).select("query_id", "flavor", "fact_kind", "invoice_no", "intent")
+    return facts.route(_turns(spark, d)).select("query_id", "flavor", "fact_kind", "invoice_no", "intent")
 
 
-@query("R2_answer_mode", f"with {_TURNS} select query_id, case k when 0 then 'NUMERIC_TOTAL' when 1 then 'LIST' when 3 then 'CLAUSE' else 'DEFAULT' end as mode from t where k < 5")
+_MODES = " ".join(f"when regexp_matches(lower(coalesce(q, '')), '{rx}') then '{mode}'" for rx, mode in ((T.MODE_TOTAL, "NUMERIC_TOTAL"), (T.MODE_LIST, "LIST"), (T.MODE_CLAUSE, "CLAUSE")))
+
+
+@query("R2_answer_mode", f"with {_TURNS} select query_id, case {_MODES} else 'DEFAULT' end as mode from t")
 def _(spark, d):
-    return _turns(spark, d).filter("k < 5").select("query_id", T.answer_mode(F.col("q")).alias("mode"))
+    return _turns(spark, d).select("query_id", T.answer_mode(F.col("q")).alias("mode"))
 
 
 @query("R3_is_greeting", f"with {_TURNS} select query_id, regexp_matches(trim(lower(coalesce(q, ''))), '^(hi|hello|hey|howdy|yo|good morning|good afternoon|good evening)') as greeting from t")
