@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` written as Parquet to the folder named by ``spark.checkpoint.dir`` and read back: its
-    lineage ends there. Where that is unset and Spark runs in one process, a folder of our own."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new path in the folder named by ``spark.checkpoint.dir``. Where that is unset and Spark runs
+    in one process, in a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lakedocs-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/lakedocs/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/lakedocs/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written as Parquet to :func:`stage_path` and read back: its lineage ends there."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
