@@ -65,7 +65,8 @@ def boost_types(df: DataFrame, wanted: Column, by: float = 0.05) -> DataFrame:
 
 def mmr(df: DataFrame, k: int, lam: float = 0.65, most: int = 50) -> DataFrame:
     """(query_id, chunk_id, score, rank): picks by lam * score - (1 - lam) * likeness to those picked,
-    up to 2k. Only the first ``max(most, 4k)`` of a question enter, so a group is bounded."""
+    up to 2k, the best score first. Candidates stand by score, then chunk_id, and of equal worth
+    the first is picked. Only the first ``max(most, 4k)`` of a question enter, so a group is bounded."""
     cut = top_n(df, max(most, 4 * k)).withColumn("tokens", token_set(F.col("text")))
     qid, cid = (cut.schema[c].dataType.simpleString() for c in ("query_id", "chunk_id"))
 
