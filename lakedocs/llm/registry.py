@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, lines, packing, quality, sharding, simhash, substrings, token_files, warc
+from . import decontamination, html_text, jaccard, lines, negatives, packing, quality, sharding, simhash, spelling, substrings, token_files, warc
 
-MODULES = [token_files, packing, sharding, jaccard, lines, decontamination, warc, quality, simhash, substrings]
+MODULES = [token_files, packing, sharding, jaccard, lines, decontamination, warc, quality, simhash, substrings, negatives, spelling, html_text]
 
 
 def queries() -> dict:

@@ -38,7 +38,7 @@ ODD = [(None, "no id here at all"), (7, None), (8, ""), (9, " \n\t "), (10, "sam
 
 def test_registered_queries(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, f in registry.queries().items():
         ours = f(spark, sf).toPandas()
