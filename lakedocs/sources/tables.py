@@ -7,39 +7,30 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .store import Store, Table
+
 ARTIFACT = "artifact_id string, type string, text string, page_idx int, headers array<string>, caption string, metadata map<string,string>, raw_path string"
 ITEM = "type string, text string, page_idx int, headers array<string>, caption string, table_body array<array<string>>, table_html string, table_markdown string, bbox array<double>"
 
 
+def _rows(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> Store:
+    return Store(spark, path, {"rows": Table(keys)})
+
+
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """The table at ``path`` with all rows of the keys in ``df`` replaced by ``df``'s.
 
-    Each call writes a version of its own and then its name to ``_current``: a reader sees the
-    old table or the new one, and running it twice changes nothing.
+    Only the buckets that those keys fall into are written, and a commit makes them valid: a reader
+    sees the old table or the new one, and running it twice changes nothing. The last two versions
+    stay readable. ``df`` is read twice.
     """
-    spark, versions = df.sparkSession, path.rstrip("/")
-    old = current(spark, versions)
-    new = df if old is None else old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df, allowMissingColumns=True)
-    number = 0 if old is None else _number(spark, versions) + 1
-    new.write.mode("overwrite").parquet(f"{versions}/v={number}")
-    spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").parquet(f"{versions}/_pointer/current")
-    return spark.read.parquet(f"{versions}/v={number}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _number(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/_pointer/current").agg(F.max("number")).first()[0]
+    store = _rows(df.sparkSession, path, tuple(keys))
+    return store.read("rows", at=store.change({"rows": (df, None)}))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The latest version of a table, None before the first."""
-    if not _exists(spark, f"{path.rstrip('/')}/_pointer/current"):
-        return None
-    return spark.read.parquet(f"{path.rstrip('/')}/v={_number(spark, path.rstrip('/'))}")
+    return _rows(spark, path).read("rows")
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], created: str | None = None) -> DataFrame:
