@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import keys, text as T
-from ..operators import blocks as B, chunks as C, context as A, facts, filters, fusion as H, graph as G, keyword as K, vectors as V
+from ..operators import blocks as B, chunks as C, context as A, facts, filters, fusion as H, graph as G, inverted_index as I, keyword as K, vectors as V
 from ..sources import tables
-from ..sources.stage import staged
+from ..sources.stage import stage_path, staged
+from ..sources.store import Files
 from . import data as D, search as S
 
 QUERIES: dict = {}
@@ -270,8 +271,17 @@ def _terms(spark, d):
     return K.analyze(D.documents(spark, d), "doc_id").withColumnRenamed("doc_id", "chunk_id")
 
 
+#: Indexes of this process's applications: (application, the documents' files with their sizes and times) -> index.
+_BUILT: dict = {}
+
+
 def _postings(spark, d):
-    return K.build_postings(_terms(spark, d))
+    """The documents' index on disk: each document is a chunk. It is written once for the files as they are."""
+    files = Files(spark, d).states(f"{d}/documents.parquet")
+    key = (spark.sparkContext.applicationId, d, files)
+    if key not in _BUILT:
+        _BUILT[key] = I.build_index(D.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), stage_path(spark, "index"))
+    return _BUILT[key]
 
 
 @query("K1_analyze", f"with {_TERMS} select chunk_id, count(*)::bigint as n, count(distinct term)::bigint as terms, max(pos) as last from terms group by chunk_id")
@@ -281,7 +291,8 @@ def _(spark, d):
 
 @query("K2_build_postings", f"with {_POSTINGS} select term, count(*)::bigint as df, sum(tf)::bigint as cf from post group by term")
 def _(spark, d):
-    return _postings(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """Builds an index anew, whatever there is."""
+    return I.build_index(D.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), stage_path(spark, "index")).terms()
 
 
 @query("K3_websearch_terms", f"with {_ASKED_T} select query_id, term from asked")
@@ -559,7 +570,7 @@ def corpus(spark, d) -> S.Corpus:
     b = keep(D.line_blocks(spark, d))
     chunks = keep(C.chunk_documents(b))
     e = keep(V.hash_embed(chunks, "chunk_id", "text", 64))
-    postings = keep(K.build_postings(K.analyze(chunks)))
+    postings = I.build_index(chunks.select("chunk_id", "text"), stage_path(spark, "index"))
     edges = G.contains_edges(b).unionByName(G.follows_edges(b))
     return S.Corpus(chunks, D.documents(spark, d), e, postings, keep(G.graph_nodes(b)), keep(edges), D.invoices(spark, d))
 

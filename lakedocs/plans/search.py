@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_numeric_question
 from ..operators import filters, fusion, graph, keyword, vectors
+from ..operators.inverted_index import Index
 from ..sources.stage import staged
 
 
@@ -20,7 +21,7 @@ class Corpus:
     chunks: DataFrame
     documents: DataFrame
     index: DataFrame
-    postings: DataFrame
+    postings: DataFrame | Index
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     invoices: DataFrame | None = None

@@ -52,6 +52,10 @@ class Files:
         p = self.Path(path)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
 
+    def states(self, path: str) -> tuple:
+        """(name, bytes, time of change) of a file, or of all in a folder."""
+        return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in self.fs.listStatus(self.Path(path))))
+
     def text(self, path: str) -> str:
         stream = self.fs.open(self.Path(path))
         try:
