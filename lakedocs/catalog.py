@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import queries_parts, queries_reports, queries_search
+from .plans import queries_parts, queries_reports, queries_search, queries_streams
 
 FLAGSHIP = "K5_keyword_topk"
-MODULES: list = [queries_reports, queries_search, queries_parts]
+MODULES: list = [queries_reports, queries_search, queries_parts, queries_streams]
 
 
 def queries() -> dict:

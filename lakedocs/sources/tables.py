@@ -29,8 +29,12 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The latest version of a table, None before the first."""
-    return _rows(spark, path).read("rows")
+    """The latest version of a table, or of a store's table by its path; None before the first."""
+    alone = _rows(spark, path)
+    if alone.commits():
+        return alone.read("rows")
+    root, name = path.rstrip("/").rsplit("/", 1)
+    return Store(spark, root, {}).read(name)
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], created: str | None = None) -> DataFrame:

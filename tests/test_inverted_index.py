@@ -75,6 +75,7 @@ def check(spark, index, texts):
 def test_changes(spark, tmp_path, monkeypatch):
     """Chunks come, change and go; segments are merged on the way; the statistics are those of a new index."""
     monkeypatch.setattr(I, "SEGMENTS", 3)
+    monkeypatch.setattr(I, "BUCKETS", 3)
     writer = I.IndexWriter(Store(spark, str(tmp_path / "i"), {}, keep=1))
     texts = some(60, 1)
     check(spark, writer.change(frame(spark, texts)), texts)
