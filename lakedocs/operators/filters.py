@@ -75,25 +75,50 @@ def restrict_by_date(queries: DataFrame, invoices: DataFrame, today: Column, lim
     return _cut(asked.join(found.withColumnRenamed("span", "date_range"), "date_range", "left")).withColumn("types", F.when(wants, F.array_union(types, F.array(F.lit("table")))).otherwise(types)).select(*asked.columns)
 
 
-#: Characters by which numbers and invoices are joined; an invoice number has five at least.
-GRAM = 5
+#: Characters by which numbers and invoices are joined; an invoice number has five at least. Parts that a common run's invoices are dealt to.
+GRAM, SPLIT = 5, 8
 
 
-def restrict_by_number(queries: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Questions that name an invoice number, cut to the invoices that contain it: joined by the
-    number's last five characters, which are among the invoice's runs of five, then checked."""
+def restrict_by_number(queries: DataFrame, invoices: DataFrame, limit: int = 50) -> DataFrame:
+    """Questions that name an invoice number, cut to the invoices that contain it (the first ``limit`` by id, a stated
+    cut of the filter, made before they are collected): joined by the number's last five characters,
+    which are among the invoice's runs of five, then checked."""
     number = F.regexp_extract(F.upper("q"), INVOICE_NUMBER, 1)
     asked = queries.select("query_id", number.alias("number")).filter("number <> ''")
+    asked = asked.select("query_id", "number", F.right("number", F.lit(GRAM)).alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
     n = F.upper("invoice_number")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - GRAM + 1)), lambda k: F.substring(n, k, F.lit(GRAM)))
-    runs = invoices.select("invoice_id", n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram"))
-    met = asked.withColumn("gram", F.right("number", F.lit(GRAM))).join(runs, "gram").filter(F.contains("n", "number"))
-    return _narrow(queries, met.groupBy("query_id").agg(F.sort_array(F.collect_set(F.col("invoice_id").cast("string"))).alias("ids")))
+    runs = invoices.select(F.col("invoice_id").cast("string").alias("id"), F.pmod(F.xxhash64("invoice_id"), F.lit(SPLIT)).cast("int").alias("part"), n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram"))
+    met = asked.join(runs, ["gram", "part"]).filter(F.contains("n", "number")).select("query_id", "id").distinct()
+    met = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("n") <= limit)
+    return _narrow(queries, met.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids")))
 
 
-def restrict_last_days(queries: DataFrame, invoices: DataFrame, today: Column) -> DataFrame:
-    """Questions with ``date_last_days``, cut to the invoices of those days."""
+def restrict_last_days(queries: DataFrame, invoices: DataFrame, today: Column, limit: int = 1000) -> DataFrame:
+    """Questions with ``date_last_days``, cut to the invoices of those days (the first ``limit`` by id)."""
     t = today.cast("date")
     span = F.when(F.col("date_last_days") > 0, F.struct(F.date_sub(t, F.col("date_last_days")).alias("start"), t.alias("end")))
     asked = queries.withColumn("span", span)
-    return _cut(asked.join(_dated(asked.select("span"), invoices, None), "span", "left")).select(*queries.columns)
+    return _cut(asked.join(_dated(asked.select("span"), invoices, limit), "span", "left")).select(*queries.columns)
+
+
+#: What a question may ask of its chunks, null or empty if it doesn't.
+RESTRICTIONS = {"doc_ids": "array<string>", "types": "array<string>", "mime_any": "array<string>", "uri_like": "string", "filename_like": "string", "vendor_like": "string", "boost_types": "array<string>"}
+
+
+def with_restrictions(queries: DataFrame) -> DataFrame:
+    """``queries`` with all columns of ``RESTRICTIONS``."""
+    return queries.withColumns({c: F.lit(None).cast(t) for c, t in RESTRICTIONS.items() if c not in queries.columns})
+
+
+def passing(rows: DataFrame, queries: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (query_id, chunk_id, ...) whose chunk is among ``facts`` (chunk_id, doc_id, types, mime, uri, filename, vendor) and
+    passes its question's restrictions; parts of names match in any case."""
+    ask = with_restrictions(queries).select("query_id", *[F.col(c).alias(f"_{c}") for c in RESTRICTIONS if c != "boost_types"])
+    j = rows.select("query_id", "chunk_id").join(facts, "chunk_id").join(ask, "query_id")
+    free = lambda c: F.coalesce(F.size(f"_{c}"), F.lit(0)) <= 0
+    okay = free("doc_ids") | F.array_contains("_doc_ids", F.col("doc_id"))
+    okay = okay & (free("types") | F.arrays_overlap("types", "_types")) & (free("mime_any") | F.array_contains("_mime_any", F.col("mime")))
+    for c, like in (("uri", "_uri_like"), ("filename", "_filename_like"), ("vendor", "_vendor_like")):
+        okay = okay & ((F.coalesce(like, F.lit("")) == "") | F.contains(F.lower(c), F.lower(like)))
+    return rows.join(j.filter(F.coalesce(okay, F.lit(False))).select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")

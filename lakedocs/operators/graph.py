@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import stable_id
 from ..functions.text import strip
+from .vectors import context_boost
 
 LEVELS = range(1, 7)
 
@@ -72,9 +73,10 @@ def block_chunk_map(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode("meta.source_block_ids").alias("block_id"), "chunk_id", "doc_id").distinct()
 
 
-def expand_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int = 10) -> DataFrame:
+def expand_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int = 10, questions: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score_graph, from_rank): chunks next to the first hits that no hit has yet,
-    at 0.6 of the hit's score; the first hit that finds one counts.
+    at 0.6 of the hit's score; the first hit that finds one counts. With ``questions`` (query_id, q) the
+    found chunk's own headers and types raise its score as they raise a hit's.
 
     hits: query_id, rank, chunk_id, score_vec.
     """
@@ -85,4 +87,9 @@ def expand_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: Dat
     found = near.join(seeds.drop("block_id").distinct(), "seed_id").join(where.select("block_id", "chunk_id"), "block_id")
     fresh = found.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     best = fresh.groupBy("query_id", "chunk_id").agg(F.min(F.struct("from_rank", "near_rank", "score_vec")).alias("m"))
-    return best.select("query_id", "chunk_id", (F.lit(0.6) * F.col("m.score_vec")).alias("score_graph"), F.col("m.from_rank").alias("from_rank"))
+    score = F.lit(0.6) * F.col("m.score_vec")
+    if questions is not None:
+        facts = chunks.select("chunk_id", F.col("meta.context_headers").alias("headers"), F.col("meta.types").alias("types"))
+        best = best.join(facts, "chunk_id").join(questions.select("query_id", "q"), "query_id")
+        score = F.round(score + context_boost(F.col("headers"), F.col("types"), F.col("q")), 6)
+    return best.select("query_id", "chunk_id", score.alias("score_graph"), F.col("m.from_rank").alias("from_rank"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_numeric_question
+from ..functions.text import enrich_query, is_numeric_question
 from ..operators import filters, fusion, graph, keyword, vectors
 from ..operators.inverted_index import Index
 from ..sources.stage import staged
@@ -27,40 +27,51 @@ class Corpus:
     invoices: DataFrame | None = None
 
 
-def searchable(corpus: Corpus) -> DataFrame:
-    """Chunks of live documents with what searches filter on."""
-    docs = corpus.documents.filter("state <> 'DELETED'").select("doc_id", "tenant_id", "mime", "uri", "state", "collected_at")
+def searchable(corpus: Corpus, tenant_id: str | None = None) -> DataFrame:
+    """Chunks of live documents with what searches restrict by: types, mime, uri, filename, and vendor where the document
+    is an invoice. ``tenant_id``: those of one tenant."""
+    docs = corpus.documents.filter("state <> 'DELETED'")
+    if tenant_id is not None:
+        docs = docs.filter(F.col("tenant_id") == tenant_id)
+    name = F.col("filename") if "filename" in docs.columns else F.element_at(F.split("uri", "/"), -1)
+    docs = docs.select("doc_id", "tenant_id", "mime", "uri", "state", "collected_at", name.alias("filename"))
+    if corpus.invoices is not None:
+        vendors = corpus.invoices.groupBy(F.col("invoice_id").cast("string").alias("doc_id")).agg(F.min("vendor").alias("vendor"))
+        docs = docs.join(vendors, "doc_id", "left")
+    else:
+        docs = docs.withColumn("vendor", F.lit(None).cast("string"))
     return corpus.chunks.join(docs, "doc_id").withColumn("types", F.col("meta.types"))
 
 
-def _split(queries: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions that may see every chunk, those with ``doc_ids``, and what the latter see as (query_id,
-    chunk_id): restrictions hold before a leg is cut to its depth, so nothing below the cut is lost."""
-    n = F.coalesce(F.size("doc_ids"), F.lit(0))
-    free, bound = queries.filter(n <= 0), queries.filter(n > 0)
-    seen = bound.select("query_id", F.explode("doc_ids").alias("doc_id")).join(facts.select("doc_id", "chunk_id"), "doc_id")
-    return free, bound, seen.select("query_id", "chunk_id").distinct()
+def _facts(live: DataFrame) -> DataFrame:
+    return live.select("chunk_id", "doc_id", "types", "mime", "uri", "filename", "vendor")
 
 
-def keyword_leg(queries: DataFrame, corpus: Corpus, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank): any of a question's terms, among the live chunks it may see."""
-    live = searchable(corpus)
-    free, bound, seen = _split(queries, live)
-    parts = [keyword.keyword_topk(q, corpus.postings, k, mode="any", allowed=a) for q, a in ((free, live.select("chunk_id")), (bound, seen))]
-    return parts[0].unionByName(parts[1])
+def keyword_leg(queries: DataFrame, corpus: Corpus, k: int, tenant_id: str | None = None, live: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): any of an enriched question's terms, among the live chunks that it may see. All
+    restrictions hold before the first k are taken, so nothing below that cut is lost."""
+    live = _facts(searchable(corpus, tenant_id)) if live is None else live
+    asked = queries.withColumn("q", enrich_query(F.col("q")))
+    return keyword.keyword_topk(asked, corpus.postings, k, mode="any", passing=lambda found: filters.passing(found, queries, live))
 
 
-def search_vector(queries: DataFrame, corpus: Corpus, k: int, now: Column) -> DataFrame:
-    """Nearest chunks with boosts for headers, tables and recency, widened along the graph. Hits of
-    other types than a question asks for drop out.
+def search_vector(queries: DataFrame, corpus: Corpus, k: int, now: Column, tenant_id: str | None = None) -> DataFrame:
+    """Nearest chunks with boosts for headers, tables and recency, widened along the graph. A question's documents and mimes
+    hold before the nearest are taken; hits of other types than it asks for drop out afterwards.
 
-    queries: query_id, q, embedding, doc_ids, types.
+    queries: query_id, q, embedding, doc_ids, types, mime_any.
     """
     depth = max(k, 60)
-    live = searchable(corpus)
-    free, bound, seen = _split(queries, live)
-    near = vectors.vector_topk(free, corpus.index.join(live.select("chunk_id"), "chunk_id", "left_semi"), depth)
-    own = seen.join(bound.select("query_id", F.col("embedding").alias("e")), "query_id").join(corpus.index.select("chunk_id", "embedding"), "chunk_id")
+    queries = filters.with_restrictions(queries)
+    live = searchable(corpus, tenant_id)
+    n = F.coalesce(F.size("doc_ids"), F.lit(0))
+    free, bound = queries.filter(n <= 0), queries.filter(n > 0)
+    index = corpus.index.select("chunk_id", "embedding").join(live.select("chunk_id", "mime"), "chunk_id")
+    near = vectors.vector_topk(free, index, depth, only=("mime_any", "mime"))
+    # A question's documents are fewer than a thousand or two (the date and number filters' limits), found by id.
+    own = bound.select("query_id", F.explode(F.array_distinct("doc_ids")).alias("doc_id")).join(live.select("doc_id", "chunk_id", "mime"), "doc_id")
+    ask = bound.select("query_id", F.col("embedding").alias("e"), "mime_any")
+    own = own.join(corpus.index.select("chunk_id", "embedding"), "chunk_id").join(ask, "query_id").filter((F.coalesce(F.size("mime_any"), F.lit(0)) <= 0) | F.array_contains("mime_any", F.col("mime")))
     own = vectors.ranked(own.select("query_id", "chunk_id", vectors.cosine(F.col("e"), F.col("embedding")).alias("score")), depth)
     hits = staged(near.unionByName(own), "nearest").withColumnRenamed("score", "score_vec")
     asked = queries.select("query_id", "q", F.col("types").alias("want"))
@@ -69,30 +80,41 @@ def search_vector(queries: DataFrame, corpus: Corpus, k: int, now: Column) -> Da
     score = F.col("score_vec") + vectors.recency_boost(F.col("collected_at"), now) + vectors.context_boost(F.col("headers"), F.col("types"), F.col("q"))
     scored = staged(full.select("query_id", "chunk_id", "score_vec", "rank", score.alias("score")), "scored")
     if corpus.nodes is not None and corpus.edges is not None:
-        more = graph.expand_hits(scored.filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score_vec"), corpus.nodes, corpus.edges, corpus.chunks)
+        more = graph.expand_hits(scored.filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score_vec"), corpus.nodes, corpus.edges, corpus.chunks, questions=queries)
         more = more.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         scored = scored.select("query_id", "chunk_id", "score").unionByName(more.select("query_id", "chunk_id", F.col("score_graph").alias("score")))
     return vectors.ranked(scored.select("query_id", "chunk_id", "score"))
 
 
-def search(queries: DataFrame, corpus: Corpus, today: Column, now: Column, k: int = 8, hybrid: bool = True, alpha: float = 0.7) -> DataFrame:
-    """Restrict, search both legs, fuse, diversify, cap, net, widen: at most k hits a question.
+def search(queries: DataFrame, corpus: Corpus, today: Column, now: Column, k: int = 8, hybrid: bool = True, alpha: float = 0.7, tenant_id: str | None = None, mode: str = "rrf", scorer: Column | None = None) -> DataFrame:
+    """Restrict, search both legs, fuse, re-rank, boost, diversify, cap, net, widen: at most k hits a question.
 
-    queries: query_id, q, embedding, doc_ids, types, date_last_days. What several steps read is
-    written once.
+    queries: query_id, q, embedding, doc_ids, types, date_last_days, and any of
+    ``filters.RESTRICTIONS``. ``mode``: rrf, or norm for scores scaled within each leg. ``scorer``: a
+    new score of each candidate from its columns, such as a pandas UDF of ``q`` and ``text``. What
+    several steps read is written once.
     """
-    asked = queries
+    asked = filters.with_restrictions(queries)
     if corpus.invoices is not None:
         asked = filters.restrict_by_date(asked, corpus.invoices, today).drop("date_range")
         asked = filters.restrict_by_number(asked, corpus.invoices)
         asked = filters.restrict_last_days(asked, corpus.invoices, today)
     asked = staged(asked, "asked")
-    facts = searchable(corpus).select("chunk_id", "doc_id", "text", "types", "uri", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids"))
-    fused = staged(search_vector(asked, corpus, max(k, 32), now), "vector-leg")
+    live = staged(searchable(corpus, tenant_id).select("chunk_id", "doc_id", "text", "types", "mime", "uri", "filename", "vendor", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids")), "live")
+    facts = live.drop("mime", "filename", "vendor")
+    fused = staged(search_vector(asked, corpus, max(k, 32), now, tenant_id), "vector-leg")
+    if hybrid:
+        kw = staged(keyword_leg(asked, corpus, max(k, 100), live=_facts(live)), "keyword-leg")
+        fused = (fusion.fuse_minmax if mode == "norm" else fusion.fuse_rrf)(fused, kw, alpha)
+        fused = fusion.top_n(fused, max(50, 4 * k))
+    full = filters.restrict_docs(fused.join(facts, "chunk_id"), asked)
     if hybrid:
-        kw = staged(keyword_leg(asked, corpus, max(k, 100)), "keyword-leg")
-        fused = fusion.top_n(fusion.fuse_rrf(fused, kw, alpha), max(50, 4 * k))
-    full = staged(fusion.ranked(filters.restrict_docs(fused.join(facts, "chunk_id"), asked).drop("rank")), "fused")
+        # A second score, and what the question would rather see, before the diverse ones are picked.
+        if scorer is not None:
+            full = fusion.rerank(full.join(asked.select("query_id", "q"), "query_id"), scorer).drop("q")
+        full = full.join(asked.select("query_id", F.col("boost_types").alias("_wanted")), "query_id")
+        full = fusion.boost_types(full, F.col("_wanted")).drop("_wanted")
+    full = staged(fusion.ranked(full.drop("rank")), "fused")
     if hybrid:
         picked = fusion.mmr(full, k).drop("score")
         full = picked.join(full.drop("rank"), ["query_id", "chunk_id"])
