@@ -74,9 +74,19 @@ def _(spark, d):
     return ingest.check_blob_sizes(docs, blobs)
 
 
-@query("S10_flag_unsafe_urls", "select page_id, case when page_id % 4 = 0 then 'private' when page_id % 4 = 1 then 'loopback' when page_id % 4 = 2 then 'no_host' end as unsafe_reason from pages")
+_HOSTS = {
+    "http://10.1.2.3/x": "private", "https://127.0.0.1:80/": "loopback", "notaurl": "no_host", "http://[::1]/": "loopback", "http://[fe80::1%25eth0]:8080/a": "link_local", "http://[FF02::1]/": "multicast", "http://[2001:db8::5]/": "reserved",
+    "http://[fd12:3456::1]/": "private", "http://0x7f000001/": "loopback", "http://2130706433/": "loopback", "http://0300.0250.1/": "private", "http://[::ffff:10.0.0.1]/": "private", "http://224.0.0.9/": "multicast", "http://255.255.255.255/": "reserved",
+    "http://[2606:4700::1111]/": None, "http://192.0.0.9/": None, "http://8.8.8.8./": None, "http://user@169.254.1.1/": "link_local",
+}
+_HOST_CASES = " ".join(f"when {k} then '{w}'" for k, w in enumerate(_HOSTS.values()) if w)
+
+
+@query("S10_flag_unsafe_urls", f"select page_id, case page_id % {len(_HOSTS) + 1} {_HOST_CASES} end as unsafe_reason from pages")
 def _(spark, d):
-    url = F.when(F.col("page_id") % 4 == 0, "http://10.1.2.3/x").when(F.col("page_id") % 4 == 1, "https://127.0.0.1:80/").when(F.col("page_id") % 4 == 2, "notaurl").otherwise(F.col("url"))
+    """Pages' own URLs, and literal addresses of all kinds in their place."""
+    at = F.col("page_id") % (len(_HOSTS) + 1)
+    url = F.coalesce(F.get(F.array(*map(F.lit, _HOSTS)), at.cast("int")), F.col("url"))
     return ingest.flag_unsafe_urls(D.read(spark, d, "pages").withColumn("url", url)).select("page_id", "unsafe_reason")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import keys, text as T
-from ..operators import blocks as B, chunks as C, context as A, facts, filters, fusion as H, graph as G, inverted_index as I, keyword as K, vectors as V
+from ..operators import blocks as B, chunks as C, context as A, facts, filters, fusion as H, graph as G, inverted_index as I, keyword as K, language as L, vectors as V
 from ..sources import tables
 from ..sources.stage import stage_path, staged
 from ..sources.store import Files
@@ -97,6 +97,16 @@ def _(spark, d):
     return B.with_language(D.read(spark, d, "documents")).groupBy("lang", "language").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("B13_language_profiles")
+def _(spark, d):
+    """Profiles of 100 documents a language; all documents told by them, and how many rightly, those of the sample apart."""
+    docs = D.read(spark, d, "documents")
+    sample = staged(L.labelled_sample(docs, per_language=100), "sample")
+    told = L.with_language_by_profile(docs.select("doc_id", "lang", "text"), L.fit_profiles(sample)).drop("text")
+    told = told.join(sample.select("doc_id", F.lit(True).alias("s")), "doc_id", "left").withColumn("held_out", F.col("s").isNull())
+    return told.groupBy("lang", "held_out").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("n_right"), F.round(F.avg((F.col("language") == F.col("lang")).cast("double")), 4).alias("accuracy"))
+
+
 @query("B14_citation_url", "select page_id, '/ui/open/' || page_id || case when page_id % 2 = 0 then '#p-' || (page_id % 7) else '' end as url from pages")
 def _(spark, d):
     p = F.col("page_id")
@@ -183,13 +193,14 @@ def _(spark, d):
     return G.follows_edges(D.line_blocks(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("G4_graph_neighbors", f"""with {D.SQL_BLOCKS}, b as (select *, row_number() over (partition by doc_id order by pos) as k, count(*) over (partition by doc_id) as n from bl) select doc_id || '#' || pos as seed_id,
- least(32, (case when k < n then 1 else 0 end) + (case when k > 1 then 2 else 1 end) + (n - 1))::bigint as n from b where k = 2""")
+@query("G4_graph_neighbors", f"""with {D.SQL_BLOCKS}, b as (select doc_id || '#' || pos as seed_id, row_number() over (partition by doc_id order by pos) as k, count(*) over (partition by doc_id) as n from bl), f as (select *, (k < n)::int as next, (k > 1)::int as last from b)
+ select seed_id, 'follows' as rel, 1::bigint as n from f where next = 1 union all select seed_id, 'incoming_contains', 1 from f union all select seed_id, 'incoming_follows', 1 from f where last = 1 union all select seed_id, 'shared_parent', least(n - 1, 31 - next - last)::bigint from f where n > 1""")
 def _(spark, d):
-    b = D.line_blocks(spark, d)
-    nodes, edges = G.graph_nodes(b), G.contains_edges(b).unionByName(G.follows_edges(b))
-    second = b.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter("k = 2")
-    return G.graph_neighbors(second.select(F.concat("doc_id", F.lit("#"), "pos").alias("seed_id"), "block_id"), nodes, edges).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"))
+    """The neighbours of every block, by relation."""
+    b = staged(D.line_blocks(spark, d), "blocks")
+    nodes, edges = staged(G.graph_nodes(b), "nodes"), staged(G.contains_edges(b).unionByName(G.follows_edges(b)), "edges")
+    seeds = b.select(F.concat("doc_id", F.lit("#"), "pos").alias("seed_id"), "block_id")
+    return G.graph_neighbors(seeds, nodes, edges).groupBy("seed_id", "rel").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -339,6 +350,15 @@ def _(spark, d):
     return K.scan_any_term(docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), ["TION the", "que la"], docs.withColumnRenamed("collected_at", "extracted_at")).select("doc_id")
 
 
+@query("K10_scan_any_terms", f"""with {D.SQL_DOCS}, w as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]{{7,}}')) as term from benchmark), f as (select distinct query_id, doc_id, collected_at from w join docs on contains(lower(text), term)),
+ r as (select *, row_number() over (partition by query_id order by collected_at desc, doc_id) as rank from f) select query_id, doc_id as chunk_id, rank::int as rank from r where rank <= 200""")
+def _(spark, d):
+    """Each benchmark text asks for all its words of seven letters and more."""
+    docs = staged(D.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.col("collected_at").alias("extracted_at")))
+    asked = D.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{7,}"), F.lit(0)).alias("terms"))
+    return K.scan_any_terms(docs, asked, docs.select("doc_id", "extracted_at"))
+
+
 # --- fusion -----------------------------------------------------------------------------------
 
 _LEGS = f"""s as (select q.vec_id as query_id, i.vec_id as chunk_id, round({_COS}, 9) as c from embeddings q, embeddings i where q.vec_id % 100 = 0),

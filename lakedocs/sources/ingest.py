@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.hosts import host_of, with_not_public
 from ..functions.keys import blob_key, url_basename, with_content_hash
 
 #: Extensions and their types.
@@ -109,17 +110,12 @@ def check_blob_sizes(docs: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def flag_unsafe_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``unsafe_reason``: no host, or a literal address that isn't public. Names aren't resolved."""
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    octets = F.transform(F.split(host, r"\."), lambda x: x.try_cast("int"))
-    a, b, c = (F.get(octets, F.lit(k)) for k in range(3))
-    is_v4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-    reserved = (a == 0) | (a >= 240) | ((a == 100) & b.between(64, 127)) | ((a == 192) & (b == 0)) | ((a == 198) & b.between(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
-    v6 = host.rlike(r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)\]$")
-    reason = F.when(host == "", "no_host").when((host == "localhost") | host.endswith(".localhost"), "loopback")
-    reason = reason.when(is_v4, F.when(a == 127, "loopback").when((a == 169) & (b == 254), "link_local").when(a.between(224, 239), "multicast").when(private, "private").when(reserved, "reserved")).when(v6, "not_public")
-    return df.withColumn("unsafe_reason", reason)
+    """Adds ``unsafe_reason``: no host, or a literal address that isn't public, in any spelling that systems read
+    (``127.1``, ``0x7f000001``, ``[::ffff:7f00:1]``). Names aren't resolved."""
+    host = F.col("_host")
+    out = with_not_public(df.withColumn("_host", host_of(F.col(url))), "_host", "unsafe_reason")
+    named = F.when(host == "", "no_host").when((host == "localhost") | host.endswith(".localhost"), "loopback")
+    return out.withColumn("unsafe_reason", named.otherwise(F.col("unsafe_reason"))).drop("_host")
 
 
 def to_events(df: DataFrame, stage: str, status: str | Column, details: list[str], ts: Column) -> DataFrame:

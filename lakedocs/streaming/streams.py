@@ -79,6 +79,25 @@ def put_documents(store: Store, docs: DataFrame, stream: str | None = None, batc
     return new
 
 
+def take_documents(store: Store, ids: DataFrame, tenant_id: str | None = None, wipe: bool = False) -> Commit:
+    """Documents ``ids`` (doc_id) are marked DELETED, and what searches read of them goes by the same commit: chunks, vectors and
+    postings. ``wipe``: blocks, graph and the documents' own rows go too. ``tenant_id``: only that tenant's."""
+    was, writer = store.commit(), IndexWriter(store)
+    docs = _touched(store, "documents", ids.select("doc_id").distinct(), was)
+    if docs is None:
+        return was
+    docs = staged(docs if tenant_id is None else docs.filter(F.col("tenant_id") == tenant_id), "taken")
+    gone = docs.select("doc_id")
+    chunks = staged(_touched(store, "chunks", gone, was).select("chunk_id"), "gone")
+    changes = {n: (None, gone) for n in ("chunks", "vectors", *(("blocks", "nodes", "edges", "documents") if wipe else ()))}
+    changes["forward"] = (None, chunks)
+    if not wipe:
+        changes["documents"] = (docs.withColumn("state", F.lit("DELETED")), None)
+    new = store.change(changes, notes=lambda n, now: now.notes | {"segments": writer.segment(n, now, None, chunks)})
+    writer.expire()
+    return new
+
+
 def ingest_stream(spark: SparkSession, path: str, tables: str, checkpoint: str, tenant_id: str = "default", policy: Policy = Policy()) -> StreamingQuery:
     """New text files below ``path`` become documents, blocks, chunks, graph, vectors and postings of the store ``tables``.
 
