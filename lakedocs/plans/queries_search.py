@@ -286,11 +286,10 @@ def _terms(spark, d):
 _BUILT: dict = {}
 
 
-def _postings(spark, d):
+def _postings(spark, d, anew=False):
     """The documents' index on disk: each document is a chunk. It is written once for the files as they are."""
-    files = Files(spark, d).states(f"{d}/documents.parquet")
-    key = (spark.sparkContext.applicationId, d, files)
-    if key not in _BUILT:
+    key = (spark.sparkContext.applicationId, d, Files(spark, d).states(f"{d}/documents.parquet"))
+    if anew or key not in _BUILT:
         _BUILT[key] = I.build_index(D.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), stage_path(spark, "index"))
     return _BUILT[key]
 
@@ -302,8 +301,8 @@ def _(spark, d):
 
 @query("K2_build_postings", f"with {_POSTINGS} select term, count(*)::bigint as df, sum(tf)::bigint as cf from post group by term")
 def _(spark, d):
-    """Builds an index anew, whatever there is."""
-    return I.build_index(D.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), stage_path(spark, "index")).terms()
+    """Builds the index anew, whatever there is."""
+    return _postings(spark, d, True).terms()
 
 
 @query("K3_websearch_terms", f"with {_ASKED_T} select query_id, term from asked")
