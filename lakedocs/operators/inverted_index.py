@@ -1,6 +1,6 @@
 """The inverted index as tables on disk: segments of postings, bucketed and sorted by term.
 
-A segment holds the postings of the chunks of one change, the change that it makes to each term's
+A segment holds the postings of the chunks of one change in blocks, the change that it makes to each term's
 statistics (so old counts go down where chunks go), and the ids of the chunks that it replaces: their
 postings in earlier segments are dead. Questions are joined with each segment on its own buckets, so
 no posting is shuffled; a term's list is dealt to ``SPLIT`` parts, for the sake of terms that are in
@@ -24,12 +24,23 @@ from .keyword import STOP, words_of
 BUCKETS, SPLIT, SEGMENTS = 32, 4, 8
 #: The table of a store that knows each chunk's terms, to take them out again.
 FORWARD = Table(("chunk_id",), 32)
-_POSTING = "term string, chunk_id string, part int, tf int, positions array<int>, length int, lead boolean"
+_BLOCK = "term string, part int, chunk_ids array<string>, lengths array<int>, ends array<int>, positions array<int>, leads int"
+_POSTING = "term string, part int, chunk_id string, tf int, positions array<int>, length int"
 
 
-def postings_of(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, chunk_id, part, tf, positions, length, lead): a row for each term of each chunk, made within the chunk's row
-    and so without a shuffle. ``lead``: it is the chunk's first, so that chunks can be counted. Chunk ids must be unique and not null; null texts have no terms."""
+def _batch(term: pa.Array, part: np.ndarray, chunk: pa.Array, length: np.ndarray, starts: np.ndarray, places: np.ndarray, at: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+    """Blocks that begin at the postings ``at``; a posting's places begin at ``starts``."""
+    n, ends = np.diff(np.append(at, len(starts))), np.append(starts[1:], len(places))
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    own = lists(np.append(at, len(starts)), chunk), lists(np.append(at, len(starts)), pa.array(length, pa.int32())), lists(np.append(at, len(starts)), pa.array(ends - np.repeat(starts[at], n), pa.int32()))
+    return pa.RecordBatch.from_arrays([term, pa.array(part, pa.int32()), *own, lists(np.append(starts[at], len(places)), pa.array(places, pa.int32())), pa.array(np.add.reduceat(lead, at), pa.int32())], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def blocks_of(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """Postings in blocks: a row for each term and part of each batch of chunks, with its chunks, their lengths, and all places,
+    those of the i-th chunk up to ``ends[i]``. Made without a shuffle. ``leads``: how many postings are
+    their chunk's first, so that chunks can be counted. Chunk ids must be unique and not null; null
+    texts have no terms."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = pa.array(STOP)
@@ -42,20 +53,47 @@ def postings_of(chunks: DataFrame, text_col: str = "text") -> DataFrame:
             place = np.arange(len(flat)) - np.repeat(first, n)
             keep = ~np.asarray(pc.is_in(flat, stop))
             code = flat.dictionary_encode()
-            row, place, term = row[keep], place[keep], np.asarray(code.indices)[keep]
+            row, place, term = row[keep], place[keep], np.asarray(code.indices)[keep].astype(np.int64)
             if not len(row):
                 continue
-            length = np.bincount(row, minlength=len(n))
-            order = np.argsort(row.astype(np.int64) * (len(code.dictionary) + 1) + term, kind="stable")
-            row, place, term = row[order], place[order], term[order]
-            at = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
-            ends = np.append(at[1:], len(row))
-            positions = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(place, pa.int32()))
-            of = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(term[at])), batch.column(0).take(of), batch.column(1).take(of), pa.array(ends - at, pa.int32()), positions, pa.array(length[row[at]], pa.int32()), pa.array(np.diff(row[at], prepend=-1) != 0)], names=["term", "chunk_id", "part", "tf", "positions", "length", "lead"])
+            length, part = np.bincount(row, minlength=len(n)), batch.column(1).to_numpy().astype(np.int64)
+            block = part[row] * len(code.dictionary) + term
+            order = np.argsort(block * len(n) + row, kind="stable")
+            row, place, term, block = row[order], place[order], term[order], block[order]
+            starts = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+            of = row[starts]
+            lead = np.zeros(len(of), np.int64)
+            lead[np.unique(of, return_index=True)[1]] = 1
+            at = np.flatnonzero(np.diff(block[starts], prepend=-1))
+            yield _batch(code.dictionary.take(pa.array(term[starts[at]])), part[of[at]], batch.column(0).take(pa.array(of)), length[of], starts, place, at, lead)
 
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(SPLIT)).cast("int")
-    return chunks.select(F.col("chunk_id").cast("string"), part.alias("part"), words_of(text_col).alias("words")).mapInArrow(invert, _POSTING)
+    return chunks.select(F.col("chunk_id").cast("string"), part.alias("part"), words_of(text_col).alias("words")).mapInArrow(invert, _BLOCK)
+
+
+def _blocks_again(rows: DataFrame) -> DataFrame:
+    """Blocks of postings that are sorted by term and part, as far as an Arrow batch goes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                term, part, places = b.column(0), b.column(1).to_numpy(), b.column(4)
+                code = np.asarray(term.dictionary_encode().indices)
+                at = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+                starts = np.asarray(places.offsets)[:-1] - np.asarray(places.offsets)[0]
+                yield _batch(term.take(pa.array(at)), part[at], b.column(2), b.column(5).to_numpy(), starts, np.asarray(places.flatten()), at, np.zeros(b.num_rows, np.int64))
+
+    sorted_rows = rows.select(*[c.split()[0] for c in _POSTING.split(", ")]).repartition(BUCKETS, "term", "part").sortWithinPartitions("term", "part")
+    return sorted_rows.mapInArrow(pack, _BLOCK)
+
+
+def _opened(blocks: DataFrame) -> DataFrame:
+    """A row for each posting of ``blocks``: chunk_id, tf, positions and length in place of the block's lists."""
+    rest = [c for c in blocks.columns if c not in ("chunk_ids", "lengths", "ends", "positions", "leads")]
+    rows = blocks.select(*rest, "lengths", "ends", "positions", F.posexplode("chunk_ids").alias("_i", "chunk_id"))
+    start = F.when(F.col("_i") > 0, F.get("ends", F.col("_i") - 1)).otherwise(0)
+    tf = F.get("ends", F.col("_i")) - start
+    return rows.select(*rest, "chunk_id", tf.alias("tf"), F.slice("positions", start + 1, tf).alias("positions"), F.get("lengths", F.col("_i")).alias("length"))
 
 
 def _table(spark: SparkSession, path: str, schema: StructType, by: tuple[str, ...]) -> DataFrame:
@@ -95,7 +133,7 @@ class Index:
     def _path(self, segment: dict, what: str) -> str:
         return f"{self.root}/_index/seg={segment['number']}/{what}"
 
-    def _postings(self, segment: dict) -> DataFrame:
+    def _blocks(self, segment: dict) -> DataFrame:
         return _table(self.spark, self._path(segment, "postings"), StructType.fromJson(segment["postings"]), ("term", "part"))
 
     def _terms(self, segment: dict) -> DataFrame:
@@ -112,8 +150,8 @@ class Index:
         """``asked``, which has ``term``, joined with the postings: chunk_id, tf, positions, length."""
         dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
         # Not broadcast, nor is the index shuffled: the asked terms go where their buckets are.
-        found = [self._alive(dealt.hint("merge").join(self._postings(s), ["term", "part"]).drop("part"), k) for k, s in enumerate(self.segments)]
-        return _union(found) if found else asked.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("chunk_id", "string"), ("tf", "int"), ("positions", "array<int>"), ("length", "int"), ("lead", "boolean"))]).limit(0)
+        found = [self._alive(_opened(dealt.hint("merge").join(self._blocks(s), ["term", "part"])).drop("part"), k) for k, s in enumerate(self.segments)]
+        return _union(found) if found else asked.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("chunk_id", "string"), ("tf", "int"), ("positions", "array<int>"), ("length", "int"))]).limit(0)
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df): how many chunks hold each of ``terms`` (term), 0 left out."""
@@ -134,7 +172,7 @@ class Index:
 
     def postings(self) -> DataFrame:
         """All that is alive."""
-        rows = [self._alive(self._postings(s), k) for k, s in enumerate(self.segments)]
+        rows = [self._alive(_opened(self._blocks(s)), k) for k, s in enumerate(self.segments)]
         return _union(rows) if rows else self.spark.createDataFrame([], _POSTING)
 
 
@@ -170,18 +208,20 @@ class IndexWriter:
             lost = old.join(self.spark.read.schema("chunk_id string").parquet(path("gone")), "chunk_id", "left_semi")
             minus = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         here["gone"] = minus[0] > 0
-        made = postings_of(chunks, text_col) if chunks is not None else self.spark.createDataFrame([], _POSTING)
+        made = blocks_of(chunks, text_col) if chunks is not None else self.spark.createDataFrame([], _BLOCK)
         _write(made, path("postings"), ("term", "part"))
         here["postings"] = _json(made)
         mine = self.spark.read.schema(made.schema).parquet(path("postings"))
-        counts = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+        # A block's last end is the number of its places.
+        places = F.element_at("ends", -1).cast("long")
+        counts = mine.groupBy("term").agg(F.sum(F.size("ends")).cast("long").alias("df"), F.sum(places).alias("cf"))
         if here["gone"]:
             each = lost.select("chunk_id", F.explode("terms").alias("term"))
             less = each.groupBy("term").agg((-F.countDistinct("chunk_id")).alias("df"), (-F.count(F.lit(1))).alias("cf"))
             counts = counts.unionByName(less).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         _write(counts, path("terms"), ("term",))
         here["terms"] = _json(counts)
-        plus = mine.agg(F.count_if("lead"), F.coalesce(F.sum("tf"), F.lit(0))).first()
+        plus = mine.agg(F.coalesce(F.sum("leads"), F.lit(0)), F.coalesce(F.sum(places), F.lit(0))).first()
         here |= {"chunks": plus[0] - minus[0], "length": int(plus[1]) - int(minus[1])}
         return self._merged([*segments, here], number)
 
@@ -192,7 +232,7 @@ class IndexWriter:
         whole = Index(self.spark, self.root, segments)
         name = f"{number}m"
         path = lambda what: f"{self.root}/_index/seg={name}/{what}"
-        postings, terms = whole.postings().select(*[c.split()[0] for c in _POSTING.split(", ")]), whole.terms()
+        postings, terms = _blocks_again(whole.postings()), whole.terms()
         _write(postings, path("postings"), ("term", "part"))
         _write(terms, path("terms"), ("term",))
         return [{"number": name, "gone": False, "postings": _json(postings), "terms": _json(terms), "chunks": whole.chunks, "length": sum(s["length"] for s in segments)}]
