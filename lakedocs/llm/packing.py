@@ -1,18 +1,21 @@
 """Packing documents into sequences of fixed length by fitted length patterns.
 
 The histogram of piece lengths is small whatever the corpus holds, so the plan is made from it
-alone. Patterns are the ways in which one to three pieces fill a sequence, or come as near to it as
-the lengths allow: at most ``size ** 2 / 6`` of them, all enumerated. Repeat counts are fitted to
-the histogram by non-negative least squares and rounded in order of size, up as long as the
-histogram has the pieces, so the patterns carry nearly all of it. What is left is packed best
-fit, again by length and count. Spark then deals the pieces out by their rank among those of
-equal length.
+alone. Patterns are of two kinds: all ways in which one to three pieces fill a sequence, or come as
+near to it as the lengths allow (at most ``size ** 2 / 6``), and for short pieces patterns of any
+number of them, led by each length in turn (``sampled_patterns``). Repeat counts are fitted to the
+histogram by non-negative least squares and rounded in order of size, up as long as the histogram
+has the pieces; what is left is fitted again with patterns of its own, as long as that takes up
+more. The residual is packed best fit, again by length and count. Spark then deals the pieces
+out by their rank among those of equal length.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -46,27 +49,82 @@ def enumerate_patterns(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradients: repeats of each pattern so
-    that they use up the histogram. Longer lengths weigh more, as they are harder to place."""
+def sampled_patterns(histogram: np.ndarray, draws: int = 8) -> list[np.ndarray]:
+    """Patterns (rows of falling lengths, a table for each number of pieces), led by each length that occurs.
+
+    The room beside the leader is filled with an even sample of the pieces no longer than it: one
+    of each m-th part of them by size, with m for their mean length, so that all patterns together
+    use lengths about as often as they occur. One piece is then changed for one that makes the sum
+    exact, or as near below as the lengths allow. ``draws`` starts of the sample for each leader
+    and m; no chance is involved.
+    """
+    size = len(histogram) - 1
+    lengths = np.flatnonzero(histogram)
+    near = np.zeros(size + 1, np.int64)
+    near[lengths] = lengths
+    near = np.maximum.accumulate(near)
+    upto, tokens = np.cumsum(histogram), np.cumsum(histogram * np.arange(size + 1))
+    out: set[tuple[int, ...]] = set()
+    for nth, lead in enumerate(lengths.tolist()):
+        room = size - lead
+        limit = int(near[min(lead, room)])
+        if not limit:
+            out.add((lead,))
+            continue
+        number, mean = int(upto[limit]), tokens[limit] / upto[limit]
+        for m in {max(1, int(room / mean)), int(room / mean) + 1}:
+            for draw in range(draws):
+                u = (draw + (nth * 0.618) % 1) / draws
+                held = np.searchsorted(upto, (u + np.arange(m)) / m * number, "right")
+                want = held + (room - held.sum())
+                ok = np.flatnonzero((want > 0) & (want <= limit))
+                if not len(ok):
+                    continue
+                exact = ok[near[want[ok]] == want[ok]]
+                k = exact[(nth + draw) % len(exact)] if len(exact) else ok[np.argmin(want[ok] - near[want[ok]])]
+                held[k] = near[want[k]]
+                out.add((lead, *sorted(held[held > 0].tolist(), reverse=True)))
+    tables = []
+    for width in sorted({len(x) for x in out}):
+        tables.append(np.array(sorted(x for x in out if len(x) == width), np.int64))
+    return tables
+
+
+def nearest(lengths: np.ndarray, size: int) -> np.ndarray:
+    """For each length the largest sum, at most ``size``, of a pattern of any number of pieces that holds it."""
+    reach = np.zeros(size + 1, bool)
+    reach[0] = True
+    for c in range(1, size + 1):
+        reach[c] = reach[c - lengths[lengths <= c]].any()
+    most = np.maximum.accumulate(np.where(reach, np.arange(size + 1), 0))  # the largest sum at most so
+    full = np.arange(size + 1) + most[::-1]
+    full[0] = size
+    return full
+
+
+def fit(patterns: np.ndarray | list[np.ndarray], histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Non-negative least squares by accelerated projected gradients: repeats of each pattern (row of
+    one or several tables) so that they use up the histogram. Longer lengths weigh more, as they
+    are harder to place."""
     size = len(histogram) - 1
-    n = len(patterns)
+    tables = [patterns] if isinstance(patterns, np.ndarray) else patterns
+    n_pieces = np.concatenate([np.zeros(0, np.int64), *[np.count_nonzero(t, axis=1) for t in tables]]).astype(np.int64)
+    n = len(n_pieces)
     if not n:
         return np.zeros(0)
+    flat = np.concatenate([t[t > 0] for t in tables])
+    first = np.cumsum(n_pieces) - n_pieces
     weight = 0.1 + np.arange(size + 1) / size
     weight[0] = 0
-    flat = patterns.ravel()
     w2 = weight**2
     x = np.zeros(n)
-    use = np.bincount(flat, minlength=size + 1).astype(float)
-    use[0] = 0
-    # A diagonal bound of the curvature: a pattern's own rows, each shared by ``use`` patterns.
-    scale = 1 / np.maximum((w2 * use)[patterns].sum(1), 1e-12)
+    # A diagonal bound of the curvature: a pattern's own rows, each shared by the patterns that use it.
+    use = np.bincount(flat, np.repeat(n_pieces, n_pieces), size + 1)
+    scale = 1 / np.maximum(np.add.reduceat((w2 * use)[flat], first), 1e-12)
     y, t = x.copy(), 1.0
     for _ in range(rounds):
-        got = np.bincount(flat, np.repeat(y, 3), size + 1)
-        got[0] = 0
-        slope = (w2 * (got - histogram))[patterns].sum(1)
+        got = np.bincount(flat, np.repeat(y, n_pieces), size + 1)
+        slope = np.add.reduceat((w2 * (got - histogram))[flat], first)
         new = np.maximum(0, y - scale * slope)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
@@ -74,51 +132,88 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.nd
     return x
 
 
-def rounded(patterns: np.ndarray, repeats: np.ndarray, histogram: np.ndarray) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
+def rounded(tables: list[np.ndarray], repeats: np.ndarray, histogram: np.ndarray) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
     """(sequences of the patterns, what is left of the histogram): full patterns first, the largest
     repeat counts first; each count is rounded up as far as the histogram has the pieces."""
     left = histogram.tolist()
     out: list[tuple[int, tuple[int, ...]]] = []
+    begin = np.cumsum([0, *map(len, tables)])
+    total = np.concatenate([np.zeros(0, np.int64), *[t.sum(1) for t in tables]])
     some = np.flatnonzero(repeats > 1e-6)
-    order = some[np.lexsort((some, -repeats[some], -patterns[some].sum(1)))]
-    for (a, b, c), x in zip(patterns[order].tolist(), np.ceil(repeats[order] - 1e-6).astype(np.int64).tolist(), strict=True):
-        n = min(x, left[a] // (1 + (a == b) + (a == c)))
-        if b and n:
-            n = min(n, left[b] // (1 + (a == b) + (b == c)))
-        if c and n:
-            n = min(n, left[c] // (1 + (a == c) + (b == c)))
+    order = some[np.lexsort((some, -repeats[some], -total[some]))]
+    table = np.searchsorted(begin, order, "right") - 1
+    counts = np.ceil(repeats[order] - 1e-6).astype(np.int64)
+    for k, row, x in zip(table.tolist(), (order - begin[table]).tolist(), counts.tolist(), strict=True):
+        kinds = tuple(v for v in tables[k][row].tolist() if v)
+        times = Counter(kinds)
+        n = min(x, *(left[v] // c for v, c in times.items()))
         if n > 0:
-            kinds = tuple(v for v in (a, b, c) if v)
-            for v in kinds:
-                left[v] -= n
+            for v, c in times.items():
+                left[v] -= n * c
             out.append((n, kinds))
     return out, np.array(left, np.int64)
 
 
+def all_patterns(histogram: np.ndarray, slack: int) -> list[np.ndarray]:
+    """Those patterns of both kinds that give away no more than ``slack``, or that hold a length of
+    which no pattern of any number of pieces comes nearer to the size."""
+    size, lengths = len(histogram) - 1, np.flatnonzero(histogram)
+    full = nearest(lengths, size)
+    out = []
+    for table in (enumerate_patterns(lengths, size), *sampled_patterns(histogram)):
+        total = table.sum(1)
+        good = table[(total >= size - slack) | (total >= full[table].min(1))]
+        if len(good):
+            out.append(good)
+    return out
+
+
+def fitted(histogram: np.ndarray, slack: int, rounds: tuple[int, ...] = (300, 100, 100)) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
+    """(sequences of fitted patterns, what is left of the histogram); a fit for each entry of ``rounds``,
+    as long as it takes up a twentieth of what the last one left."""
+    out, left = [], histogram
+    for n in rounds:
+        if not left.any():
+            break
+        tables = all_patterns(left, slack)
+        more, rest = rounded(tables, fit(tables, left, n), left)
+        out, before, left = out + more, left, rest
+        if rest.sum() > 0.95 * before.sum():
+            break
+    return out, left
+
+
 def plan(histogram: np.ndarray, slack: float = 0.001) -> list[tuple[int, tuple[int, ...], bool]]:
     """(repeats, lengths, fitted) of sequences that use up the histogram exactly.
 
-    Full patterns waste nothing, and no more than ``slack`` of a sequence is given away by the
-    others; where the pieces left would still need more sequences than best fit alone, a smaller
-    share of each repeat count is used.
+    Full patterns waste nothing, and the others no more than ``slack`` of a sequence or what no
+    pattern of one of their lengths could use. Of the patterns' sequences that even share is kept
+    that makes the fewest sequences together with the pieces left, packed best fit. If best fit
+    alone makes fewer than any share, all is packed so, and the log says it.
     """
     size = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    lengths = np.flatnonzero(left)
-    if not len(lengths):
+    if not left.any():
         return []
     alone = best_fit(left)
     least = sum(n for n, _ in alone)
-    patterns = enumerate_patterns(lengths, size)
-    patterns = patterns[patterns.sum(1) >= size - int(slack * size)]
-    repeats = fit(patterns, left)
-    for share in (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25):
-        whole, rest = rounded(patterns, repeats, (left * share).astype(np.int64))
-        others = best_fit(rest + left - (left * share).astype(np.int64))
-        if sum(n for n, _ in whole) + sum(n for n, _ in others) <= least:
-            return [(n, ls, True) for n, ls in whole] + [(n, ls, False) for n, ls in others]
-    return [(n, ls, False) for n, ls in alone]
+    whole, _ = fitted(left, int(slack * size))
+    upto = np.cumsum([n for n, _ in whole])
+    made, fewest = None, least + 1
+    for share in (1.0, 0.99, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25):
+        counts = np.diff(np.floor(upto * share + 1e-9).astype(np.int64), prepend=0).tolist()
+        kept = [(n, ls) for n, (_, ls) in zip(counts, whole, strict=True) if n]
+        rest = left.copy()
+        for n, ls in kept:
+            np.subtract.at(rest, list(ls), n)
+        others = best_fit(rest)
+        total = sum(n for n, _ in kept) + sum(n for n, _ in others)
+        if kept and total < fewest:
+            made, fewest = [(n, ls, True) for n, ls in kept] + [(n, ls, False) for n, ls in others], total
+    if made is None:
+        logging.getLogger(__name__).warning("no fitted patterns: best fit alone needs fewer sequences (%d)", least)
+    return made or [(n, ls, False) for n, ls in alone]
 
 
 def best_fit(left: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:

@@ -153,6 +153,37 @@ def test_patterns_carry_the_plan():
         assert fitted >= 0.5 * total, (fitted, total)
 
 
+def test_patterns_of_short_pieces():
+    """Pieces far under a third of a sequence: most are in fitted patterns, in no more sequences than best fit makes."""
+    r = np.random.default_rng(5)
+    kinds = {
+        "even": r.integers(20, 601, 20000),
+        "equal": np.full(10000, 500),
+        "median 300": np.clip(np.exp(r.normal(np.log(300), 0.8, 20000)).astype(np.int64), 1, 2048),
+        "median 60": np.clip(np.exp(r.normal(np.log(60), 0.8, 20000)).astype(np.int64), 1, 2048),
+    }
+    for kind, lengths in kinds.items():
+        h = np.bincount(lengths, minlength=2049)
+        made = packing.plan(h)
+        used = np.zeros(2049, np.int64)
+        for n, ls, _ in made:
+            assert sum(ls) <= 2048
+            np.add.at(used, list(ls), n)
+        assert (used == h).all()
+        assert sum(n for n, _, _ in made) <= sum(n for n, _ in packing.best_fit(h)), kind
+        assert sum(n * len(ls) for n, ls, p in made if p) >= 0.6 * len(lengths), kind
+
+
+def test_nearest_sum_with_a_length():
+    """The largest sum that holds a length, against all multisets."""
+    from itertools import combinations_with_replacement as sets
+
+    lengths, size = np.array([3, 5, 11]), 17
+    full = packing.nearest(lengths, size)
+    for x in lengths.tolist():
+        assert full[x] == max(sum(c) for k in range(1, 6) for c in sets(lengths.tolist(), k) if x in c and sum(c) <= size)
+
+
 def test_fit_is_least_squares():
     """The fit's gradient vanishes where a pattern is used, and is not negative where it isn't."""
     h = np.zeros(33, np.int64)
