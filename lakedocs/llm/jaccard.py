@@ -17,7 +17,8 @@
 5. Sets of different leaders and groups that meet in an index list are left (``_across``). Lists
    are read in blocks by set size, and blocks that cannot hold a partner are skipped: a set's
    shingles that no other set has bound its partners' sizes.
-   The pairs of 4 and 5 that no bound rules out are compared shingle by shingle.
+6. The pairs of 4 and 5 that no bound rules out are compared shingle by shingle, best bounds first and
+   in rounds (``_settle``): groups are merged between, and pairs of one group need no comparison.
 
 No link between different sets is lost, and no group is expanded into its pairs.
 """
@@ -29,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .components import least_labels
-from .shared import keyed, release, spread_join, written
+from .shared import keyed, spread_join, step
 from .wordhash import NON_BLANK, mix, shingles, slices, whole, words
 
 ROUNDS, LEADERS = 3, 2
+#: Pairs of a set that the first round of ``_settle`` compares, and how many times more the next.
+FIRST, MORE = 8, 8
 #: A shingle of more sets of one leader makes sets of their own, whose sizes are compared first.
 OFTEN = 64
 
@@ -92,7 +95,7 @@ def describe(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(n), pa.array(_sums(mix(h), at)), pa.array(_sums(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)), tokens], ["row_key", "doc_id", "n_shingles", "low", "high", "tokens"])
 
     rows = docs.select("_key", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(scan, schema), "sets")
+    return step(rows.mapInArrow(scan, schema), "sets")
 
 
 def index_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -110,7 +113,7 @@ def index_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
     lone = F.expr(f"n - {size} + 1 + n div 12") - F.count(F.lit(1)).over(by_set)
     ranked = met.withColumn("lone", lone).withColumn("rank", F.row_number().over(by_set.orderBy("df", "token")))
     chosen = ranked.filter(F.col("rank") <= kept - F.col("lone"))
-    return written(chosen.select("token", "set_id", "n", (F.col("lone") / F.expr(f"n - {size} + 1 + n div 12")).alias("own")), "lists")
+    return step(chosen.select("token", "set_id", "n", (F.col("lone") / F.expr(f"n - {size} + 1 + n div 12")).alias("own")), "lists")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,15 +152,14 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     docs = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     rows = describe(docs, k, num, den, "doc_id", "text")
     sig = ["low", "high", "n_shingles"]
-    equal = written(rows.filter("n_shingles > 0").groupBy(*sig).agg(F.min("row_key").alias("set_id"), F.min("doc_id").alias("least")), "equal")
+    equal = step(rows.filter("n_shingles > 0").groupBy(*sig).agg(F.min("row_key").alias("set_id"), F.min("doc_id").alias("least")), "equal")
     first = rows.join(equal.select(F.col("set_id").alias("row_key")), "row_key", "left_semi")
     lists = index_lists(first.select(F.col("row_key").alias("set_id"), "n_shingles", "tokens"), num, den)
-    release(docs.sparkSession)
     comps = _link(docs, rows, lists, k, num, den)
 
     label = F.coalesce("comp", "set_id")
     sets = equal.join(comps, "set_id", "left").select(*sig, "set_id", "least", label.alias("comp"))
-    of_comp = written(sets.groupBy("comp").agg(F.min("least").alias("component_id")), "groups")
+    of_comp = step(sets.groupBy("comp").agg(F.min("least").alias("component_id")), "groups")
     placed = sets.join(of_comp, "comp").select(*sig, "comp", "component_id")
     out = rows.drop("tokens").join(placed, sig, "left")
     kept = out.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("m")).select("comp", F.col("m.row_key").alias("first_key"))
@@ -169,7 +171,7 @@ def _link(docs, rows, lists, k, num, den) -> DataFrame:
     """(set_id, comp) of the sets that are in an index list."""
     nodes = lists.select("set_id").distinct()
     sets = _load(docs, rows.join(nodes.withColumnRenamed("set_id", "row_key"), "row_key", "left_semi"), k)
-    comps = written(nodes.withColumn("comp", F.col("set_id")), "comps")
+    comps = step(nodes.withColumn("comp", F.col("set_id")), "comps")
     answers = None
     for r in range(ROUNDS):
         named = lists.join(comps, "set_id")
@@ -182,31 +184,47 @@ def _link(docs, rows, lists, k, num, den) -> DataFrame:
         if answers is not None:
             met = met.join(answers.select("a", "b"), ["a", "b"], "left_anti")
         asked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).filter(F.col("rank") <= LEADERS)
-        got = written(overlaps(asked, sets), "answers")
+        got = step(overlaps(asked, sets), "answers")
         if got.isEmpty():
             if answers is None:  # every list holds one set
                 return comps
             break
         comps = _merge(comps, got.filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)))
         answers = got if answers is None else answers.unionByName(got)
-        release(docs.sparkSession)
-    answers = written(answers, "answers")
-    release(docs.sparkSession)
+    answers = step(answers, "answers")
     led, facts = _beside(_led(answers, comps), sets)
     # The most central set of each leader's may resemble those that the leader doesn't.
     central = led.groupBy("y").agg(F.max(F.struct(2 * F.col("shared") - F.col("n"), "set_id")).alias("m")).select("y", F.col("m.set_id").alias("b"))
     asked = led.filter("apart").join(central, "y").filter("set_id <> b and y <> b").select(F.col("set_id").alias("a"), "b")
-    got = written(overlaps(asked, sets), "answers")
+    got = step(overlaps(asked, sets), "answers")
     comps = _merge(comps, got.filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)))
     answers = answers.unionByName(got)
     lead = comps.select(F.col("set_id").alias("y"), F.col("comp").alias("comp_y"))
     led = led.drop("comp", "apart").join(comps, "set_id").join(lead, "y").withColumn("apart", F.col("comp") != F.col("comp_y")).drop("comp_y")
-    led = written(led, "led")
+    led = step(led, "led")
     named = lists.join(comps, "set_id").join(led.select("set_id", F.col("y").alias("lead")), "set_id", "left").withColumn("lead", F.when(F.col("lead").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("lead").alias("of"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("comp").alias("of"))))
-    pairs = _within(led, facts, num, den).unionByName(_across(named, sets, num, den)).distinct()
+    pairs = _within(led, facts, num, den).unionByName(_across(named, sets, num, den)).groupBy("a", "b").agg(F.max("bound").alias("bound"))
     asked = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = overlaps(written(pairs.join(asked, ["a", "b"], "left_anti"), "doubt"), sets)
-    return _merge(comps, found.filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)))
+    return _settle(comps, pairs.join(asked, ["a", "b"], "left_anti"), sets, num, den)
+
+
+def _settle(comps: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``comps`` with the links of ``pairs`` (a, b, bound), compared in rounds.
+
+    A round compares of each set the pairs with the best bounds and merges the groups that turn out to
+    be linked; pairs of one group are done then. So sets that are all alike cost a few comparisons
+    each, not one for each pair. Each round takes ``MORE`` times as many pairs of a set as the one before.
+    """
+    left, take = step(pairs, "doubt"), FIRST
+    while not left.isEmpty():
+        best = Window.partitionBy("a").orderBy(F.desc("bound"), "b")
+        now = step(left.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= take).select("a", "b"), "asked")
+        found = overlaps(now, sets).filter(_similar(F.col("common"), F.col("n_a"), F.col("n_b"), num, den))
+        comps = _merge(comps, step(found, "found"))
+        ends = [comps.select(F.col("set_id").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab"]
+        rest = left.join(now, ["a", "b"], "left_anti").join(ends[0], "a").join(ends[1], "b").filter("c_a <> c_b")
+        left, take = step(rest.select("a", "b", "bound"), "doubt"), take * MORE
+    return comps
 
 
 def _led(answers: DataFrame, comps: DataFrame) -> DataFrame:
@@ -217,7 +235,7 @@ def _led(answers: DataFrame, comps: DataFrame) -> DataFrame:
     best = near.groupBy("a").agg(F.max(F.struct("sets", "b", "common", "n_a")).alias("m")).select(F.col("a").alias("set_id"), F.col("m.b").alias("y"), F.col("m.common").alias("shared"), F.col("m.n_a").alias("n"))
     lead = comps.select(F.col("set_id").alias("y"), F.col("comp").alias("comp_y"))
     own = best.join(comps, "set_id").join(lead, "y")
-    return written(own.select("set_id", "comp", "n", "y", "shared", (F.col("comp") != F.col("comp_y")).alias("apart")), "led")
+    return step(own.select("set_id", "comp", "n", "y", "shared", (F.col("comp") != F.col("comp_y")).alias("apart")), "led")
 
 
 def _block(c: str) -> Column:
@@ -243,32 +261,33 @@ def _beside(led: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(lead, pa.int64()), pa.array(np.concatenate(items).view(np.int64) if items else np.empty(0, np.int64))], ["set_id", "y", "item"])
 
     texts = some.select("set_id", "y").join(sets.select("set_id", F.col("items").alias("x")), "set_id").join(sets.select(F.col("set_id").alias("y"), F.col("items").alias("of_y")), "y")
-    rows = written(texts.select("set_id", "y", "x", "of_y").mapInArrow(beside, "set_id long, y long, item long"), "beside")
+    rows = step(texts.select("set_id", "y", "x", "of_y").mapInArrow(beside, "set_id long, y long, item long"), "beside")
     met = rows.groupBy("y", "item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = some.groupBy("y").agg(F.count(F.lit(1)).alias("sets"))
-    met = written(met.join(sizes, "y").select("y", "item", "n", F.when(F.col("n") * 2 > F.col("sets"), "most").when(F.col("n") > OFTEN, "many").otherwise("few").alias("kind")), "met")
-    facts = written(spread_join(rows, met, ["y", "item"]), "facts")
+    met = step(met.join(sizes, "y").select("y", "item", "n", F.when(F.col("n") * 2 > F.col("sets"), "most").when(F.col("n") > OFTEN, "many").otherwise("few").alias("kind")), "met")
+    facts = step(spread_join(rows, met, ["y", "item"]), "facts")
     more = facts.groupBy("set_id").agg(F.count_if(F.col("kind") == "most").alias("most"), F.count_if(F.col("kind") == "many").alias("many"))
     none = F.lit(0)
     some = some.join(more, "set_id", "left").withColumn("shared", F.col("shared") + F.coalesce("most", none)).withColumn("many", F.coalesce("many", none)).drop("most")
-    some = written(some, "led")
+    some = step(some, "led")
 
     return some, facts
 
 
 def _within(led: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: sets of one leader, but of different groups, that may be similar.
+    """(a, b, bound), a < b: sets of one leader, but of different groups, that may be similar, and what share
+    of both together they can have in common.
 
     One of the two at least is not of the leader's group; it is on the left of each join.
     """
-    some = written(led.join(led.filter("apart").select("y").distinct(), "y"), "led")
+    some = step(led.join(led.filter("apart").select("y").distinct(), "y"), "led")
 
     # In the leader: what both share with it is enough for sets of no more than ``hi`` shingles.
     # Pairs that have a shingle of many sets, too, meet once more among those sets.
     def inside(rows: DataFrame, keys: list[str], shared: Column) -> DataFrame:
         hi = F.floor(F.least(F.col("n") * den / num, shared * (num + den) / num - F.col("n")) + 1e-9)
-        rows = rows.withColumn("lo", F.ceil(F.col("n") * num / den - 1e-9)).withColumn("hi", hi).filter("lo <= hi")
-        cols = ["set_id", "comp", "n", "lo", "hi"]
+        rows = rows.withColumn("lo", F.ceil(F.col("n") * num / den - 1e-9)).withColumn("hi", hi).withColumn("held", shared).filter("lo <= hi")
+        cols = ["set_id", "comp", "n", "lo", "hi", "held"]
         left = rows.filter("apart").select(*keys, *[F.col(c).alias(f"{c}_x") for c in cols]).withColumn("block", F.explode(F.sequence(_block("lo_x"), _block("hi_x"))))
         right = rows.withColumn("block", _block("n")).select(*keys, "block", *[F.col(c).alias(f"{c}_z") for c in cols])
         return left.join(right, [*keys, "block"]).filter("comp_x <> comp_z and n_z between lo_x and hi_x and n_x between lo_z and hi_z")
@@ -286,11 +305,14 @@ def _within(led: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     needed = F.ceil((F.col("n_x") + F.col("n_z")) * num / (num + den) - 1e-9)  # what similar sets share
     outside = counted.filter(F.least("shared_x", "shared_z") + F.col("c") >= needed)
     ends = [F.least("set_id_x", "set_id_z").alias("a"), F.greatest("set_id_x", "set_id_z").alias("b")]
-    return base.select(*ends).unionByName(among.select(*ends)).unionByName(outside.select(*ends)).distinct()
+    both_n = F.col("n_x") + F.col("n_z")
+    held = (F.least("held_x", "held_z") / both_n).alias("bound")
+    beside = ((F.least("shared_x", "shared_z") + F.col("c")) / both_n).alias("bound")
+    return base.select(*ends, held).unionByName(among.select(*ends, held)).unionByName(outside.select(*ends, beside))
 
 
 def _across(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: sets of different groups and leaders that meet in a list and may be similar.
+    """(a, b, bound), a < b: sets of different groups and leaders that meet in a list and may be similar.
     (``lead`` is a set's leader, or its group where that is settled.)
 
     A set can share no more than what of it any other set has too, ``s`` of its n shingles; so a
@@ -299,7 +321,7 @@ def _across(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     sets of a list's commonest leader are not compared with each other: they are on the right.
     """
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("lead").alias("y"), F.max("lead").alias("z")).filter("lo < hi and y < z").select("token")
-    named = written(named.join(mixed, "token").select("token", "set_id", "n", "comp", "lead"), "mixed")
+    named = step(named.join(mixed, "token").select("token", "set_id", "n", "comp", "lead"), "mixed")
 
     def items(batches):
         for batch in batches:
@@ -312,21 +334,22 @@ def _across(named: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     shared = rows.join(often, "item").groupBy("set_id").agg(F.count(F.lit(1)).alias("s"))
     low, high = F.ceil(F.col("n") * num / den - 1e-9), F.floor(F.least(F.col("n") * den / num, F.coalesce("s", F.lit(0)) * (num + den) / num - F.col("n")) + 1e-9)
     named = named.join(shared, "set_id", "left").withColumn("lo", low).withColumn("hi", high).filter("lo <= hi")
-    named = written(named.select("token", "set_id", "n", "comp", "lead", "lo", "hi"), "feasible")
+    named = step(named.select("token", "set_id", "n", "comp", "lead", "lo", "hi"), "feasible")
     largest = named.groupBy("token", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "lead")).alias("m"), F.count(F.lit(1)).alias("leads")).filter("leads > 1").select("token", F.col("m.lead").alias("largest"))
     named = named.join(largest, "token")
     cols = ["set_id", "n", "comp", "lead", "lo", "hi"]
     left = named.filter("lead <> largest").select("token", F.explode(F.sequence(_block("lo"), _block("hi"))).alias("block"), *[F.col(c).alias(f"{c}_x") for c in cols])
     right = named.select("token", _block("n").alias("block"), *[F.col(c).alias(f"{c}_z") for c in cols])
     met = left.join(right, ["token", "block"]).filter("comp_x <> comp_z and lead_x <> lead_z and n_z between lo_x and hi_x and n_x between lo_z and hi_z")
-    return met.select(F.least("set_id_x", "set_id_z").alias("a"), F.greatest("set_id_x", "set_id_z").alias("b")).distinct()
+    bound = (F.least("n_x", "n_z") / (F.col("n_x") + F.col("n_z"))).alias("bound")
+    return met.select(F.least("set_id_x", "set_id_z").alias("a"), F.greatest("set_id_x", "set_id_z").alias("b"), bound).distinct()
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     ends = [comps.select(F.col("set_id").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab"]
     edges = links.select("a", "b").join(ends[0], "a").join(ends[1], "b").select("c_a", "c_b").filter("c_a <> c_b")
     labels = least_labels(edges, "c_a", "c_b").withColumnRenamed("node", "comp")
-    return written(comps.join(labels, "comp", "left").select("set_id", F.coalesce("label", "comp").alias("comp")), "comps")
+    return step(comps.join(labels, "comp", "left").select("set_id", F.coalesce("label", "comp").alias("comp")), "comps")
 
 
 def _load(docs, wanted, k) -> DataFrame:
@@ -340,7 +363,7 @@ def _load(docs, wanted, k) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["set_id", "items"])
 
     texts = docs.select(F.col("_key").alias("row_key"), "text").join(wanted.select("row_key"), "row_key", "left_semi")
-    return written(texts.mapInArrow(read, "set_id long, items binary"), "items")
+    return step(texts.mapInArrow(read, "set_id long, items binary"), "items")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

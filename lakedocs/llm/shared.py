@@ -33,10 +33,20 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files go once the driver's collector finds that nothing refers to them, by default
-    every half hour. Called after a step that has been written, so that disks hold one step's."""
-    spark.sparkContext._jvm.System.gc()
+#: Whether a query's shuffle files go when it has ended, and not only once nothing refers to them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``written``, for jobs of many large steps: the shuffle files of the write go with it, so that
+    disks hold one step's. Nothing reads them again: the table stands for ``df`` from here on."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 #: So many rows of one key are no burden to a task.
