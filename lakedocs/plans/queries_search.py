@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import keys, text as T
+from ..functions.stem import with_stems
 from ..operators import blocks as B, chunks as C, context as A, facts, filters, fusion as H, graph as G, inverted_index as I, keyword as K, language as L, vectors as V
 from ..sources import tables
 from ..sources.stage import stage_path, staged
@@ -299,6 +300,15 @@ def _(spark, d):
     return _terms(spark, d).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("terms"), F.max("pos").alias("last"))
 
 
+@query("K1_stems")
+def _(spark, d):
+    """Stems of all words of the documents' texts, with their words and documents."""
+    docs = D.documents(spark, d)
+    terms = K.analyze(docs, "doc_id").select("doc_id", "term").distinct()
+    named = terms.join(with_stems(terms), "term")
+    return named.groupBy("stem").agg(F.countDistinct("term").alias("words"), F.min("term").alias("first_word"), F.countDistinct("doc_id").alias("docs"))
+
+
 @query("K2_build_postings", f"with {_POSTINGS} select term, count(*)::bigint as df, sum(tf)::bigint as cf from post group by term")
 def _(spark, d):
     """Builds the index anew, whatever there is."""
