@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import keyed, spread_join, written
+from .shared import keyed, set_aside, spread_join, written
 
 #: Characters of blank lines, beside the line feed: Unicode's white space and separators.
 WHITE = "".join(map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -138,9 +138,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = 1, min_chars: int = 20, id_col
     Null text stays null and has no lines; empty text has one blank line. Blank lines (white space
     alone, carriage returns too) repeat nothing and are never deleted. Lines are compared as they
     are. Ids that are null or repeated: first means first in input order. Columns of ``docs`` with
-    those three names are replaced, all others are kept. An empty table stays empty.
+    those three names are replaced, all others are kept. An empty table stays empty. Very long texts
+    are read whole; their lines are rows of their own until the text is put together again.
     """
-    docs = keyed(docs.drop("n_lines", "n_deleted", "longest_run"), id_col)
+    docs, away = set_aside(docs.drop("n_lines", "n_deleted", "longest_run"), ["_key", "_k", "_runs", "_kept"])
+    now = {old: new for new, old in away.items()}
+    id_col, text_col = now.get(id_col, id_col), now.get(text_col, text_col)
+    docs = keyed(docs, id_col)
     runs = repeated_runs(docs.select("_key", text_col), min_lines, min_chars, text_col)
     # Runs that touch or overlap are deleted as one.
     over = Window.partitionBy("_key").orderBy("start", "end")
@@ -156,7 +160,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 1, min_chars: int = 20, id_col
         "n_deleted": F.coalesce(F.col("n_lines") - F.when(F.col("_kept").isNotNull(), F.size("_kept")), F.lit(0)).cast("long"),
         "longest_run": F.coalesce("longest_run", F.lit(0)).cast("long"),
         text_col: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(text),
-    }).drop("_key", "_k", "_runs", "_kept")
+    }).drop("_key", "_k", "_runs", "_kept").withColumnsRenamed(away)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,14 +70,35 @@ def spread_join(left: DataFrame, counts: DataFrame, on: list[str], how: str = "i
     return apart.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_key``, a long unique to each row: the id itself, or where ids are null or
-    repeated, a number in input order, fixed by writing the rows once."""
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names, in any case, under free ones, and what each was called.
+
+    For operators that keep other columns and need names of their own meanwhile: rename back by
+    ``withColumnsRenamed`` in the end. A new name has no use but that."""
+    away: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            new = free_name(docs, f"{c}_")
+            docs, away[new] = docs.withColumnRenamed(c, new), c
+    return docs, away
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", name: str = "_key") -> DataFrame:
+    """``docs`` with ``name``, a long unique to each row: the id itself, or where ids are null or
+    repeated, a number in input order, fixed by writing the rows once. A column of that name is replaced."""
     ids = docs.select(F.col(id_col).cast("long").alias("k"))
     twice = ids.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k is null")
     if twice.isEmpty():
-        return docs.withColumn("_key", F.col(id_col).cast("long"))
-    return written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
 def numbered(pairs: DataFrame, order: list[str], weight: str) -> DataFrame:

@@ -80,4 +80,7 @@ def test_dedup(spark):
     crlf = [(1, "alpha alpha alpha\r\n\r\n\r\nbeta\r\n\u00a0\r\n\r\ngamma"), (2, "one one one one one\r\n\r\n\r\ntwo\r\n\u00a0\r\n\r\n3")]
     assert {r["text"] for r in lines.dedup_lines(table(spark, crlf)).collect()} == {t for _, t in crlf}
     assert lines.dedup_lines(table(spark, ODD)).count() == len(ODD)
+    named = table(spark, rows).withColumnRenamed("shard", "_KEPT")
+    kept = lines.dedup_lines(named)
+    assert kept.columns[:4] == ["doc_id", "text", "_KEPT", "_key"] and {(r["_KEPT"], r["_key"]) for r in kept.collect()} == {("s", "k")}
     assert lines.dedup_lines(table(spark, [])).count() == 0
