@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import keyed, written
+from .shared import keyed, set_aside, spread_join, written
 from .wordhash import _BASE, _BASE_INV, _BYTE, _power, mix, slices, text_bytes
 
 MEAN = 32
@@ -101,13 +101,13 @@ def repeated_runs(cut: DataFrame) -> DataFrame:
     """(_key, at, right, src_key, src_at): the two edges of each run of later copies, and where the
     first copy has that edge. Written.
 
-    A chunk of a third of all documents is a key that is counted before it is shuffled; the join
-    back can be split wherever it is large.
+    A chunk of a third of all documents is a key that is counted before it is shuffled, and joined
+    back apart from the others.
     """
     rows = cut.select("_key", F.posexplode(F.arrays_zip("starts", "lengths", "digests", "earlier")).alias("nth", "c")).select("_key", "nth", F.col("c.starts").alias("start"), F.col("c.lengths").alias("length"), F.col("c.digests").alias("digest"), F.col("c.earlier").alias("earlier"))
     fresh = rows.filter("earlier < 0")
-    first = fresh.groupBy("digest").agg(F.min(F.struct("_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = fresh.join(first, "digest").filter("_key <> first._key").select("_key", "nth", "start", "length", F.col("first._key").alias("src_key"), F.col("first.start").alias("src_at"))
+    first = fresh.groupBy("digest").agg(F.min(F.struct("_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = spread_join(fresh, written(first, "digests"), ["digest"]).filter("_key <> first._key").select("_key", "nth", "start", "length", F.col("first._key").alias("src_key"), F.col("first.start").alias("src_at"))
     copies = later.unionByName(rows.filter("earlier >= 0").select("_key", "nth", "start", "length", F.col("_key").alias("src_key"), F.col("earlier").alias("src_at")))
     run = F.col("nth") - F.row_number().over(Window.partitionBy("_key").orderBy("nth"))
     runs = copies.withColumn("run", run).groupBy("_key", "run").agg(
@@ -119,15 +119,16 @@ def repeated_runs(cut: DataFrame) -> DataFrame:
 
 def first_copies(docs: DataFrame, edges: DataFrame, text_col: str) -> DataFrame:
     """``edges`` with ``near``: up to ``REACH`` bytes of the first copy, before a left edge and
-    after a right one. A place that many runs name is read once."""
-    asked = edges.select("src_key", "src_at", "right").distinct().groupBy("src_key").agg(F.collect_list(F.struct("src_at", "right")).alias("asked"))
+    after a right one. A place that many runs name is read once, and joined back apart from the others."""
+    places = ["src_key", "src_at", "right"]
+    asked = edges.groupBy(*places).agg(F.count(F.lit(1)).alias("n")).groupBy("src_key").agg(F.collect_list(F.struct("src_at", "right", "n")).alias("asked"))
     raw = F.encode(F.col(text_col).cast("string"), "UTF-8")
     low = lambda a: F.when(a["right"], a["src_at"]).otherwise(F.greatest(F.lit(0), a["src_at"] - REACH))
     size = lambda a: F.when(a["right"], F.lit(REACH)).otherwise(F.least(F.lit(REACH), a["src_at"]))
-    near = F.transform("asked", lambda a: F.struct(a["src_at"].alias("src_at"), a["right"].alias("right"), F.substring(raw, low(a) + 1, size(a)).alias("near")))
+    near = F.transform("asked", lambda a: F.struct(a["src_at"].alias("src_at"), a["right"].alias("right"), a["n"].alias("n"), F.substring(raw, low(a) + 1, size(a)).alias("near")))
     texts = docs.select(F.col("_key").alias("src_key"), text_col).join(asked.hint("merge"), "src_key")
     found = texts.select("src_key", F.explode(near).alias("n")).select("src_key", "n.*")
-    return edges.join(found, ["src_key", "src_at", "right"])
+    return spread_join(edges, written(found, "first-copies"), places)
 
 
 def agree(a: bytes, b: bytes, right: bool) -> int:
@@ -180,10 +181,14 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN, min_bytes: int = MIN_BYT
 
     The copy that stays is that of the least id, within a document the first. A passage of
     ``4 * mean + 15`` bytes holds a chunk wherever it stands, so none that long is missed. Null text stays
-    null; empty text has no chunks. Ids that are null or repeated: rows count in input order.
-    Columns of ``docs`` with those three names are replaced, all others are kept.
+    null; empty text has no chunks. Ids that are null or repeated: rows count in input order; of
+    repeated rows the first keeps its text. Columns of ``docs`` with those three names are replaced, all
+    others are kept. Very long texts are cut in one piece, by one task each. An empty table stays empty.
     """
-    docs = keyed(docs.drop("n_bytes", "removed_bytes", "n_spans"), id_col)
+    docs, away = set_aside(docs.drop("n_bytes", "removed_bytes", "n_spans"), ["_key", "_k", "_edges", "_spans"])
+    now = {old: new for new, old in away.items()}
+    id_col, text_col = now.get(id_col, id_col), now.get(text_col, text_col)
+    docs = keyed(docs, id_col)
     edges = first_copies(docs, repeated_runs(chunks(docs, text_col, mean)), text_col)
     by_doc = edges.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("at", "right", "near")).alias("_edges"))
     text = F.col(text_col).cast("string")
@@ -196,7 +201,7 @@ def dedup_substrings(docs: DataFrame, mean: int = MEAN, min_bytes: int = MIN_BYT
         "removed_bytes": F.coalesce(F.aggregate("_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]), F.lit(0)).cast("long"),
         "n_spans": F.coalesce(F.when(F.col("_spans").isNotNull(), F.size("_spans")), F.lit(0)).cast("long"),
         text_col: F.when(F.col("_spans").isNotNull(), F.array_join(keep, "")).otherwise(text),
-    }).drop("_key", "_k", "_spans")
+    }).drop("_key", "_k", "_spans").withColumnsRenamed(away)
 
 
 def op10_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

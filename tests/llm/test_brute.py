@@ -135,6 +135,69 @@ def test_simhash_votes(spark, tmp_path):
     assert np.mean([out[i]["near_edited"] for i in first]) > np.mean([out[i]["near_next"] for i in first])
 
 
+def test_followed_by_equal_ids(spark):
+    """Null ids and one id of many rows are put in order over several ranges."""
+    rows = [(None, f"none {i}") for i in range(300)] + [(5, f"five {i % 250}") for i in range(300)] + [(i, f"t {i}") for i in range(100, 160)] + [(-3, "minus")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    got = sorted(simhash.followed(docs).collect(), key=lambda r: r["row_key"])
+    assert [(r["doc_id"], r["text"]) for r in got] == order
+    assert [r["next_text"] for r in got] == [t for _, t in order[1:] + order[:1]]
+    assert [r["next_key"] for r in got] == [r["row_key"] for r in got[1:] + got[:1]]
+    for i in (None, 5):
+        assert len({r["row_key"] >> 40 for r in got if r["doc_id"] == i}) > 3
+
+
+def test_substrings_by_plain_search(spark):
+    """Removed spans and texts, chunk by chunk and byte by byte."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmé漢") for _ in range(r.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    parts = [text(r.randrange(8, 60)) for _ in range(12)]
+    common = text(60)
+    rows = [(i, " ".join(r.choice([r.choice(parts), text(r.randrange(1, 40)), common]) for _ in range(r.randrange(1, 7)))) for i in range(60)]
+    rows += [(100 + i, f"{text(r.randrange(9))} {common} {text(r.randrange(9))}") for i in range(600)] + [(900, None), (901, ""), (902, f"{common} {common} {common}")]
+    raws = {i: (t or "").encode() for i, t in rows}
+    cut, first = {}, {}
+    for i, t in rows:
+        ends = substrings.cut_points(*wordhash.text_bytes(pa.array([t or ""]))).tolist()
+        cut[i] = list(zip([0, *ends], ends))
+        for a, b in cut[i]:
+            first.setdefault(raws[i][a:b], (i, a))
+    want = {}
+    for i, raw in raws.items():
+        own, copies = {}, []  # (nth, start, end, source, its start)
+        for nth, (a, b) in enumerate(cut[i]):
+            src = (i, own[raw[a:b]]) if raw[a:b] in own else first[raw[a:b]]
+            own.setdefault(raw[a:b], a)
+            if src != (i, a):
+                copies.append((nth, a, b, *src))
+        gone = set()
+        for k, (nth, a, _, src, at) in enumerate(copies):
+            if k and copies[k - 1][0] == nth - 1:
+                continue
+            last = k
+            while last + 1 < len(copies) and copies[last + 1][0] == copies[last][0] + 1:
+                last += 1
+            _, x, e, end_src, y = copies[last]
+            end_at, s, left, right = y + e - x, a, 0, 0
+            while left < substrings.REACH and s > 0 and at - left > 0 and raw[s - 1] == raws[src][at - left - 1]:
+                s, left = s - 1, left + 1
+            while right < substrings.REACH and e < len(raw) and end_at + right < len(raws[end_src]) and raw[e] == raws[end_src][end_at + right]:
+                e, right = e + 1, right + 1
+            while s < len(raw) and raw[s] & 0xC0 == 0x80:
+                s += 1
+            while e < len(raw) and raw[e] & 0xC0 == 0x80:
+                e -= 1
+            if e - s >= substrings.MIN_BYTES:
+                gone |= set(range(s, e))
+        want[i] = (len(gone), bytes(c for k, c in enumerate(raw) if k not in gone).decode())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["removed_bytes"], x["text"] or "") for x in substrings.dedup_substrings(docs).collect()}
+    assert got == want and sum(n > 0 for n, _ in want.values()) > 620
+
+
 def test_cut_points_byte_by_byte():
     r = random.Random(3)
     text = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(200))

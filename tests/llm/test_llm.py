@@ -339,6 +339,7 @@ def test_simhash(spark):
     got = {(x["k"], x["fingerprint"]) for x in simhash.within_radius(df, df, "k", 3).collect()}
     assert got == {(i, signed[j]) for i in range(300) for j in range(300) if bin(fps[i] ^ fps[j]).count("1") <= 3}
     assert simhash.followed(table(spark, [])).count() == 0
+    assert [tuple(x) for x in simhash.followed(table(spark, [(3, "x y")])).select("doc_id", "text", "next_text").collect()] == [(3, "x y", "x y")]
 
 
 def test_substrings(spark):
@@ -352,6 +353,8 @@ def test_substrings(spark):
     assert all(out[50 + i]["removed_bytes"] > 150 for i in range(1, 20))
     assert all(x["n_bytes"] - x["removed_bytes"] == len((x["text"] or "").encode()) for x in out.values())
     assert substrings.dedup_substrings(table(spark, ODD)).count() == len(ODD)
+    named = substrings.dedup_substrings(table(spark, rows).withColumn("_key", F.lit("k")).withColumn("_Spans", F.lit("s")))
+    assert {(x["_key"], x["_Spans"], x["text"]) for x in named.collect()} == {("k", "s", x["text"]) for x in out.values()}
     assert substrings.dedup_substrings(table(spark, [])).count() == 0
 
 
