@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .shared import free_name
 from .wordhash import _BASE, _BASE_INV, _BYTE, LOWER, NON_BLANK, _power, mix, slices, text_bytes
 
 BITS = 18
@@ -181,7 +182,9 @@ def scored(docs: DataFrame, model: Model | None, tail: int, text_col: str = "tex
         p = m.below(score)
         return pd.DataFrame({"expected_grade": (1 - p).sum(1), "tail_probability": 1 - p[:, tail - 1]})
 
-    return docs.withColumn("_rated", rate(F.col(text_col).cast("string"))).withColumn("expected_grade", F.col("_rated.expected_grade")).withColumn("tail_probability", F.col("_rated.tail_probability")).drop("_rated")
+    both = free_name(docs, "_rated")
+    rated = docs.withColumn(both, rate(F.col(text_col).cast("string")))
+    return rated.withColumns({c: F.col(f"{both}.{c}") for c in ("expected_grade", "tail_probability")}).drop(both)
 
 
 GOOD, KEEP_FROM = 2, 0.4

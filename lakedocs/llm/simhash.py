@@ -76,30 +76,39 @@ def within_radius(queries: DataFrame, rows: DataFrame, query_key: str, radius: i
 def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_key, next_key, doc_id, text, next_text): each document with the next in ascending id
     order, the last with the first. Null text counts as empty, a null id comes first, equal ids
-    follow one another in order of their texts' hashes.
+    follow one another in order of their texts' hashes. Other columns go. An empty table has no rows,
+    and a single document follows itself.
 
     Documents go to many ranges of ids, and the first of each range goes to the range before it
-    too: no window spans more than a range. The driver sees the ranges' bounds only.
+    too: no window spans more than a range. An id that several bounds name, as it has so many of the
+    rows, has as many ranges, by its texts' hashes. The driver sees the ranges' bounds only.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     place = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.agg(F.percentile_approx(place, [k / n for k in range(1, n)], F.lit(50 * n))).first()[0] or []
-    bounds = sorted(set(bounds))
+    bounds = sorted(bounds)
     step = isqrt(len(bounds)) + 1
     coarse, fine = F.array(*[F.lit(x) for x in bounds[::step]]), F.array(*[F.lit(x) for x in bounds])
-    if bounds:
-        low = F.size(F.filter(coarse, lambda x: x <= F.col("_at"))) - 1
-        inside = F.size(F.filter(F.slice(fine, F.greatest("_low", F.lit(0)) * step + 1, F.lit(step)), lambda x: x <= F.col("_at")))
-        bucket = F.when(F.col("_low") < 0, 0).otherwise(F.col("_low") * step + inside)
-    else:
-        low, bucket = F.lit(0), F.lit(0)
-    rows = rows.withColumn("_at", place).withColumn("_low", low).withColumn("_bucket", bucket.cast("long")).drop("_low")
-    firsts = sorted((r["_bucket"], r["at"]) for r in rows.groupBy("_bucket").agg(F.min("_at").alias("at")).collect())  # a row for each range
-    before = [(at, firsts[k - 1][0]) for k, (_, at) in enumerate(firsts)]
-    ghosts = spark.createDataFrame(before, "_at long, _ghost long")
-    sent = rows.join(F.broadcast(ghosts), "_at", "left").withColumn("_to", F.explode(F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")), F.when(F.col("_ghost").isNotNull(), F.struct(F.col("_ghost").alias("b"), F.lit(True).alias("g")))))))
+
+    def bounds_where(fits) -> Column:
+        """How many bounds, the first ones, ``fits`` holds for."""
+        low = F.greatest(F.size(F.filter(coarse, fits)) - 1, F.lit(0))
+        return low * step + F.size(F.filter(F.slice(fine, low * step + 1, F.lit(step)), fits))
+
+    rows = rows.withColumn("_at", place).withColumn("_h", F.xxhash64("text"))
+    upto = bounds_where(lambda x: x <= F.col("_at")) if bounds else F.lit(0)
+    if len(set(bounds)) < len(bounds):
+        rows = rows.withColumn("_upto", upto).withColumn("_own", F.col("_upto") - bounds_where(lambda x: x < F.col("_at")))
+        share = F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * F.col("_own"))
+        upto = F.when(F.col("_own") > 1, F.col("_upto") - F.col("_own") + 1 + F.least(share, F.col("_own") - 1)).otherwise(F.col("_upto"))
+    rows = rows.withColumn("_bucket", upto.cast("long")).drop("_upto", "_own")
+    starts = rows.groupBy("_bucket").agg(F.min(F.struct("_at", "_h")).alias("s")).select("_bucket", "s.*").collect()  # a row for each range
+    firsts = sorted(map(tuple, starts))
+    before = [(at, h, firsts[k - 1][0]) for k, (_, at, h) in enumerate(firsts)]
+    ghosts = spark.createDataFrame(before, "_at long, _h long, _ghost long")
+    sent = rows.join(F.broadcast(ghosts), ["_at", "_h"], "left").withColumn("_to", F.explode(F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")), F.when(F.col("_ghost").isNotNull(), F.struct(F.col("_ghost").alias("b"), F.lit(True).alias("g")))))))
     sent = sent.select("doc_id", "_at", "text", "_bucket", F.col("_to.b").alias("_in"), F.col("_to.g").alias("_g"))
     order = Window.partitionBy("_in").orderBy("_g", "_at", F.xxhash64("text"), "text")
     nth = F.row_number().over(order) - 1
