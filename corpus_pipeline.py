@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakedocs.llm import decontamination, jaccard, lines, packing, quality
-from lakedocs.llm.shared import keyed, written
+from lakedocs.llm.shared import free_name, keyed, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,18 +36,20 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near copies, with all its columns. Null and
     empty texts are like nothing and all stay; of repeated rows one stays."""
-    rows = keyed(docs)
-    found = jaccard.groups(rows, 5, 80, 100, id_col="_key")
+    key = free_name(docs, "_key")
+    rows = keyed(docs, name=key)
+    found = jaccard.groups(rows, 5, 80, 100, id_col=key)
     kept = found.filter(F.col("row_key") == F.col("first_key"))
-    return rows.join(kept.select(F.col("doc_id").alias("_key")), "_key", "left_semi").select(*docs.columns)
+    return rows.join(kept.select(F.col("doc_id").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item, with all their columns. Null and empty texts
     hold none; repeated rows all stay or go."""
-    rows = keyed(docs)
-    _, spans = decontamination.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    return rows.join(spans.select("doc_id").distinct().withColumnRenamed("doc_id", "_key"), "_key", "left_anti").select(*docs.columns)
+    key = free_name(docs, "_key")
+    rows = keyed(docs, name=key)
+    _, spans = decontamination.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return rows.join(spans.select("doc_id").distinct().withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
