@@ -9,7 +9,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import stable_id
 from ..functions.text import est_tokens, norm_text
@@ -20,22 +20,31 @@ SEPARATORS = ["\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " "]
 META = "struct<types:array<string>,source_block_ids:array<string>,tokens:int,strategy:string,context_headers:array<string>,rows:int,cols:int,html:string>"
 
 
+def _strategy(tables: Column, chars: Column) -> Column:
+    return F.when(tables > 0, "layout").when(chars < TINY, "tiny").otherwise("section")
+
+
+def _target(blocks: Column, code: Column, lists: Column, target: int) -> Column:
+    least = F.when(code > 0, F.greatest(F.lit(300), F.lit(int(0.8 * target)))).otherwise(F.lit(target))
+    return F.when(lists >= F.greatest(F.lit(2), F.floor(blocks * 0.2)), F.greatest(F.lit(350), F.floor(least * 0.85))).otherwise(least).cast("int")
+
+
+def _of_type(kind: str) -> Column:
+    return F.count_if(F.col("type") == kind)
+
+
 def plan_chunks(blocks: DataFrame) -> DataFrame:
     """One plan a document: how to chunk it, and its sizes."""
     total, table = F.sum(F.length("text")), F.coalesce(F.sum(F.when(F.col("type") == "table", F.length("text"))), F.lit(0))
     plans = blocks.groupBy("doc_id").agg(total.alias("total_chars"), table.alias("table_chars"), F.count_if(F.col("type") == "table").alias("tables"), F.min("page").alias("p1"), F.max("page").alias("p2"), F.count(F.lit(1)).alias("block_count"))
-    strategy = F.when(F.col("tables") > 0, "layout").when(F.col("total_chars") < TINY, "tiny").otherwise("section")
+    strategy = _strategy(F.col("tables"), F.col("total_chars"))
     density = F.round(F.col("table_chars") / F.greatest(F.lit(1), F.col("total_chars")), 3)
     return plans.select("doc_id", strategy.alias("strategy"), "total_chars", density.alias("table_density"), F.array("p1", "p2").alias("page_span"), "block_count")
 
 
 def chunk_targets(blocks: DataFrame, target: int = TARGET) -> DataFrame:
     """(doc_id, target): less for documents with code or many lists."""
-    n = F.count(F.lit(1))
-    code = F.when(F.count_if(F.col("type") == "code") > 0, F.greatest(F.lit(300), F.lit(int(0.8 * target)))).otherwise(F.lit(target))
-    lists = F.count_if(F.col("type") == "list") >= F.greatest(F.lit(2), F.floor(n * 0.2))
-    counted = blocks.groupBy("doc_id").agg(code.alias("t"), lists.alias("lists"))
-    return counted.select("doc_id", F.when(F.col("lists"), F.greatest(F.lit(350), F.floor(F.col("t") * 0.85))).otherwise(F.col("t")).cast("int").alias("target"))
+    return blocks.groupBy("doc_id").agg(_target(F.count(F.lit(1)), _of_type("code"), _of_type("list"), target).alias("target"))
 
 
 def _root(filename):
@@ -67,16 +76,21 @@ def chunk_tables(blocks: DataFrame, plans: DataFrame) -> DataFrame:
 
 def narrative_segments(blocks: DataFrame, plans: DataFrame) -> DataFrame:
     """(doc_id, pos, type, text, prefix, headers, tokens, ...): what is told between tables and headers."""
-    base = blocks.join(plans.filter("strategy <> 'tiny'").select("doc_id", "strategy"), "doc_id")
-    base = base.withColumns({"level": F.col("meta.level"), "page_idx": F.lit(0)})
-    chained = with_header_chain(base.drop("headers"))
+    told = with_told(blocks.join(plans.filter("strategy <> 'tiny'").select("doc_id", "strategy"), "doc_id"))
+    out = told.filter("told <> ''").select("doc_id", "strategy", "pos", "block_id", "type", F.col("told").alias("text"), "headers", "page", "span_start", "span_end")
+    return out.withColumn("tokens", est_tokens(F.col("text")))
+
+
+def with_told(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``headers``, what each stands under, and ``told``, its text for a passage (null for
+    headers and tables)."""
+    chained = with_header_chain(blocks.drop("headers").withColumns({"level": F.col("meta.level"), "page_idx": F.lit(0)}))
     own = F.col("meta.headers")
     chain = F.when(F.size(own) > 0, own).otherwise(F.col("headers"))
     root = _root(F.col("filename")) if "filename" in blocks.columns else F.array().cast("array<string>")
     headers = F.array_distinct(F.filter(F.concat(root, chain), lambda h: h != ""))
     text = F.when(F.col("type") == "list", F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("• "), F.trim(x))), "\n")).otherwise(F.col("text"))
-    out = chained.filter("type not in ('header', 'table')").select("doc_id", "strategy", "pos", "block_id", "type", norm_text(text).alias("text"), headers.alias("headers"), "page", "span_start", "span_end")
-    return out.filter("text <> ''").withColumn("tokens", est_tokens(F.col("text")))
+    return chained.withColumns({"headers": headers, "told": F.when(~F.col("type").isin("header", "table"), norm_text(text))}).drop("level", "page_idx")
 
 
 def split_text(text: str, target: int, overlap: int) -> list[str]:
@@ -202,10 +216,67 @@ def check_chunks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     return j.select("doc_id", F.when(F.size(found) > 0, "WARN").otherwise("OK").alias("status"), found.alias("warnings"))
 
 
+def _whole(rows: list[dict]) -> tuple:
+    """Rows of one document as they stand, in one chunk: a tiny document, or one table."""
+    heads = list(dict.fromkeys(h for r in rows for h in r["own"]))
+    body = "\n\n".join(r["text"] for r in rows)
+    text = " / ".join(heads) + "\n\n" + body if heads else body
+    pages = [r["page"] for r in rows if r["page"] is not None]
+    kinds = sorted({r["type"] for r in rows})
+    first, table = rows[0], rows[0] if rows[0]["strategy"] != "tiny" else {}
+    return (first["doc_id"], False, first["pos"] if table else 0, min(r["span_start"] for r in rows), max(r["span_end"] for r in rows), min(pages, default=None), max(pages, default=None), text, kinds, [r["block_id"] for r in rows], first["strategy"], heads, table.get("rows"), table.get("cols"), table.get("html"))
+
+
+def _document_chunks(rows: list[dict], overlap: int, most: int) -> list[tuple]:
+    """All chunks of a document's blocks, which come in order: the columns of ``FOLDED``."""
+    if rows[0]["strategy"] == "tiny":
+        return [_whole(rows)]
+    made = [_whole([r]) for r in rows if r["type"] == "table"]
+    told = [r | {"text": r["told"], "headers": r["headers"]} for r in rows if r["told"]]
+    if told:
+        made += [(c[0], True, *c[1:9], *c[10:], None, None, None) for c in _chunk_rows(told, overlap)]
+    return sorted(made, key=lambda c: (c[3], c[2]))[:most]
+
+
+FOLDED = "doc_id string, packed boolean, ordinal int, span_start int, span_end int, page_start int, page_end int, text string, types array<string>, source_block_ids array<string>, strategy string, context_headers array<string>, rows int, cols int, html string"
+
+
 def chunk_documents(blocks: DataFrame, target: int = TARGET, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
-    """All of it: plans, tiny documents, tables, packed narrative, cap, ids. Blocks have spans."""
-    plans = plan_chunks(blocks)
-    packed = pack_segments(narrative_segments(blocks, plans), chunk_targets(blocks, target), overlap)
-    every = chunk_tiny(blocks, plans).unionByName(chunk_tables(blocks, plans)).unionByName(packed)
-    every = every.withColumn("meta", F.col("meta").cast(META))
-    return with_chunk_ids(cap_per_doc(every, most))
+    """All of it: plans, tiny documents, tables, packed narrative, cap, ids. Blocks have spans.
+
+    The same rows as :func:`chunk_tiny`, :func:`chunk_tables` and :func:`pack_segments` give, but in one
+    pass: plans and header chains are windows over a document's rows, which the blocks' spans have
+    brought together already, and a task folds its documents one after the other.
+    """
+    doc = Window.partitionBy("doc_id")
+    chars, n = F.sum(F.length("text")).over(doc), F.count(F.lit(1)).over(doc)
+    planned = blocks.withColumns({"strategy": _strategy(_of_type("table").over(doc), chars), "target": _target(n, _of_type("code").over(doc), _of_type("list").over(doc), target)})
+    planned = with_told(planned)
+    root = _root(F.col("filename")) if "filename" in blocks.columns else F.array().cast("array<string>")
+    own = F.array_distinct(F.filter(F.concat(root, F.coalesce("meta.headers", F.array().cast("array<string>"))), lambda h: h != ""))
+    tiny, table = F.col("strategy") == "tiny", F.col("type") == "table"
+    rows = planned.select(
+        "doc_id", "pos", "type", "block_id", "page", "span_start", "span_end", "strategy", "target",
+        F.when(tiny | table, F.col("text")).alias("text"), F.when(tiny | table, own).alias("own"), F.when(~tiny, F.col("told")).alias("told"), F.when(~tiny, F.col("headers")).alias("headers"),
+        *[F.when(table, F.col(f"meta.{c}")).alias(c) for c in ("rows", "cols", "html")],
+    ).sortWithinPartitions("doc_id", "pos")
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in FOLDED.split(", ")])
+
+    def fold(batches):
+        held, made = [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["doc_id"] != row["doc_id"]:
+                    made += _document_chunks(held, overlap, most)
+                    held = []
+                held.append(row)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), arrow.types, strict=True)], schema=arrow)
+                made = []
+        if held and (made := _document_chunks(held, overlap, most)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    out = rows.mapInArrow(fold, FOLDED).withColumn("text", F.when(F.col("packed"), F.col("text")).otherwise(norm_text(F.col("text"))))
+    meta = F.struct("types", "source_block_ids", est_tokens(F.col("text")).alias("tokens"), "strategy", "context_headers", "rows", "cols", "html").cast(META)
+    return with_chunk_ids(out.select("doc_id", "ordinal", "span_start", "span_end", "page_start", "page_end", "text", meta.alias("meta")))

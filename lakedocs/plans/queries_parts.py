@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import keys, text as T
 from ..operators import blocks as B, chunks as C, context as A, facts, graph as G
-from ..sources import tables
+from ..sources import ingest, tables
 from ..sources.stage import stage_path
 from . import data as D
 
@@ -184,3 +184,38 @@ def _(spark, d):
     next_text = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     c = D.read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("answer"), next_text.alias("context"), F.lit(0.5).alias("confidence"), (F.col("turn") % 3).cast("int").alias("n_citations"))
     return A.score_answers(c).select("conv_id", "turn", "warning", F.round("confidence", 1).alias("confidence"), F.md5("answer").alias("h"))
+
+
+@query("C7_targets_by_type", f"""with {D.SQL_BLOCKS}, k as (select doc_id, count(*) as n, case when count(*) filter (length(text) % 11 = 0) > 0 then 640 else 800 end as t, count(*) filter (length(text) % 11 > 0 and length(text) % 3 = 0) as lists from bl group by doc_id)
+ select doc_id, case when lists >= greatest(2, floor(n * 0.2)) then greatest(350, floor(t * 0.85)) else t end::int as target from k""")
+def _(spark, d):
+    n = F.length("text")
+    return C.chunk_targets(D.line_blocks(spark, d).withColumn("type", F.when(n % 11 == 0, "code").when(n % 3 == 0, "list").otherwise("paragraph")))
+
+
+# --- decisions ----------------------------------------------------------------------------------
+
+
+@query("S6_batch_states", """with b as (select doc_id, coalesce(n_chars, 0) as size, count(*) over (partition by coalesce(n_chars, 0) // 100) as files from documents)
+ select doc_id, case when files > 10 or size = 0 then 'REJECTED' else 'STORED' end as state, case when files > 10 then 'too_many_files' when size = 0 then 'empty_file' end as reason from b""")
+def _(spark, d):
+    size = F.coalesce("n_chars", F.lit(0))
+    docs = D.read(spark, d, "documents").select("doc_id", F.floor(size / 100).alias("batch"), F.lit("a.txt").alias("filename"), F.lit("text/plain").alias("mime"), size.alias("size_bytes"))
+    return ingest.check_ingest(docs, ingest.Policy(), batch_col="batch").select("doc_id", "state", "reason")
+
+
+@query("B12_damaged_blocks", f"""with {D.SQL_BLOCKS}, o as (select doc_id, count(*) as n, count(*) filter (length(text) % 7 = 0) as tables, sum(length(text)) as chars, sum(length(regexp_replace(text, '[^\\x20-\\x7E\\s]', '', 'g'))) as good from bl where pos % 3 > 0 group by doc_id),
+ a as (select doc_id, sum(length(text)) as a_chars from bl group by doc_id),
+ w as (select a.doc_id, concat_ws(',', case when coalesce(n, 0) = 0 then 'no_blocks' end, case when tables > 0 then 'table_count_mismatch' end, case when n > 20 then 'blocks_capped' end, case when good < 0.05 * chars then 'low_printable_ratio' end, case when chars < 0.6 * a_chars then 'low_coverage' end) as warnings from a left join o on o.doc_id = a.doc_id)
+ select doc_id, case when warnings = '' then 'OK' else 'WARN' end as status, warnings from w""")
+def _(spark, d):
+    blocks = D.line_blocks(spark, d).filter("pos % 3 > 0").withColumn("type", F.when(F.length("text") % 7 == 0, "table").otherwise(F.col("type")))
+    found = B.check_blocks(blocks, B.text_to_artifacts(D.read(spark, d, "documents"), "line"), 20)
+    return found.select("doc_id", "status", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("X1_classify_texts", f"""with {D.SQL_BLOCKS}, r as (select doc_id, lower(substr(text, 1, 400)) as t, length(text) % 37 = 0 as is_table, row_number() over (partition by doc_id order by pos) as n from bl),
+ g as (select doc_id, coalesce(string_agg(t, chr(10) order by n) filter (n <= 30), '') as t, bool_or(is_table) as has from r group by doc_id)
+ select doc_id, case when contains(t, 'agreement') or contains(t, 'party') or contains(t, 'effective date') or contains(t, 'term') then 'contract' when contains(t, 'invoice') or has then 'invoice' else 'generic' end as doc_class from g""")
+def _(spark, d):
+    return facts.classify_docs(D.line_blocks(spark, d).withColumn("type", F.when(F.length("text") % 37 == 0, "table").otherwise(F.col("type"))))

@@ -31,7 +31,8 @@ class Policy:
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, filename, length, modified, content) of every file below ``path``."""
+    """(path, filename, length, modified, content) of every file below ``path`` that has any bytes: Spark's
+    file sources leave empty ones out. Those are for :func:`check_ingest`, by the sizes that are declared."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
