@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import stable_id
 from ..functions.text import strip
@@ -48,24 +48,51 @@ def _edges(rows: DataFrame, rel: str) -> DataFrame:
     return rows.select(stable_id(F.lit(rel), F.col("src_node_id"), F.col("dst_node_id")).alias("edge_id"), "doc_id", "src_node_id", "dst_node_id", F.lit(rel).alias("rel_type"))
 
 
+def _packed(ident: Column) -> Column:
+    """An id in half its bytes where it is a hash in hex, else as it is."""
+    return F.when(ident.rlike("^[0-9a-f]{64}$"), F.concat(F.lit(b"\x01"), F.unhex(ident))).otherwise(F.concat(F.lit(b"\x00"), F.encode(ident, "UTF-8")))
+
+
+def _unpacked(key: Column) -> Column:
+    rest = F.substring(key, 2, 2**31 - 1)
+    return F.when(F.substring(key, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
+SIBLINGS = "shared_parent"
+
+
 def graph_neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 32) -> DataFrame:
     """(seed_id, node_id, rel): children, parents (``incoming_``) and siblings (``shared_parent``) of the
     seed blocks, at most ``limit`` of each seed in order of relation and place.
 
-    seeds: seed_id, block_id. Equi-joins throughout; a seed's parents are joined once.
+    seeds: seed_id, block_id. Equi-joins throughout. Siblings are most of the rows: where a seed has them of one parent
+    alone, their ranks follow from their places among that parent's children, so they are written
+    where the parent's children are and move no more. Ids are packed on the way.
     """
-    start = seeds.select("seed_id", "block_id").distinct().join(nodes.select(F.col("source_block_id").alias("block_id"), F.col("node_id").alias("own")), "block_id").select("seed_id", "own")
-    e = edges.select("src_node_id", "dst_node_id", "rel_type")
-    out = start.join(e, F.col("own") == F.col("src_node_id")).select("seed_id", F.col("dst_node_id").alias("node_id"), F.col("rel_type").alias("rel")).distinct()
-    into = start.join(e, F.col("own") == F.col("dst_node_id")).select("seed_id", "own", F.col("src_node_id").alias("parent"), "rel_type")
-    parents = into.select("seed_id", F.col("parent").alias("node_id"), F.concat(F.lit("incoming_"), "rel_type").alias("rel")).distinct()
+    n = nodes.select(_packed(F.col("node_id")).alias("key"), "pos", _packed(F.col("source_block_id")).alias("block"))
+    start = seeds.select("seed_id", _packed(F.col("block_id")).alias("block")).distinct().join(n.select("block", F.col("key").alias("own")), "block").select("seed_id", "own")
+    e = edges.select(_packed(F.col("src_node_id")).alias("src"), _packed(F.col("dst_node_id")).alias("dst"), "rel_type")
+    out = start.join(e, F.col("own") == F.col("src")).select("seed_id", F.col("dst").alias("key"), F.col("rel_type").alias("rel"))
+    into = start.join(e, F.col("own") == F.col("dst")).select("seed_id", F.col("src").alias("key"), F.concat(F.lit("incoming_"), "rel_type").alias("rel"))
+    order = Window.partitionBy("seed_id").orderBy("rel", "pos", _unpacked(F.col("key")))
+    near = out.unionByName(into).join(n, "key").repartition("seed_id").dropDuplicates(["seed_id", "rel", "key"])
+    # A parent's children in order, each once; an only child has no siblings.
+    by_parent = Window.partitionBy("src").orderBy("pos", _unpacked(F.col("dst")))
+    kids = e.select("src", "dst").join(into.select(F.col("key").alias("src")).distinct(), "src", "left_semi").distinct().join(n.withColumnRenamed("key", "dst"), "dst")
+    kids = kids.withColumns({"nth": F.row_number().over(by_parent), "more": F.lead("dst").over(by_parent)}).filter((F.col("nth") > 1) | F.col("more").isNotNull()).drop("more")
+    under = start.join(kids.select(F.col("dst").alias("own"), "src", F.col("nth").alias("own_nth")), "own").select("seed_id", "src", "own_nth")
+    # What stands before a seed's siblings; ``homes``: parents of whom it has any; ``behind``: relations that sort after them.
+    had = near.groupBy("seed_id").agg(F.count_if(F.col("rel") < SIBLINGS).alias("before"), F.count_if(F.col("rel") >= SIBLINGS).alias("behind"))
+    homes = under.groupBy("seed_id").agg(F.count(F.lit(1)).alias("homes"), F.first("src").alias("src"), F.first("own_nth").alias("own_nth")).join(had, "seed_id", "left").fillna(0, ["before", "behind"])
     # No seed takes more than ``limit`` siblings and itself: only a parent's first children move.
-    kids = e.select(F.col("src_node_id").alias("parent"), F.col("dst_node_id").alias("node_id")).distinct().join(into.select("parent").distinct(), "parent").join(nodes.select("node_id", "pos"), "node_id")
-    kids = kids.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy("pos", "node_id"))).filter(F.col("nth") <= limit + 1)
-    siblings = into.select("seed_id", "own", "parent").distinct().join(kids.select("parent", "node_id"), "parent").filter("node_id <> own").select("seed_id", "node_id", F.lit("shared_parent").alias("rel")).distinct()
-    every = out.unionByName(parents).unionByName(siblings).join(nodes.select("node_id", "pos", "source_block_id"), "node_id")
-    rank = F.row_number().over(Window.partitionBy("seed_id").orderBy("rel", "pos", "node_id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    some = kids.filter(F.col("nth") <= limit + 1).withColumnRenamed("dst", "key")
+    sibling = F.lit(SIBLINGS).alias("rel")
+    met = lambda df: df.join(some, "src").filter("nth <> own_nth").withColumn("rel", sibling)
+    one = met(homes.filter("homes = 1 and behind = 0")).withColumn("rank", (F.col("before") + F.col("nth") - (F.col("own_nth") < F.col("nth")).cast("int")).cast("int"))
+    many = met(under.join(homes.filter("homes > 1 or behind > 0").select("seed_id"), "seed_id", "left_semi"))
+    mixed = near.unionByName(many.select(*near.columns)).dropDuplicates(["seed_id", "rel", "key"])
+    every = mixed.withColumn("rank", F.row_number().over(order)).unionByName(one.select(*near.columns, "rank"))
+    return every.filter(F.col("rank") <= limit).select(_unpacked(F.col("key")).alias("node_id"), "seed_id", "rel", "pos", F.when(F.col("block").isNotNull(), _unpacked(F.col("block"))).alias("source_block_id"), "rank")
 
 
 def block_chunk_map(chunks: DataFrame) -> DataFrame:

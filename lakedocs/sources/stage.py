@@ -24,5 +24,5 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written as Parquet to :func:`stage_path` and read back: its lineage ends there."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
