@@ -377,8 +377,8 @@ _LEGS = f"""s as (select q.vec_id as query_id, i.vec_id as chunk_id, round({_COS
 
 
 def _legs(spark, d):
-    every = V.vector_topk(_asked(spark, d), _index(spark, d), 10**6).withColumn("score", F.round("score", 9)).drop("rank")
-    return V.ranked(every, 20), V.ranked(every.withColumn("score", F.col("score") * (F.col("chunk_id") % 3)), 20)
+    asked, index = _asked(spark, d), _index(spark, d).withColumn("w", F.col("chunk_id") % 3)
+    return V.vector_topk(asked, index, 20, digits=9), V.vector_topk(asked, index, 20, digits=9, weight="w")
 
 
 @query("H1_fuse_rrf", f"with {_LEGS} select query_id, chunk_id, round(0.7 / (60 + coalesce(rv, 1000000000)) + 0.3 / (60 + coalesce(rk, 1000000000)), 8) as score from j")
