@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import token_set
+from ..sources.stage import staged
 from .vectors import ranked
 
 NONE = 10**9
+#: Hits that are sent to all tasks at most.
+SENT = 100_000
 
 
 def fuse_rrf(vec: DataFrame, kw: DataFrame, alpha: float = 0.7, c: int = 60) -> DataFrame:
@@ -49,6 +52,13 @@ def merge_hits(vec: DataFrame, kw: DataFrame) -> DataFrame:
     return j.select(*keys, *[F.coalesce(*[F.col(f"_{leg}_{c}") for leg, df in (("k", kw), ("v", vec)) if c in df.columns]).alias(c) for c in rest])
 
 
+def fetched(hits: DataFrame, chunks: DataFrame, most: int = SENT) -> DataFrame:
+    """``hits`` with the columns of their ``chunks`` (chunk_id, ...). Up to ``most`` hits go to the chunks, so that no text is
+    shuffled or sorted but those of hits; more are joined as Spark sees fit."""
+    hits = staged(hits, "found")
+    return chunks.join(F.broadcast(hits) if hits.count() <= most else hits, "chunk_id").select(*hits.columns, *[c for c in chunks.columns if c != "chunk_id"])
+
+
 def top_n(df: DataFrame, n: int) -> DataFrame:
     return ranked(df.drop("rank"), n)
 

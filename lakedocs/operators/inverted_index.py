@@ -22,6 +22,8 @@ from ..sources.store import Commit, Store, Table
 from .keyword import STOP, words_of
 
 BUCKETS, SPLIT, SEGMENTS = 32, 4, 8
+#: Words that a task turns into blocks at once; a chunk of more is taken by itself.
+WORDS = 500_000
 #: The table of a store that knows each chunk's terms, to take them out again.
 FORWARD = Table(("chunk_id",), 32)
 _BLOCK = "term string, part int, chunk_ids array<string>, lengths array<int>, ends array<int>, positions array<int>, leads int"
@@ -42,9 +44,20 @@ def blocks_of(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     their chunk's first, so that chunks can be counted. Chunk ids must be unique and not null; null
     texts have no terms."""
 
+    most = WORDS
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches in slices of so many words, however long their texts are."""
+        for batch in batches:
+            offsets, start = np.asarray(batch.column(2).offsets), 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+                yield batch.slice(start, end - start)
+                start = end
+
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = pa.array(STOP)
-        for batch in batches:
+        for batch in sliced(batches):
             words = batch.column(2)
             n, flat = np.diff(np.asarray(words.offsets)), words.flatten()
             if not len(flat):

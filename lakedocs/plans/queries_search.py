@@ -429,7 +429,7 @@ def _(spark, d):
 def _hits(spark, d, k=40):
     docs = D.documents(spark, d)
     found = K.keyword_topk(D.questions(spark, d), _postings(spark, d), k, mode="any")
-    return found.join(docs.select(F.col("doc_id").alias("chunk_id"), "tenant_id", "text", "uri"), "chunk_id")
+    return H.fetched(found, docs.select(F.col("doc_id").alias("chunk_id"), "tenant_id", "text", "uri"))
 
 
 @query("H9_mmr")
