@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import parse_date_range
 from ..functions.text import is_numeric_question
+from ..sources.stage import staged
 
+#: Fixed value: first characters of a number by which invoices are left out.
+HEAD = 8
 #: Fixed value: what an invoice number looks like.
 INVOICE_NUMBER = r"\b([A-Z]{2,6}[-_/]?[0-9]{2,4}[-_/]?[0-9]{1,6})\b"
 
@@ -45,11 +48,6 @@ def _cut(queries: DataFrame) -> DataFrame:
     return queries.withColumn("doc_ids", F.when(F.col("_ids").isNotNull() & (F.size(both) > 0), both).otherwise(have)).drop("_ids")
 
 
-def _narrow(queries: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_ids`` cut to the sets in ``found`` (query_id, ids)."""
-    return _cut(queries.join(found.withColumnRenamed("ids", "_ids"), "query_id", "left"))
-
-
 def span_days(spans: DataFrame) -> DataFrame:
     """(span, day): the days of each different ``span`` (struct<start, end>). A span is one phrase of a
     question, so there are few, of some thousand days at most; days are keys to join by."""
@@ -75,23 +73,32 @@ def restrict_by_date(queries: DataFrame, invoices: DataFrame, today: Column, lim
     return _cut(asked.join(found.withColumnRenamed("span", "date_range"), "date_range", "left")).withColumn("types", F.when(wants, F.array_union(types, F.array(F.lit("table")))).otherwise(types)).select(*asked.columns)
 
 
-#: Characters by which numbers and invoices are joined; an invoice number has five at least. Parts that a common run's invoices are dealt to.
-GRAM, SPLIT = 5, 8
-
-
-def restrict_by_number(queries: DataFrame, invoices: DataFrame, limit: int = 50) -> DataFrame:
+def restrict_by_number(queries: DataFrame, invoices: DataFrame, limit: int | None = 50, pattern: str = INVOICE_NUMBER) -> DataFrame:
     """Questions that name an invoice number, cut to the invoices that contain it (the first ``limit`` by id, a stated
-    cut of the filter, made before they are collected): joined by the number's last five characters,
-    which are among the invoice's runs of five, then checked."""
-    number = F.regexp_extract(F.upper("q"), INVOICE_NUMBER, 1)
-    asked = queries.select("query_id", number.alias("number")).filter("number <> ''")
-    asked = asked.select("query_id", "number", F.right("number", F.lit(GRAM)).alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
+    cut of the filter, made before they are collected; None: all).
+
+    A number that stands in an invoice's is a piece of it that begins with a letter and ends in a digit. Invoices without any
+    asked number's first characters are left out; the others' pieces of the asked lengths are joined
+    by themselves, once for each different number. ``pattern``: its first group is two letters at least, then digits.
+    """
+    number = F.regexp_extract(F.upper("q"), pattern, 1)
+    # Questions without a number have a key each, so none of them is a common one.
+    keyed = queries.withColumn("_number", F.when(number != "", number).otherwise(F.concat(F.lit("?"), F.coalesce(F.col("query_id").cast("string"), F.lit("")))))
+    numbers = staged(keyed.filter(~F.col("_number").startswith("?")).select("_number").distinct(), "numbers")
+    heads = staged(numbers.select(F.substring("_number", 1, HEAD).alias("head")).distinct(), "heads")
+    sizes = sorted(r[0] for r in numbers.select(F.length("_number")).distinct().collect())  # as many as a number has characters
+    short = sorted({min(HEAD, n) for n in sizes})
     n = F.upper("invoice_number")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - GRAM + 1)), lambda k: F.substring(n, k, F.lit(GRAM)))
-    runs = invoices.select(F.col("invoice_id").cast("string").alias("id"), F.pmod(F.xxhash64("invoice_id"), F.lit(SPLIT)).cast("int").alias("part"), n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram"))
-    met = asked.join(runs, ["gram", "part"]).filter(F.contains("n", "number")).select("query_id", "id").distinct()
-    met = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("n") <= limit)
-    return _narrow(queries, met.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    rest = F.transform(F.filter(F.sequence(F.lit(1), F.length(n)), lambda k: F.substring(n, k, F.lit(1)).rlike("[A-Z]")), lambda k: F.substring(n, k, F.length(n)))
+    rows = invoices.filter(F.length("invoice_number") > 0).select(F.col("invoice_id").cast("string").alias("id"), F.explode(F.array_distinct(rest)).alias("rest"))
+    starts = rows.select("id", "rest", F.explode(F.array_distinct(F.array(*[F.substring("rest", 1, k) for k in short]))).alias("head")) if short else rows.withColumn("head", F.lit(None).cast("string"))
+    some = starts.join(heads, "head", "left_semi").select("id", "rest").distinct() if len(short) > 1 else starts.join(heads, "head", "left_semi").select("id", "rest")
+    pieces = some.select("id", F.explode(F.array_distinct(F.array(*[F.when(F.length("rest") >= k, F.substring("rest", 1, k)) for k in sizes] or [F.lit(None).cast("string")]))).alias("_number")).filter("_number is not null")
+    met = pieces.join(numbers, "_number").distinct()
+    if limit is not None:
+        met = met.withColumn("n", F.row_number().over(Window.partitionBy("_number").orderBy("id"))).filter(F.col("n") <= limit)
+    found = met.groupBy("_number").agg(F.sort_array(F.collect_list("id")).alias("_ids"))
+    return _cut(keyed.join(found, "_number", "left")).select(*queries.columns)
 
 
 def restrict_last_days(queries: DataFrame, invoices: DataFrame, today: Column, limit: int = 1000) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lakedocs.operators import fusion as H, graph as G, inverted_index as I, vectors as V
+from lakedocs.operators import filters, fusion as H, graph as G, inverted_index as I, vectors as V
 
 
 def moved(spark, run) -> int:
@@ -103,3 +104,28 @@ def test_hits_fetch_their_texts(spark):
         got = []
         assert moved(spark, lambda most=most, got=got: got.extend(H.fetched(hits, chunks, most).collect())) < rows
         assert sorted((x["query_id"], x["text"]) for x in got) == [(q, f"text {q * 7}") for q in range(20)]
+
+
+def test_numbers_find_all_their_invoices(spark):
+    """By whole numbers and parts, of any length; limits are the caller's; numbers that are long are asked by a wider pattern."""
+    inv = spark.createDataFrame([(k, f"INV-{1996 + k % 2}-{k}") for k in range(0, 4000)] + [(9001, "xx-inv-1996-12-INV-1996-1"), (9002, None), (9003, "AB12"), (9004, "INV-1996-1234567")], "invoice_id int, invoice_number string")
+    asked = ["of inv-1996-1 now", "INV-1996-3998", "nothing", None, "NV-1997-39", "AB12-5", "AB120", "inv-1996-1234567", "of inv-1996-1 again"]
+    q = spark.createDataFrame([(k, s, ["7"] if k == 2 else None) for k, s in enumerate(asked)], "query_id int, q string, doc_ids array<string>")
+    wide = filters.INVOICE_NUMBER.replace("{1,6}", "{1,18}")
+    rows = [(str(x["invoice_id"]), (x["invoice_number"] or "").upper()) for x in inv.collect()]
+    for limit in (None, 50):
+        for pattern in (filters.INVOICE_NUMBER, wide):
+            got = {x["query_id"]: x["doc_ids"] for x in filters.restrict_by_number(q, inv, limit, pattern).collect()}
+            for k, s in enumerate(asked):
+                m = re.search(pattern, (s or "").upper())
+                want = sorted(i for i, n in rows if m and m[1] in n)[:limit]
+                assert got[k] == (want or (["7"] if k == 2 else [])), (k, limit)
+    assert len(got) == len(asked)
+
+
+def test_common_beginnings_move_no_other_invoices(spark):
+    inv = spark.range(5000).select("id", F.concat(F.lit("INV-"), (F.col("id") % 10 + 1990).cast("string"), F.lit("-"), "id").alias("invoice_number")).withColumnRenamed("id", "invoice_id").cache()
+    q = inv.filter("invoice_id < 500").select(F.col("invoice_id").alias("query_id"), F.concat(F.lit("INV-1996-"), "invoice_id").alias("q"), F.array().cast("array<string>").alias("doc_ids")).cache()
+    assert inv.count() == 5000 and q.count() == 500
+    # It was eleven pieces of each invoice, and eight rows of each question.
+    assert moved(spark, lambda: filters.restrict_by_number(q, inv, None).collect()) < 10000
