@@ -16,6 +16,8 @@ from ..functions.text import strip
 
 ARTIFACT = "doc_id string, pos int, type string, text string, page_idx int, level int, caption string, rows int, cols int, items int, ordered boolean, html string"
 LEVELS = range(1, 7)
+#: Characters of pages that a task parses before it gives their parts away.
+PARSED = 4_000_000
 
 
 class _Page(HTMLParser):
@@ -120,15 +122,24 @@ def html_to_artifacts(pages: DataFrame, id_col: str = "page_id", html_col: str =
     """Artifacts of HTML pages, 0 to n a page; null html has none. Only the markup is read row by
     row; all that follows is DataFrame work."""
 
+    most = PARSED
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ARTIFACT.split(", ")]).astype({c: "Int32" for c in ("page_idx", "level", "rows", "cols", "items")} | {"ordered": "boolean"})
+
     def read(pdfs):
         for pdf in pdfs:
-            rows = []
+            rows, chars = [], 0
             for doc, html in zip(pdf["doc_id"], pdf["html"], strict=True):
                 page = _Page()
                 page.feed(html or "")
                 page.close()
                 rows += [(doc, k, *x) for k, x in enumerate(page.out)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ARTIFACT.split(", ")]).astype({c: "Int32" for c in ("page_idx", "level", "rows", "cols", "items")} | {"ordered": "boolean"})
+                chars += len(html or "")
+                if chars >= most:
+                    yield frame(rows)
+                    rows, chars = [], 0
+            yield frame(rows)
 
     return pages.select(F.col(id_col).cast("string").alias("doc_id"), F.col(html_col).cast("string").alias("html")).mapInPandas(read, ARTIFACT)
 

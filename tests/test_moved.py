@@ -9,7 +9,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lakedocs.operators import filters, fusion as H, graph as G, inverted_index as I, vectors as V
+from lakedocs.operators import blocks as B, filters, fusion as H, graph as G, inverted_index as I, vectors as V
 
 
 def moved(spark, run) -> int:
@@ -129,3 +129,10 @@ def test_common_beginnings_move_no_other_invoices(spark):
     assert inv.count() == 5000 and q.count() == 500
     # It was eleven pieces of each invoice, and eight rows of each question.
     assert moved(spark, lambda: filters.restrict_by_number(q, inv, None).collect()) < 10000
+
+
+def test_pages_are_parsed_a_few_at_once(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"<h1>t{k}</h1><p>{'x' * (k * 13 % 70)}</p>" if k % 5 else None) for k in range(60)], "doc_id int, html string").coalesce(1)
+    whole = B.html_to_artifacts(pages, "doc_id", "html").orderBy("doc_id", "pos").collect()
+    monkeypatch.setattr(B, "PARSED", 100)
+    assert B.html_to_artifacts(pages, "doc_id", "html").orderBy("doc_id", "pos").collect() == whole and len(whole) > 60
