@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.stage import shuffles_go
 from ..sources.store import Commit, Store, Table
 from .keyword import STOP, words_of
 
@@ -123,7 +124,8 @@ def _write(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
     name = "lakedocs_" + hashlib.md5(path.encode()).hexdigest()
     df.sparkSession.sql(f"drop table if exists {name}")
     dealt = df.repartition(BUCKETS, *by).sortWithinPartitions("term")
-    dealt.write.mode("overwrite").format("parquet").bucketBy(BUCKETS, *by).sortBy("term").option("path", path).option("compression", "zstd").saveAsTable(name)
+    with shuffles_go(df.sparkSession):
+        dealt.write.mode("overwrite").format("parquet").bucketBy(BUCKETS, *by).sortBy("term").option("path", path).option("compression", "zstd").saveAsTable(name)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

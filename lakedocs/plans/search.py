@@ -1,7 +1,7 @@
 """Search end to end, over a table of questions.
 
 corpus: chunks (chunk_id, doc_id, text, meta, page_*, span_*), documents, index (vectors),
-postings, optionally nodes, edges, invoices.
+postings (for the keyword leg), optionally nodes, edges, invoices.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ class Corpus:
     chunks: DataFrame
     documents: DataFrame
     index: DataFrame
-    postings: DataFrame | Index
+    postings: DataFrame | Index | None = None
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     invoices: DataFrame | None = None
@@ -80,7 +80,11 @@ def search_vector(queries: DataFrame, corpus: Corpus, k: int, now: Column, tenan
     score = F.col("score_vec") + vectors.recency_boost(F.col("collected_at"), now) + vectors.context_boost(F.col("headers"), F.col("types"), F.col("q"))
     scored = staged(full.select("query_id", "chunk_id", "score_vec", "rank", score.alias("score")), "scored")
     if corpus.nodes is not None and corpus.edges is not None:
-        more = graph.expand_hits(scored.filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score_vec"), corpus.nodes, corpus.edges, corpus.chunks, questions=queries)
+        first = scored.filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score_vec")
+        # Edges don't leave a document: only those of the first hits' documents are made and moved.
+        docs = staged(first.join(live.select("chunk_id", "doc_id"), "chunk_id").select("doc_id").distinct(), "hit-docs")
+        nodes, edges, chunks = (t.join(docs, "doc_id", "left_semi") for t in (corpus.nodes, corpus.edges, corpus.chunks))
+        more = graph.expand_hits(first, nodes, edges, chunks, questions=queries)
         more = more.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         scored = scored.select("query_id", "chunk_id", "score").unionByName(more.select("query_id", "chunk_id", F.col("score_graph").alias("score")))
     return vectors.ranked(scored.select("query_id", "chunk_id", "score"))

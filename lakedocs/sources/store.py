@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .stage import shuffles_go
+
 BUCKET = "_bucket"
 
 
@@ -151,7 +153,8 @@ class Store:
         path = f"{self.root}/{name}/g={number}"
         # Small buckets share a task, a large one is split.
         dealt = new.withColumn(BUCKET, F.pmod(F.xxhash64(*table.key), F.lit(n)).cast("int")).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *table.order)
-        dealt.write.mode("overwrite").partitionBy(BUCKET).option("compression", "zstd").parquet(path)
+        with shuffles_go(self.spark):
+            dealt.write.mode("overwrite").partitionBy(BUCKET).option("compression", "zstd").parquet(path)
         have = {x.split("=")[1] for x in self.files.names(path) if x.startswith(f"{BUCKET}=")}
         for b in map(str, touched):
             parts.pop(b, None)

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lakedocs.operators import blocks as B, filters, fusion as H, graph as G, inverted_index as I, vectors as V
+from lakedocs.plans import search as S
 
 
 def moved(spark, run) -> int:
@@ -136,3 +137,23 @@ def test_pages_are_parsed_a_few_at_once(spark, monkeypatch):
     whole = B.html_to_artifacts(pages, "doc_id", "html").orderBy("doc_id", "pos").collect()
     monkeypatch.setattr(B, "PARSED", 100)
     assert B.html_to_artifacts(pages, "doc_id", "html").orderBy("doc_id", "pos").collect() == whole and len(whole) > 60
+
+
+def test_vectors_are_made_where_texts_are(spark):
+    rows = spark.createDataFrame([(k, "red moon red " * (k % 5)) for k in range(50)], "k long, t string")
+    assert moved(spark, lambda: V.hash_embed(rows, "k", "t", 16).collect()) == 0
+
+
+def test_only_the_graph_of_hits_is_moved(spark):
+    """Vector search: the blocks of 59 documents without a first hit stay where they are."""
+    b = spark.createDataFrame([(f"b{d}-{k}", f"d{d}", k, 1, "paragraph", "x", (None,)) for d in range(60) for k in range(30)], BLOCK)
+    meta = "struct<source_block_ids:array<string>,context_headers:array<string>,types:array<string>>"
+    chunks = spark.createDataFrame([(f"c{d}-{k}", f"d{d}", ([f"b{d}-{k}"], [], ["paragraph"])) for d in range(60) for k in range(30)], f"chunk_id string, doc_id string, meta {meta}")
+    docs = spark.createDataFrame([(f"d{d}", "t", "text/plain", f"u{d}", "STORED") for d in range(60)], "doc_id string, tenant_id string, mime string, uri string, state string").withColumn("collected_at", F.lit("2020-01-01").cast("timestamp"))
+    index = spark.createDataFrame([(f"c{d}-{k}", [1.0, 0.0] if (d, k) == (7, 3) else [0.1, float(d + 1)]) for d in range(60) for k in range(30)], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "x", [1.0, 0.0], None, None)], "query_id int, q string, embedding array<double>, doc_ids array<string>, types array<string>")
+    c = S.Corpus(chunks, docs, index, None, G.graph_nodes(b), G.contains_edges(b).unionByName(G.follows_edges(b)))
+    got = []
+    n = moved(spark, lambda: got.append({x["chunk_id"]: x["score"] for x in S.search_vector(asked, c, 1, F.lit("2024-06-01").cast("timestamp")).collect()}))
+    assert {f"c7-{k}" for k in range(30)} <= set(got[0]) and abs(got[0]["c7-4"] - 0.6) < 1e-9
+    assert n < 15000
