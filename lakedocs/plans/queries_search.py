@@ -363,7 +363,7 @@ def _(spark, d):
  r as (select *, row_number() over (partition by query_id order by collected_at desc, doc_id) as rank from f) select query_id, doc_id as chunk_id, rank::int as rank from r where rank <= 200""")
 def _(spark, d):
     """Each benchmark text asks for all its words of seven letters and more."""
-    docs = staged(D.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.col("collected_at").alias("extracted_at")))
+    docs = D.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.col("collected_at").alias("extracted_at"))
     asked = D.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{7,}"), F.lit(0)).alias("terms"))
     return K.scan_any_terms(docs, asked, docs.select("doc_id", "extracted_at"))
 

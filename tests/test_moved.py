@@ -9,7 +9,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lakedocs.operators import blocks as B, filters, fusion as H, graph as G, inverted_index as I, vectors as V
+from lakedocs.operators import blocks as B, filters, fusion as H, graph as G, inverted_index as I, keyword as K, vectors as V
 from lakedocs.plans import search as S
 
 
@@ -157,3 +157,16 @@ def test_only_the_graph_of_hits_is_moved(spark):
     n = moved(spark, lambda: got.append({x["chunk_id"]: x["score"] for x in S.search_vector(asked, c, 1, F.lit("2024-06-01").cast("timestamp")).collect()}))
     assert {f"c7-{k}" for k in range(30)} <= set(got[0]) and abs(got[0]["c7-4"] - 0.6) < 1e-9
     assert n < 15000
+
+
+def test_a_scan_moves_no_runs_of_texts(spark):
+    """For each question no more than the chunks that hold its terms, and ``limit`` from each task."""
+    r = random.Random(2)
+    texts = [(f"c{k:03}", f"d{k}", " ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(60)) + (" needle lamp" if k % 20 == 0 else "")) for k in range(200)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, doc_id string, text string").repartition(2).cache()
+    assert chunks.count() == 200
+    asked = spark.createDataFrame([(1, ["EEDLE"]), (2, ["dle la", "nothing"])], "query_id int, terms array<string>")
+    got = []
+    n = moved(spark, lambda: got.extend(K.scan_any_terms(chunks, asked, limit=4).collect()))
+    assert {(x["query_id"], x["chunk_id"], x["rank"]) for x in got} == {(q, f"c{k:03}", k // 20 + 1) for q in (1, 2) for k in (0, 20, 40, 60)}
+    assert n < 60
