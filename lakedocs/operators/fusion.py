@@ -107,29 +107,31 @@ def safety_net(queries: DataFrame, hits: DataFrame, corpus: DataFrame, k: int =
     """Hits for questions that have none: the longest table chunks of a numeric one (.01), else the
     longest chunks (.005), within its ``doc_ids`` and ``types`` if it has any.
 
-    The corpus is cut to its k longest before it meets the questions without restrictions.
+    The corpus is cut to its k longest before it meets the questions without restrictions. It may
+    have ``n_text``, its texts' lengths, in place of ``text``.
     """
     from ..functions.text import is_numeric_question
 
     empty = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").withColumn("numeric", is_numeric_question(F.col("q")))
-    order = [F.desc(F.length("text")), "chunk_id"]
+    text = "n_text" if "n_text" in corpus.columns else "text"
+    order = [F.desc(text if text == "n_text" else F.length("text")), "chunk_id"]
     tables = corpus.filter(F.array_contains("types", "table"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     free = empty.filter((size("doc_ids") <= 0) & (size("types") <= 0)).select("query_id", "numeric")
     top = tables.orderBy(*order).limit(k).withColumn("numeric", F.lit(True)).unionByName(corpus.orderBy(*order).limit(k).withColumn("numeric", F.lit(False)))
-    top = top.select("chunk_id", "doc_id", "text", "types", "numeric")
+    top = top.select("chunk_id", "doc_id", text, "types", "numeric")
     one = free.join(F.broadcast(top), "numeric")  # 2k rows
     bound = empty.filter((size("doc_ids") > 0) | (size("types") > 0)).select("query_id", "numeric", F.col("types").alias("want"), F.explode_outer(F.when(size("doc_ids") > 0, F.col("doc_ids"))).alias("only"))
-    c = corpus.select("chunk_id", "doc_id", "text", "types")
+    c = corpus.select("chunk_id", "doc_id", text, "types")
     with_docs = bound.filter("only is not null").join(c, F.col("only") == F.col("doc_id"))
     # By type: of each type (and of its tables) the k longest, then the questions that want it.
     table = F.array_contains("types", "table")
     typed = c.withColumns({"t": F.explode(F.array_distinct("types")), "numeric": F.explode(F.when(table, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))})
     typed = typed.withColumn("nth", F.row_number().over(Window.partitionBy("t", "numeric").orderBy(*order))).filter(F.col("nth") <= k).drop("nth")
     with_types = bound.filter("only is null").withColumn("t", F.explode(F.array_distinct("want"))).join(typed, ["t", "numeric"])
-    two = with_docs.select("query_id", "numeric", "want", "chunk_id", "doc_id", "text", "types").unionByName(with_types.select("query_id", "numeric", "want", "chunk_id", "doc_id", "text", "types")).distinct()
+    two = with_docs.select("query_id", "numeric", "want", "chunk_id", "doc_id", text, "types").unionByName(with_types.select("query_id", "numeric", "want", "chunk_id", "doc_id", text, "types")).distinct()
     two = two.filter(((size("want") <= 0) | F.arrays_overlap("types", "want")) & (~F.col("numeric") | F.array_contains("types", "table"))).drop("want")
-    every = one.select("query_id", "numeric", "chunk_id", "doc_id", "text", "types").unionByName(two)
+    every = one.select("query_id", "numeric", "chunk_id", "doc_id", text, "types").unionByName(two)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return every.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("score", F.when(F.col("numeric"), 0.01).otherwise(0.005)).drop("numeric", "types")
 
@@ -139,7 +141,8 @@ def expand_window(hits: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
     another start); adds ``window_expanded``. Neighbours are looked for in the hits' documents
     alone, by id, and their texts fetched last."""
     first = F.col("rank") <= n
-    some = chunks.join(hits.filter(first).select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = staged(hits.filter(first).select("doc_id").distinct(), "hit-docs")
+    some = chunks.join(docs, "doc_id", "left_semi")
     starts = some.groupBy("doc_id", "span_start").agg(F.min(F.struct("chunk_id", "span_end")).alias("c"))
     by = Window.partitionBy("doc_id").orderBy("span_start")
     near = starts.select("doc_id", "span_start", F.lag("c").over(by)["chunk_id"].alias("_p"), F.lead("c").over(by).alias("x"), F.lag("span_start").over(by).alias("p_start"))

@@ -593,16 +593,15 @@ def _(spark, d):
 # --- search -----------------------------------------------------------------------------------
 
 
-def corpus(spark, d, keywords: bool = True) -> S.Corpus:
-    """Blocks, chunks, vectors and postings are written once, since a search reads each many times; the graph is made of the
-    blocks where it is read. ``keywords``: with postings."""
+def corpus(spark, d) -> S.Corpus:
+    """Chunks and vectors are written once, since a search reads each many times; the graph is made where it is read, of the
+    documents that it is read for. Without postings: one table of questions doesn't repay an index."""
     keep = staged
-    b = keep(D.line_blocks(spark, d), "blocks")
+    b = D.line_blocks(spark, d)
     chunks = keep(C.chunk_documents(b), "chunks")
     e = keep(V.hash_embed(chunks, "chunk_id", "text", 64), "vectors")
-    postings = I.build_index(chunks.select("chunk_id", "text"), stage_path(spark, "index")) if keywords else None
     edges = G.contains_edges(b).unionByName(G.follows_edges(b))
-    return S.Corpus(chunks, D.documents(spark, d), e, postings, G.graph_nodes(b), edges, D.invoices(spark, d))
+    return S.Corpus(chunks, D.documents(spark, d), e, None, G.graph_nodes(b), edges, D.invoices(spark, d))
 
 
 @query("H13_search")
@@ -617,4 +616,4 @@ def _(spark, d):
 def _(spark, d):
     q = D.search_questions(spark, d)
     q = staged(q.join(V.hash_embed(q, "query_id", "q", 64), "query_id"))
-    return S.search_vector(q, corpus(spark, d, keywords=False), 10, ts(D.NOW)).filter("rank <= 10").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return S.search_vector(q, corpus(spark, d), 10, ts(D.NOW)).filter("rank <= 10").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))

@@ -1,17 +1,17 @@
 """Search end to end, over a table of questions.
 
 corpus: chunks (chunk_id, doc_id, text, meta, page_*, span_*), documents, index (vectors),
-postings (for the keyword leg), optionally nodes, edges, invoices.
+optionally postings, nodes, edges, invoices.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import enrich_query, is_numeric_question
-from ..operators import filters, fusion, graph, keyword, vectors
+from ..operators import filters, fusion, graph, keyword, keyword_scan, vectors
 from ..operators.inverted_index import Index
 from ..sources.stage import staged
 
@@ -49,9 +49,11 @@ def _facts(live: DataFrame) -> DataFrame:
 
 def keyword_leg(queries: DataFrame, corpus: Corpus, k: int, tenant_id: str | None = None, live: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): any of an enriched question's terms, among the live chunks that it may see. All
-    restrictions hold before the first k are taken, so nothing below that cut is lost."""
+    restrictions hold before the first k are taken, so nothing below that cut is lost. A corpus without postings is read for it."""
     live = _facts(searchable(corpus, tenant_id)) if live is None else live
     asked = queries.withColumn("q", enrich_query(F.col("q")))
+    if corpus.postings is None:
+        return keyword_scan.keyword_scan(asked, corpus.chunks, live, k)
     return keyword.keyword_topk(asked, corpus.postings, k, mode="any", passing=lambda found: filters.passing(found, queries, live))
 
 
@@ -104,14 +106,16 @@ def search(queries: DataFrame, corpus: Corpus, today: Column, now: Column, k: in
         asked = filters.restrict_by_number(asked, corpus.invoices)
         asked = filters.restrict_last_days(asked, corpus.invoices, today)
     asked = staged(asked, "asked")
-    live = staged(searchable(corpus, tenant_id).select("chunk_id", "doc_id", "text", "types", "mime", "uri", "filename", "vendor", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids")), "live")
-    facts = live.drop("mime", "filename", "vendor")
+    # Texts' lengths go along, texts stay.
+    sized = replace(corpus, chunks=corpus.chunks.withColumn("n_text", F.length("text")))
+    live = staged(searchable(sized, tenant_id).select("chunk_id", "doc_id", "n_text", "types", "mime", "uri", "filename", "vendor", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids")), "live")
+    facts, texts = live.drop("mime", "filename", "vendor"), corpus.chunks.select("chunk_id", "text")
     fused = staged(search_vector(asked, corpus, max(k, 32), now, tenant_id), "vector-leg")
     if hybrid:
         kw = staged(keyword_leg(asked, corpus, max(k, 100), live=_facts(live)), "keyword-leg")
         fused = (fusion.fuse_minmax if mode == "norm" else fusion.fuse_rrf)(fused, kw, alpha)
         fused = fusion.top_n(fused, max(50, 4 * k))
-    full = filters.restrict_docs(fused.join(facts, "chunk_id"), asked)
+    full = fusion.fetched(filters.restrict_docs(fused.join(facts.drop("n_text"), "chunk_id"), asked), texts)
     if hybrid:
         # A second score, and what the question would rather see, before the diverse ones are picked.
         if scorer is not None:
@@ -124,7 +128,7 @@ def search(queries: DataFrame, corpus: Corpus, today: Column, now: Column, k: in
         full = picked.join(full.drop("rank"), ["query_id", "chunk_id"])
     hits = staged(fusion.cap_hits(full, 3, k), "hits")
     net = fusion.safety_net(asked, hits, facts, k)
-    net = net.select("query_id", "chunk_id", "score", "rank").join(facts, "chunk_id")
+    net = fusion.fetched(net.select("query_id", "chunk_id", "score", "rank").join(facts.drop("n_text"), "chunk_id"), texts)
     every = hits.select(*net.columns).unionByName(net)
     return fusion.expand_window(every, corpus.chunks)
 
