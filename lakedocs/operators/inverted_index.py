@@ -39,11 +39,11 @@ def _batch(term: pa.Array, part: np.ndarray, chunk: pa.Array, length: np.ndarray
     return pa.RecordBatch.from_arrays([term, pa.array(part, pa.int32()), *own, lists(np.append(starts[at], len(places)), pa.array(places, pa.int32())), pa.array(np.add.reduceat(lead, at), pa.int32())], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
 
-def blocks_of(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+def blocks_of(chunks: DataFrame, text_col: str = "text", only: int | None = None) -> DataFrame:
     """Postings in blocks: a row for each term and part of each batch of chunks, with its chunks, their lengths, and all places,
     those of the i-th chunk up to ``ends[i]``. Made without a shuffle. ``leads``: how many postings are
     their chunk's first, so that chunks can be counted. Chunk ids must be unique and not null; null
-    texts have no terms."""
+    texts have no terms. ``only``: the blocks of one part."""
 
     most = WORDS
 
@@ -82,6 +82,7 @@ def blocks_of(chunks: DataFrame, text_col: str = "text") -> DataFrame:
             yield _batch(code.dictionary.take(pa.array(term[starts[at]])), part[of[at]], batch.column(0).take(pa.array(of)), length[of], starts, place, at, lead)
 
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(SPLIT)).cast("int")
+    chunks = chunks if only is None else chunks.filter(part == only)
     return chunks.select(F.col("chunk_id").cast("string"), part.alias("part"), words_of(text_col).alias("words")).mapInArrow(invert, _BLOCK)
 
 
@@ -119,13 +120,14 @@ def _table(spark: SparkSession, path: str, schema: StructType, by: tuple[str, ..
     return spark.table(name)
 
 
-def _write(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
-    """One file a bucket: the rows are dealt out as the table's buckets are."""
+def _write(df: DataFrame, path: str, by: tuple[str, ...], more: bool = False) -> None:
+    """One file a bucket: the rows are dealt out as the table's buckets are. ``more``: beside those that are there."""
     name = "lakedocs_" + hashlib.md5(path.encode()).hexdigest()
-    df.sparkSession.sql(f"drop table if exists {name}")
+    if not more:
+        df.sparkSession.sql(f"drop table if exists {name}")
     dealt = df.repartition(BUCKETS, *by).sortWithinPartitions("term")
     with shuffles_go(df.sparkSession):
-        dealt.write.mode("overwrite").format("parquet").bucketBy(BUCKETS, *by).sortBy("term").option("path", path).option("compression", "zstd").saveAsTable(name)
+        dealt.write.mode("append" if more else "overwrite").format("parquet").bucketBy(BUCKETS, *by).sortBy("term").option("path", path).option("compression", "zstd").saveAsTable(name)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -210,7 +212,8 @@ class IndexWriter:
 
     def segment(self, number: int, was: Commit, chunks: DataFrame | None, gone: DataFrame | None, text_col: str = "text") -> list[dict]:
         """Writes segment ``number`` and returns the segments that hold with it. ``chunks`` come, ``gone`` (chunk_id) and
-        former chunks of the same ids go. Called by the store's ``change``; ``chunks`` is read twice."""
+        former chunks of the same ids go. Called by the store's ``change``; ``chunks`` is read once for its ids and once
+        for each part, whose texts alone are taken apart."""
         segments = list(was.notes.get("segments", []))
         here = {"number": number}
         path = lambda what: f"{self.root}/_index/seg={number}/{what}"
@@ -223,8 +226,10 @@ class IndexWriter:
             lost = old.join(self.spark.read.schema("chunk_id string").parquet(path("gone")), "chunk_id", "left_semi")
             minus = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         here["gone"] = minus[0] > 0
-        made = blocks_of(chunks, text_col) if chunks is not None else self.spark.createDataFrame([], _BLOCK)
-        _write(made, path("postings"), ("term", "part"))
+        # One part after the other: disks hold the shuffle of one, and its blocks hold more chunks each.
+        for k in range(SPLIT if chunks is not None else 1):
+            made = blocks_of(chunks, text_col, k) if chunks is not None else self.spark.createDataFrame([], _BLOCK)
+            _write(made, path("postings"), ("term", "part"), k > 0)
         here["postings"] = _json(made)
         mine = self.spark.read.schema(made.schema).parquet(path("postings"))
         # A block's last end is the number of its places.
@@ -276,7 +281,7 @@ def _json(df: DataFrame) -> dict:
 
 
 def build_index(chunks: DataFrame, root: str, text_col: str = "text") -> Index:
-    """A new index of ``chunks`` (chunk_id, text) below ``root``: one segment, read once from ``chunks`` but for its schema."""
+    """A new index of ``chunks`` (chunk_id, text) below ``root``: one segment, of the parts of ``chunks`` one after the other."""
     spark = chunks.sparkSession
     store = Store(spark, root, {})
     writer = IndexWriter(store)

@@ -112,7 +112,7 @@ class Store:
         """Replaces rows in several tables by one commit.
 
         ``changes``: table -> (rows, keys). Rows of a table whose key is among those of ``rows`` or
-        ``keys`` go, ``rows`` come; both are read twice. A batch that a stream has had taken, or an
+        ``keys`` go, ``rows`` come; both are read twice, but for a table's first rows. A batch that a stream has had taken, or an
         earlier one, changes nothing. ``notes`` gets the new number and the former commit, does what
         writing of its own it has to under that number, and returns the new commit's notes.
         """
@@ -138,11 +138,13 @@ class Store:
             return None
         n = known["buckets"] if known else table.buckets
         at = F.pmod(F.xxhash64(*table.key), F.lit(n)).cast("int").alias(BUCKET)
-        named = [x.select(*table.key) for x in (rows, keys) if x is not None]
-        gone = named[0] if len(named) == 1 else named[0].unionByName(named[1])
-        gone = gone.distinct()
-        touched = sorted(r[0] for r in gone.select(at).distinct().collect())  # a row for each bucket
-        old = self.read(name, touched, was)
+        touched, old = [], None
+        if known is not None:
+            named = [x.select(*table.key) for x in (rows, keys) if x is not None]
+            gone = named[0] if len(named) == 1 else named[0].unionByName(named[1])
+            gone = gone.distinct()
+            touched = sorted(r[0] for r in gone.select(at).distinct().collect())  # a row for each bucket
+            old = self.read(name, touched, was)
         parts = dict(known["parts"]) if known else {}
         if old is not None:
             same = [F.col(f"o.{k}").eqNullSafe(F.col(f"g.{k}")) for k in table.key]

@@ -15,7 +15,7 @@ from ..operators import blocks as B, chunks as C, graph as G, vectors as V
 from ..operators.inverted_index import FORWARD, Index, IndexWriter
 from ..plans.reports import STAGES
 from ..sources.ingest import Policy, ingest
-from ..sources.stage import staged
+from ..sources.stage import dropped, staged
 from ..sources.store import BUCKET, Commit, Store, Table
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -52,30 +52,38 @@ def put_documents(store: Store, docs: DataFrame, stream: str | None = None, batc
     vectors, and those that are gone leave the index. A batch that was taken before changes nothing."""
     if stream is not None and store.taken(stream, batch):
         return store.commit()
+    return _put_documents(store, staged(docs, "documents"), stream, batch, dim)
+
+
+def _put_documents(store: Store, docs: DataFrame, stream: str | None, batch: int, dim: int) -> Commit:
+    """The same of a staged table, which goes. What is read once is not staged but made where the store writes it, and what is
+    staged goes as soon as nothing reads it."""
     was, writer = store.commit(), IndexWriter(store)
-    docs = staged(docs, "documents")
-    ids = docs.select("doc_id")
     blocks = staged(B.with_spans(B.artifacts_to_blocks(B.text_to_artifacts(docs, "line"))), "blocks")
+    plain = staged(docs.drop("text"), "plain")
+    dropped(docs)
+    ids = plain.select("doc_id")
     chunks = staged(C.chunk_documents(blocks), "chunks")
     edges = G.contains_edges(blocks).unionByName(G.follows_edges(blocks))
     old = _touched(store, "vectors", ids, was)
     facts = chunks.select("doc_id", "chunk_id", "checksum", F.col("meta.types").alias("types"))
-    fresh, kept = chunks, None
+    held, gone = [], None
+    made = V.hash_embed(chunks, "chunk_id", "text", dim).join(facts, "chunk_id").select(*facts.columns, "embedding")
     if old is not None:
         old = staged(old, "old-vectors")
         delta = V.index_delta(facts, old)
         fresh = chunks.join(delta.filter("action = 'upsert'"), "chunk_id", "left_semi")
         kept = old.join(facts.select("chunk_id"), "chunk_id", "left_semi").join(delta.filter("action = 'upsert'"), "chunk_id", "left_anti")
-    made = V.hash_embed(fresh, "chunk_id", "text", dim).join(facts, "chunk_id").select(*facts.columns, "embedding")
-    vectors = staged(made if kept is None else made.unionByName(kept.select(*made.columns)), "vectors")
-    before = _touched(store, "chunks", ids, was)
-    gone = None if before is None else staged(before.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"), "gone")
+        made = V.hash_embed(fresh, "chunk_id", "text", dim).join(facts, "chunk_id").select(*facts.columns, "embedding").unionByName(kept.select(*made.columns))
+        gone = staged(_touched(store, "chunks", ids, was).select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"), "gone")
+        held = [old, gone]
     changes = {
-        "documents": (docs.drop("text"), None), "blocks": (blocks, ids), "chunks": (chunks, ids), "nodes": (staged(G.graph_nodes(blocks), "nodes"), ids), "edges": (staged(edges, "edges"), ids),
-        "vectors": (vectors, ids), "forward": (staged(writer.forward(chunks), "forward"), gone),
+        "documents": (plain, None), "blocks": (blocks, ids), "chunks": (chunks, ids), "nodes": (G.graph_nodes(blocks), ids), "edges": (edges, ids),
+        "vectors": (made, ids), "forward": (writer.forward(chunks), gone),
     }
     new = store.change(changes, stream, batch, lambda n, now: now.notes | {"segments": writer.segment(n, now, chunks, gone)})
     writer.expire()
+    dropped(blocks, plain, chunks, *held)
     return new
 
 
@@ -116,10 +124,10 @@ def ingest_rows_stream(rows: DataFrame, tables: str, checkpoint: str, policy: Po
         store = corpus_store(batch.sparkSession, tables)
         if store.taken(checkpoint, n):
             return
-        docs = ingest(staged(batch, "batch"), store.read("documents"), policy).filter("state = 'STORED' and not duplicate").withColumn("text", F.col("content").cast("string"))
+        docs = ingest(batch, store.read("documents"), policy).filter("state = 'STORED' and not duplicate").withColumn("text", F.col("content").cast("string"))
         docs = staged(docs.select("doc_id", "tenant_id", "sha256", "uri", "mime", "size_bytes", "state", "filename", "text"), "new")
         if not docs.isEmpty():
-            put_documents(store, docs, checkpoint, n)
+            _put_documents(store, docs, checkpoint, n, DIM)
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

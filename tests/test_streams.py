@@ -172,3 +172,19 @@ def test_question_stream(spark, tmp_path):
     for _ in range(2):
         S.search_stream(asked, lambda q: K.keyword_topk(q, postings, 5), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {(r["query_id"], r["chunk_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "c1"), (1, "c2"), (2, "c3")}
+
+
+def test_ingest_leaves_nothing_staged(spark, tmp_path):
+    """The store is all that stays of a batch, the first and later ones."""
+    import os
+
+    from lakedocs.sources.stage import stage_path
+
+    folder = stage_path(spark).removeprefix("file://").rsplit("/", 1)[0]
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    store, before = S.corpus_store(spark, str(tmp_path / "s")), there()
+    for text in ("river lamp\nstone", "river\nglass"):
+        S.put_documents(store, spark.createDataFrame([("d", "t", "STORED", text)], "doc_id string, tenant_id string, state string, text string"))
+        assert there() == before
+    assert [r["text"] for r in store.read("blocks").orderBy("pos").collect()] == ["river", "glass"]
+    assert {r["term"] for r in S.corpus_index(spark, store.root).terms().collect()} == {"river", "glass"}
