@@ -31,6 +31,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def filled(c: Column) -> Column:
+    """``strip(c) != ''``: whether there is more than white space. Ends at the first such character,
+    where ``strip`` goes through the whole text."""
+    return c.rlike(f"[^{SPACE[1:]}")
+
+
 def est_tokens(c: Column, floor: int = 0) -> Column:
     """Four characters a token, rounded up."""
     return F.greatest(F.lit(floor), F.ceil(F.length(_empty(c)) / 4)).cast("int")
@@ -94,7 +100,7 @@ def table_shape(rows: Column) -> Column:
 
 def looks_like_table(c: Column) -> Column:
     """(is_table, cols): two lines with two bars each, or two lines with a double blank."""
-    lines = F.filter(F.split(_empty(c), "\r\n|\n|\r"), lambda x: strip(x) != "")
+    lines = F.filter(F.split(_empty(c), "\r\n|\n|\r"), filled)
     bars = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
     barred = F.filter(lines, lambda x: bars(x) >= 2)
     wide = F.filter(lines, lambda x: x.contains("  "))

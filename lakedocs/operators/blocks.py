@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import stable_id
-from ..functions.text import strip
+from ..functions.text import filled
 
 ARTIFACT = "doc_id string, pos int, type string, text string, page_idx int, level int, caption string, rows int, cols int, items int, ordered boolean, html string"
 LEVELS = range(1, 7)
@@ -246,7 +246,7 @@ def artifacts_to_blocks(artifacts: DataFrame) -> DataFrame:
     caption, html = _column(a, "caption", "string"), F.coalesce(_column(a, "html", "string"), _column(a, "table_html", "string"))
     body = _column(a, "table_body", "array<array<string>>")
     cells = F.array_join(F.transform(body, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")), "\n")
-    full = lambda c: F.when(strip(c) != "", c)
+    full = lambda c: F.when(filled(c), c)
     plain = F.coalesce("text", F.lit(""))
     table = F.coalesce(full(_column(a, "table_markdown", "string")), full(plain), full(cells), F.lit(""))
     image = F.when(F.coalesce(caption, F.col("text"), F.lit("")) != "", F.concat(F.lit("[Image: "), F.coalesce(F.nullif(caption, F.lit("")), F.col("text")), F.lit("]"))).otherwise("[Image]")
@@ -256,7 +256,7 @@ def artifacts_to_blocks(artifacts: DataFrame) -> DataFrame:
     cols = F.coalesce(_column(a, "cols", "int"), F.array_max(F.transform(body, lambda r: F.size(r))))
     meta = F.struct(_column(a, "level", "int").alias("level"), headers.alias("headers"), rows.alias("rows"), cols.alias("cols"), _column(a, "items", "int").alias("items"), _column(a, "ordered", "boolean").alias("ordered"), html.alias("html"), caption.alias("caption"), F.col("type").alias("origin_type"))
     out = a.select(stable_id(F.col("doc_id"), F.col("pos"), kind).alias("block_id"), "doc_id", "pos", (_column(a, "page_idx", "int") + 1).alias("page"), kind.alias("type"), text.alias("text"), meta.alias("meta"))
-    return out.filter((F.col("type") == "image") | (strip(F.col("text")) != ""))
+    return out.filter((F.col("type") == "image") | filled(F.col("text")))
 
 
 def with_spans(blocks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import stable_id
 from ..functions.text import strip
+from ..sources.stage import staged
 from .vectors import context_boost
 
 LEVELS = range(1, 7)
@@ -67,18 +68,19 @@ def graph_neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit:
 
     seeds: seed_id, block_id. Equi-joins throughout. Siblings are most of the rows: where a seed has them of one parent
     alone, their ranks follow from their places among that parent's children, so they are written
-    where the parent's children are and move no more. Ids are packed on the way.
+    where the parent's children are and move no more. Ids are packed on the way, once: nodes and edges
+    are staged so, and whatever they are made of is made once.
     """
-    n = nodes.select(_packed(F.col("node_id")).alias("key"), "pos", _packed(F.col("source_block_id")).alias("block"))
+    n = staged(nodes.select(_packed(F.col("node_id")).alias("key"), "pos", _packed(F.col("source_block_id")).alias("block")), "nodes")
     start = seeds.select("seed_id", _packed(F.col("block_id")).alias("block")).distinct().join(n.select("block", F.col("key").alias("own")), "block").select("seed_id", "own")
-    e = edges.select(_packed(F.col("src_node_id")).alias("src"), _packed(F.col("dst_node_id")).alias("dst"), "rel_type")
+    e = staged(edges.select(_packed(F.col("src_node_id")).alias("src"), _packed(F.col("dst_node_id")).alias("dst"), "rel_type"), "edges")
     out = start.join(e, F.col("own") == F.col("src")).select("seed_id", F.col("dst").alias("key"), F.col("rel_type").alias("rel"))
     into = start.join(e, F.col("own") == F.col("dst")).select("seed_id", F.col("src").alias("key"), F.concat(F.lit("incoming_"), "rel_type").alias("rel"))
     order = Window.partitionBy("seed_id").orderBy("rel", "pos", _unpacked(F.col("key")))
     near = out.unionByName(into).join(n, "key").repartition("seed_id").dropDuplicates(["seed_id", "rel", "key"])
     # A parent's children in order, each once; an only child has no siblings.
     by_parent = Window.partitionBy("src").orderBy("pos", _unpacked(F.col("dst")))
-    kids = e.select("src", "dst").join(into.select(F.col("key").alias("src")).distinct(), "src", "left_semi").distinct().join(n.withColumnRenamed("key", "dst"), "dst")
+    kids = e.select("src", "dst").join(into.select(F.col("key").alias("src")).distinct(), "src", "left_semi").repartition("dst").distinct().join(n.withColumnRenamed("key", "dst"), "dst")
     kids = kids.withColumns({"nth": F.row_number().over(by_parent), "more": F.lead("dst").over(by_parent)}).filter((F.col("nth") > 1) | F.col("more").isNotNull()).drop("more")
     under = start.join(kids.select(F.col("dst").alias("own"), "src", F.col("nth").alias("own_nth")), "own").select("seed_id", "src", "own_nth")
     # What stands before a seed's siblings; ``homes``: parents of whom it has any; ``behind``: relations that sort after them.
@@ -107,11 +109,12 @@ def expand_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: Dat
 
     hits: query_id, rank, chunk_id, score_vec.
     """
-    where = block_chunk_map(chunks)
+    where = chunks.select("chunk_id", F.explode("meta.source_block_ids").alias("block_id"))  # what is there twice counts once below
     first = hits.filter(F.col("rank") <= limit)
-    seeds = first.join(where.select("chunk_id", "block_id"), "chunk_id").select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("chunk_id")).alias("seed_id"), "query_id", F.col("chunk_id").alias("from_chunk"), F.col("rank").alias("from_rank"), "score_vec", "block_id")
+    seeds = first.join(where, "chunk_id").select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("chunk_id")).alias("seed_id"), "query_id", F.col("chunk_id").alias("from_chunk"), F.col("rank").alias("from_rank"), "score_vec", "block_id")
+    seeds = staged(seeds, "seeds")
     near = graph_neighbors(seeds.select("seed_id", "block_id"), nodes, edges).select("seed_id", F.col("source_block_id").alias("block_id"), F.col("rank").alias("near_rank"))
-    found = near.join(seeds.drop("block_id").distinct(), "seed_id").join(where.select("block_id", "chunk_id"), "block_id")
+    found = near.join(seeds.drop("block_id").distinct(), "seed_id").join(where, "block_id")
     fresh = found.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     best = fresh.groupBy("query_id", "chunk_id").agg(F.min(F.struct("from_rank", "near_rank", "score_vec")).alias("m"))
     score = F.lit(0.6) * F.col("m.score_vec")

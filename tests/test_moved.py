@@ -9,6 +9,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from lakedocs.functions import text as T
 from lakedocs.operators import blocks as B, filters, fusion as H, graph as G, inverted_index as I, keyword as K, vectors as V
 from lakedocs.plans import search as S
 
@@ -170,3 +171,32 @@ def test_a_scan_moves_no_runs_of_texts(spark):
     n = moved(spark, lambda: got.extend(K.scan_any_terms(chunks, asked, limit=4).collect()))
     assert {(x["query_id"], x["chunk_id"], x["rank"]) for x in got} == {(q, f"c{k:03}", k // 20 + 1) for q in (1, 2) for k in (0, 20, 40, 60)}
     assert n < 60
+
+
+def test_edges_are_made_once(spark):
+    """Neighbours of hits read nodes and edges several times; what those are made of is read once for each."""
+    b = spark.createDataFrame([(f"b{k}", "d", k, 1, "paragraph", "x", (None,)) for k in range(40)], BLOCK)
+    made = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        made.add(1)
+        return x
+
+    edges = G.contains_edges(b).unionByName(G.follows_edges(b)).withColumn("src_node_id", F.udf(same)("src_node_id"))
+    chunks = b.select(F.col("block_id").alias("chunk_id"), "doc_id", F.struct(F.array("block_id", "block_id").alias("source_block_ids")).alias("meta"))
+    hits = spark.createDataFrame([(1, 1, "b3", 0.5)], "query_id int, rank int, chunk_id string, score_vec double")
+    got = G.expand_hits(hits, G.graph_nodes(b), edges, chunks).collect()
+    # Of 32 neighbours, the next block, the root, the block before and 29 siblings; both blocks are siblings, too.
+    assert {(x["query_id"], x["score_graph"], x["from_rank"]) for x in got} == {(1, 0.3, 1)} and len({x["chunk_id"] for x in got}) == len(got) == 29
+    assert made.value == 79
+
+
+def test_blank_is_told_by_the_first_character(spark):
+    """As ``strip`` tells it, but a text isn't gone through for that."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = ["", "".join(spaces), *spaces, *(f"{a}x{a}" for a in spaces), "​", "﻿ ", " \n⁠", "a\u0085", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [(x[0], x[1]) for x in df.select(T.filled(F.col("text")), T.strip(F.col("text")) != "").collect()] == [(None if t is None else t.strip() != "",) * 2 for t in texts]
+    docs = df.withColumn("doc_id", F.monotonically_increasing_id())
+    blocks = B.artifacts_to_blocks(B.text_to_artifacts(docs, "line"))
+    assert "regexp_replace" not in blocks._jdf.queryExecution().optimizedPlan().toString()
