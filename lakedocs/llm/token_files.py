@@ -32,6 +32,7 @@ from .wordhash import slices
 MAX_BITS = 20
 CHECKPOINT_EVERY = 128
 BLOCK_IDS = 1 << 18
+NAMES = ["doc_id", "n_tokens", "ids", "id", "n"]
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -124,21 +125,29 @@ class Codec:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, blanks: str, end: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian uint32, compressed with zstd, a row per row."""
-    schema = "doc_id long, n_tokens int, ids binary"
+    """(doc_id, n_tokens, ids, id, n): ids as little-endian uint32, compressed with zstd, a row per row; and
+    behind a task's rows one for each ``id`` among them, with its number ``n``. The others have null there."""
+    schema = "doc_id long, n_tokens int, ids binary, id int, n long"
 
     def encode(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
         enc = encoder(tokenizer, blanks)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             for low, high in slices(texts, TEXT_BYTES):
                 ids, sizes = enc.encode(texts[low:high], end)
                 cut = np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1])
                 packed = [press.compress(x.astype("<u2").tobytes() if len(x) == 0 or x.max() < 65536 else b"4" + x.tobytes()) for x in cut]
-                yield pa.RecordBatch.from_arrays([names[low:high], pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                got = np.bincount(ids)
+                if len(got) > len(total):
+                    got, total = total, got
+                total[: len(got)] += got
+                yield pa.RecordBatch.from_arrays([names[low:high], pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(high - low, pa.int32()), pa.nulls(high - low, pa.int64())], names=NAMES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=NAMES)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, schema)
 
@@ -152,20 +161,8 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def count_ids(ids: DataFrame) -> DataFrame:
-    """(id, n) over all rows; each task sends a row for each id at most."""
-
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                got = np.bincount(unpacked(blob).astype(np.int64))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[: len(got)] += got
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
-
-    return ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    """(id, n) over all rows of :func:`tokenized`; a task that made them has a row for each id at most."""
+    return ids.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, blanks: str = "whole", end: int | None = None, vocabulary: int = 1 << 20, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -208,8 +205,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, blanks: str = "whol
         return pa.RecordBatch.from_pylist([values], pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("every", pa.int32()), ("checkpoints", pa.binary()), ("payload", pa.binary())]))
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.select("doc_id", "ids").mapInArrow(encode, "shard int, block int, doc_ids array<long>, sizes array<long>, n_ids long, every int, checkpoints binary, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered = ids.filter("id is null").select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered.mapInArrow(encode, "shard int, block int, doc_ids array<long>, sizes array<long>, n_ids long, every int, checkpoints binary, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,8 @@ not change the ids. It is made
   is of the Latin blocks up to U+024F but U+0130: their lower case and their composed forms are
   one letter again. (U+0130 becomes i and a mark, and marks merge with the signs after them.)
 
-Memory follows the slice and its largest text, not the corpus: nothing is kept between slices.
+Memory follows the slice and its largest text, not the corpus. Between slices the ids of at most
+``KEPT`` short pieces are kept, the first ones that were met: a frequent word is early among them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ import pyarrow.compute as pc
 _ODD_BLANK = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 #: Texts encoded together.
 TEXT_BYTES = 16 << 20
+#: Pieces whose ids are kept between slices, and the bytes of the longest of them.
+KEPT, KEPT_BYTES = 1 << 20, 32
+#: Fewer pieces than these are not worth the look-up.
+_FEW = 2_000
 _SIGNS = ".,!?;:*&%$#|"
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _TAILED = f"[{_LATIN}][.,!?;:*&%$#|]+$"
@@ -67,6 +72,7 @@ class PieceEncoder:
         self.closes = self.opens.copy()
         for token, k in vocabulary.items():
             self.opens[k], self.closes[k] = token.startswith("Ġ"), token.endswith("</w>")
+        self.kept, self.kept_sizes, self.kept_ids = pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,6 +82,33 @@ class PieceEncoder:
         return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
 
     def learn(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids) of different strings; through the library go those that are not kept."""
+        if len(strings) < _FEW:
+            return self._learn(strings)
+        at = np.asarray(pc.fill_null(pc.index_in(strings, value_set=self.kept), -1))
+        known = at >= 0
+        fresh = strings.filter(pa.array(~known))
+        new_sizes, new_ids = self._learn(fresh)
+        sizes = np.empty(len(strings), np.int64)
+        sizes[known], sizes[~known] = self.kept_sizes[at[known]], new_sizes
+        of = np.repeat(known, sizes)
+        ids = np.empty(len(of), np.uint32)
+        n = sizes[known]
+        starts = (np.cumsum(self.kept_sizes, dtype=np.int64) - self.kept_sizes)[at[known]]
+        ids[of] = self.kept_ids[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ids[~of] = new_ids
+        self._keep(fresh, new_sizes, new_ids)
+        return sizes, ids
+
+    def _keep(self, strings: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        short = np.asarray(pc.binary_length(strings)) <= KEPT_BYTES
+        short &= np.cumsum(short) <= KEPT - len(self.kept)
+        if short.any():
+            self.kept = pa.concat_arrays([self.kept, strings.filter(pa.array(short))])
+            self.kept_ids = np.concatenate([self.kept_ids, ids[np.repeat(short, sizes)]])
+            self.kept_sizes = np.concatenate([self.kept_sizes, sizes[short].astype(np.int32)])
+
+    def _learn(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each, all ids). Many strings go through the library as one text and are
         told apart by their first token (a leading blank), their last (a word's end) or a special
         token between them."""
