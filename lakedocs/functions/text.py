@@ -93,6 +93,11 @@ def any_of(low: Column, words: list[str]) -> Column:
     return _any(low, words)
 
 
+def any_word(low: Column, words: list[str]) -> Column:
+    """True where the text holds any of the words (or phrases) by itself, in the plural or as a verb's form."""
+    return low.rlike(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{'|'.join(words)})(?:e?s|e?d|ing)?(?![\p{{L}}\p{{M}}\p{{N}}_])")
+
+
 def table_shape(rows: Column) -> Column:
     """(rows, cols) of an array of arrays of cells."""
     return F.struct(F.size(rows).alias("rows"), F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0)).alias("cols"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import parse_date
-from ..functions.text import any_of, currency_numbers, labelled_totals, strip
+from ..functions.text import any_of, any_word, currency_numbers, labelled_totals, strip
 
 #: Hints that decide how a question is routed.
 NUMERIC_HINTS = ["total", "amount", "sum", "balance", "grand total", "amount due", "fees", "fee", "tax", "subtotal"]
@@ -23,12 +23,12 @@ DATE = r"([0-3]?[0-9][-/](?:[0-1]?[0-9]|[A-Za-z]{3,9})[-/][0-9]{2,4}|[0-9]{4}-[0
 
 
 def route(queries: DataFrame) -> DataFrame:
-    """Adds flavor, intent, fact_kind and invoice_no by rules."""
+    """Adds flavor, intent, fact_kind and invoice_no by rules. Hints are words of the question: "sum" is none of "sumac"."""
     q = F.coalesce("q", F.lit(""))
     low = F.lower(q)
     number = F.coalesce(F.nullif(F.regexp_extract(q, INVOICE, 1), F.lit("")), F.nullif(F.regexp_extract(q, INVOICE, 2), F.lit("")))
     student = q.rlike(STUDENT) | (q.rlike(FEES) & low.contains("student"))
-    flavor = F.when(any_of(low, NUMERIC_HINTS), "NUMERIC").when(any_of(low, LIST_HINTS), "LIST").when(any_of(low, CLAUSE_HINTS), "CLAUSE").otherwise("DEFAULT")
+    flavor = F.when(any_word(low, NUMERIC_HINTS), "NUMERIC").when(any_word(low, LIST_HINTS), "LIST").when(any_word(low, CLAUSE_HINTS), "CLAUSE").otherwise("DEFAULT")
     kind = F.when(number.isNotNull(), "invoice_total").when(student, "student_fees")
     return queries.withColumns({"flavor": flavor, "fact_kind": kind, "invoice_no": number, "intent": F.when(kind.isNotNull(), "FACT_LOOKUP").otherwise("HYBRID")})
 
