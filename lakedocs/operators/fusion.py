@@ -105,9 +105,9 @@ def cap_hits(hits: DataFrame, per_doc: int = 3, k: int = 8) -> DataFrame:
 
 def safety_net(queries: DataFrame, hits: DataFrame, corpus: DataFrame, k: int = 8) -> DataFrame:
     """Hits for questions that have none: the longest table chunks of a numeric one (.01), else the
-    longest chunks (.005), within its ``doc_ids`` and ``types`` if it has any.
+    longest chunks (.005), within its ``doc_ids``, ``sets`` and ``types`` if it has any.
 
-    The corpus is cut to its k longest before it meets the questions without restrictions. It may
+    The corpus is cut to its k longest before it meets the questions without restrictions, and so is each set. It may
     have ``n_text``, its texts' lengths, in place of ``text``.
     """
     from ..functions.text import is_numeric_question
@@ -117,6 +117,9 @@ def safety_net(queries: DataFrame, hits: DataFrame, corpus: DataFrame, k: int =
     order = [F.desc(text if text == "n_text" else F.length("text")), "chunk_id"]
     tables = corpus.filter(F.array_contains("types", "table"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    of_set = None
+    if "sets" in empty.columns and "sets" in corpus.columns:
+        of_set, empty = empty.filter(size("sets") > 0), empty.filter(size("sets") <= 0)
     free = empty.filter((size("doc_ids") <= 0) & (size("types") <= 0)).select("query_id", "numeric")
     top = tables.orderBy(*order).limit(k).withColumn("numeric", F.lit(True)).unionByName(corpus.orderBy(*order).limit(k).withColumn("numeric", F.lit(False)))
     top = top.select("chunk_id", "doc_id", text, "types", "numeric")
@@ -132,6 +135,14 @@ def safety_net(queries: DataFrame, hits: DataFrame, corpus: DataFrame, k: int =
     two = with_docs.select("query_id", "numeric", "want", "chunk_id", "doc_id", text, "types").unionByName(with_types.select("query_id", "numeric", "want", "chunk_id", "doc_id", text, "types")).distinct()
     two = two.filter(((size("want") <= 0) | F.arrays_overlap("types", "want")) & (~F.col("numeric") | F.array_contains("types", "table"))).drop("want")
     every = one.select("query_id", "numeric", "chunk_id", "doc_id", text, "types").unionByName(two)
+    if of_set is not None:
+        # Of each set, and of each type in it, the k longest (tables), then the questions that ask for it; no type: any.
+        within = corpus.filter(size("sets") > 0).select("chunk_id", "doc_id", text, "types", F.explode("sets").alias("s"))
+        kinds = F.array_union(F.coalesce("types", F.array().cast("array<string>")), F.array(F.lit("")))
+        within = within.withColumn("t", F.explode(kinds)).withColumn("numeric", F.explode(F.when(F.coalesce(table, F.lit(False)), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+        within = within.withColumn("nth", F.row_number().over(Window.partitionBy("s", "t", "numeric").orderBy(*order))).filter(F.col("nth") <= k).drop("nth")
+        asks = of_set.select("query_id", "numeric", F.explode("sets").alias("s"), F.when(size("types") > 0, F.array_distinct("types")).otherwise(F.array(F.lit(""))).alias("t")).withColumn("t", F.explode("t"))
+        every = every.unionByName(asks.join(within, ["s", "t", "numeric"]).select(*every.columns).distinct())
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return every.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("score", F.when(F.col("numeric"), 0.01).otherwise(0.005)).drop("numeric", "types")
 

@@ -1,7 +1,7 @@
 """Search end to end, over a table of questions.
 
 corpus: chunks (chunk_id, doc_id, text, meta, page_*, span_*), documents, index (vectors),
-optionally postings, nodes, edges, invoices.
+optionally postings, nodes, edges, invoices, and sets (doc_id, sets) of documents by name.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ class Corpus:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     invoices: DataFrame | None = None
+    sets: DataFrame | None = None
 
 
 def searchable(corpus: Corpus, tenant_id: str | None = None) -> DataFrame:
@@ -40,11 +41,12 @@ def searchable(corpus: Corpus, tenant_id: str | None = None) -> DataFrame:
         docs = docs.join(vendors, "doc_id", "left")
     else:
         docs = docs.withColumn("vendor", F.lit(None).cast("string"))
+    docs = docs.withColumn("sets", F.lit(None).cast("array<string>")) if corpus.sets is None else docs.join(corpus.sets, "doc_id", "left")
     return corpus.chunks.join(docs, "doc_id").withColumn("types", F.col("meta.types"))
 
 
 def _facts(live: DataFrame) -> DataFrame:
-    return live.select("chunk_id", "doc_id", "types", "mime", "uri", "filename", "vendor")
+    return live.select("chunk_id", "doc_id", "types", "mime", "uri", "filename", "vendor", "sets")
 
 
 def keyword_leg(queries: DataFrame, corpus: Corpus, k: int, tenant_id: str | None = None, live: DataFrame | None = None) -> DataFrame:
@@ -66,11 +68,15 @@ def search_vector(queries: DataFrame, corpus: Corpus, k: int, now: Column, tenan
     depth = max(k, 60)
     queries = filters.with_restrictions(queries)
     live = searchable(corpus, tenant_id)
-    n = F.coalesce(F.size("doc_ids"), F.lit(0))
-    free, bound = queries.filter(n <= 0), queries.filter(n > 0)
-    index = corpus.index.select("chunk_id", "embedding").join(live.select("chunk_id", "mime"), "chunk_id")
+    n, sets = (F.coalesce(F.size(c), F.lit(0)) for c in ("doc_ids", "sets"))
+    free, bound = queries.filter((n <= 0) & (sets <= 0)), queries.filter(n > 0)
+    index = corpus.index.select("chunk_id", "embedding").join(live.select("chunk_id", "mime", "sets"), "chunk_id")
     near = vectors.vector_topk(free, index, depth, only=("mime_any", "mime"))
-    # A question's documents are fewer than a thousand or two (the date and number filters' limits), found by id.
+    if corpus.sets is not None:
+        # A set may hold any share of the corpus: its questions go to the rows, as those that see all do.
+        own = vectors.vector_topk(queries.filter((n <= 0) & (sets > 0)), index.filter(F.size("sets") > 0), depth, only=[("sets", "sets"), ("mime_any", "mime")])
+        near = near.unionByName(own)
+    # The documents that a question itself gives are found by id.
     own = bound.select("query_id", F.explode(F.array_distinct("doc_ids")).alias("doc_id")).join(live.select("doc_id", "chunk_id", "mime"), "doc_id")
     ask = bound.select("query_id", F.col("embedding").alias("e"), "mime_any")
     own = own.join(corpus.index.select("chunk_id", "embedding"), "chunk_id").join(ask, "query_id").filter((F.coalesce(F.size("mime_any"), F.lit(0)) <= 0) | F.array_contains("mime_any", F.col("mime")))
@@ -102,20 +108,20 @@ def search(queries: DataFrame, corpus: Corpus, today: Column, now: Column, k: in
     """
     asked = filters.with_restrictions(queries)
     if corpus.invoices is not None:
-        asked = filters.restrict_by_date(asked, corpus.invoices, today).drop("date_range")
-        asked = filters.restrict_by_number(asked, corpus.invoices)
-        asked = filters.restrict_last_days(asked, corpus.invoices, today)
+        asked, members = filters.restrict_to_invoices(asked, corpus.invoices, today)
+        sets = members.join(corpus.documents.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("set").alias("sets"))
+        corpus = replace(corpus, sets=staged(sets, "sets"))
     asked = staged(asked, "asked")
     # Texts' lengths go along, texts stay.
     sized = replace(corpus, chunks=corpus.chunks.withColumn("n_text", F.length("text")))
-    live = staged(searchable(sized, tenant_id).select("chunk_id", "doc_id", "n_text", "types", "mime", "uri", "filename", "vendor", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids")), "live")
+    live = staged(searchable(sized, tenant_id).select("chunk_id", "doc_id", "n_text", "types", "mime", "uri", "filename", "vendor", "sets", "page_start", "page_end", "span_start", "span_end", F.col("meta.source_block_ids").alias("source_block_ids")), "live")
     facts, texts = live.drop("mime", "filename", "vendor"), corpus.chunks.select("chunk_id", "text")
     fused = staged(search_vector(asked, corpus, max(k, 32), now, tenant_id), "vector-leg")
     if hybrid:
         kw = staged(keyword_leg(asked, corpus, max(k, 100), live=_facts(live)), "keyword-leg")
         fused = (fusion.fuse_minmax if mode == "norm" else fusion.fuse_rrf)(fused, kw, alpha)
         fused = fusion.top_n(fused, max(50, 4 * k))
-    full = fusion.fetched(filters.restrict_docs(fused.join(facts.drop("n_text"), "chunk_id"), asked), texts)
+    full = fusion.fetched(filters.restrict_docs(fused.join(facts.drop("n_text", "sets"), "chunk_id"), asked), texts)
     if hybrid:
         # A second score, and what the question would rather see, before the diverse ones are picked.
         if scorer is not None:
@@ -128,7 +134,7 @@ def search(queries: DataFrame, corpus: Corpus, today: Column, now: Column, k: in
         full = picked.join(full.drop("rank"), ["query_id", "chunk_id"])
     hits = staged(fusion.cap_hits(full, 3, k), "hits")
     net = fusion.safety_net(asked, hits, facts, k)
-    net = fusion.fetched(net.select("query_id", "chunk_id", "score", "rank").join(facts.drop("n_text"), "chunk_id"), texts)
+    net = fusion.fetched(net.select("query_id", "chunk_id", "score", "rank").join(facts.drop("n_text", "sets"), "chunk_id"), texts)
     every = hits.select(*net.columns).unionByName(net)
     return fusion.expand_window(every, corpus.chunks)
 
