@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.keys import stable_id
 from ..functions.text import strip
 from ..sources.stage import staged
+from . import neighbors as N
 from .vectors import context_boost
 
 LEVELS = range(1, 7)
@@ -59,42 +63,34 @@ def _unpacked(key: Column) -> Column:
     return F.when(F.substring(key, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
-SIBLINGS = "shared_parent"
-
-
 def graph_neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 32) -> DataFrame:
     """(seed_id, node_id, rel): children, parents (``incoming_``) and siblings (``shared_parent``) of the
     seed blocks, at most ``limit`` of each seed in order of relation and place.
 
-    seeds: seed_id, block_id. Equi-joins throughout. Siblings are most of the rows: where a seed has them of one parent
-    alone, their ranks follow from their places among that parent's children, so they are written
-    where the parent's children are and move no more. Ids are packed on the way, once: nodes and edges
-    are staged so, and whatever they are made of is made once.
+    seeds: seed_id, block_id. The blocks of a seed, and what an edge ties, are of one document: nodes, edges and seeds are
+    dealt out by it, once, and each document's neighbours are found where its rows are. A task holds some documents' rows, and
+    half a million neighbours at once. Where ``doc_id`` is missing from seeds or edges, it is that of their node. Ids are packed on the way.
     """
-    n = staged(nodes.select(_packed(F.col("node_id")).alias("key"), "pos", _packed(F.col("source_block_id")).alias("block")), "nodes")
-    start = seeds.select("seed_id", _packed(F.col("block_id")).alias("block")).distinct().join(n.select("block", F.col("key").alias("own")), "block").select("seed_id", "own")
-    e = staged(edges.select(_packed(F.col("src_node_id")).alias("src"), _packed(F.col("dst_node_id")).alias("dst"), "rel_type"), "edges")
-    out = start.join(e, F.col("own") == F.col("src")).select("seed_id", F.col("dst").alias("key"), F.col("rel_type").alias("rel"))
-    into = start.join(e, F.col("own") == F.col("dst")).select("seed_id", F.col("src").alias("key"), F.concat(F.lit("incoming_"), "rel_type").alias("rel"))
-    order = Window.partitionBy("seed_id").orderBy("rel", "pos", _unpacked(F.col("key")))
-    near = out.unionByName(into).join(n, "key").repartition("seed_id").dropDuplicates(["seed_id", "rel", "key"])
-    # A parent's children in order, each once; an only child has no siblings.
-    by_parent = Window.partitionBy("src").orderBy("pos", _unpacked(F.col("dst")))
-    kids = e.select("src", "dst").join(into.select(F.col("key").alias("src")).distinct(), "src", "left_semi").repartition("dst").distinct().join(n.withColumnRenamed("key", "dst"), "dst")
-    kids = kids.withColumns({"nth": F.row_number().over(by_parent), "more": F.lead("dst").over(by_parent)}).filter((F.col("nth") > 1) | F.col("more").isNotNull()).drop("more")
-    under = start.join(kids.select(F.col("dst").alias("own"), "src", F.col("nth").alias("own_nth")), "own").select("seed_id", "src", "own_nth")
-    # What stands before a seed's siblings; ``homes``: parents of whom it has any; ``behind``: relations that sort after them.
-    had = near.groupBy("seed_id").agg(F.count_if(F.col("rel") < SIBLINGS).alias("before"), F.count_if(F.col("rel") >= SIBLINGS).alias("behind"))
-    homes = under.groupBy("seed_id").agg(F.count(F.lit(1)).alias("homes"), F.first("src").alias("src"), F.first("own_nth").alias("own_nth")).join(had, "seed_id", "left").fillna(0, ["before", "behind"])
-    # No seed takes more than ``limit`` siblings and itself: only a parent's first children move.
-    some = kids.filter(F.col("nth") <= limit + 1).withColumnRenamed("dst", "key")
-    sibling = F.lit(SIBLINGS).alias("rel")
-    met = lambda df: df.join(some, "src").filter("nth <> own_nth").withColumn("rel", sibling)
-    one = met(homes.filter("homes = 1 and behind = 0")).withColumn("rank", (F.col("before") + F.col("nth") - (F.col("own_nth") < F.col("nth")).cast("int")).cast("int"))
-    many = met(under.join(homes.filter("homes > 1 or behind > 0").select("seed_id"), "seed_id", "left_semi"))
-    mixed = near.unionByName(many.select(*near.columns)).dropDuplicates(["seed_id", "rel", "key"])
-    every = mixed.withColumn("rank", F.row_number().over(order)).unionByName(one.select(*near.columns, "rank"))
-    return every.filter(F.col("rank") <= limit).select(_unpacked(F.col("key")).alias("node_id"), "seed_id", "rel", "pos", F.when(F.col("block").isNotNull(), _unpacked(F.col("block"))).alias("source_block_id"), "rank")
+    home = lambda: F.xxhash64(F.col("doc_id").cast("string")).alias("home")  # noqa: E731  Documents that share one do no harm.
+    null = lambda t: F.lit(None).cast(t)
+    place, ident = nodes.schema["pos"].dataType, seeds.schema["seed_id"].dataType
+    if "doc_id" not in edges.columns:
+        edges = edges.join(nodes.select(F.col("node_id").alias("dst_node_id"), "doc_id").distinct(), "dst_node_id")
+    if "doc_id" not in seeds.columns:
+        seeds = seeds.join(nodes.select(F.col("source_block_id").alias("block_id"), "doc_id").distinct(), "block_id")
+    row = lambda k, a, b, rel, pos, seed: (home(), F.lit(k).cast("byte").alias("kind"), a.alias("a"), b.alias("b"), rel.alias("rel"), pos.alias("pos"), seed.alias("seed_id"))
+    n = nodes.select(*row(N.NODE, _packed(F.col("node_id")), _packed(F.col("source_block_id")), null("string"), F.col("pos"), null(ident)))
+    e = edges.select(*row(N.EDGE, _packed(F.col("src_node_id")), _packed(F.col("dst_node_id")), F.col("rel_type"), null(place), null(ident)))
+    s = seeds.select(*row(N.SEED, _packed(F.col("block_id")), null("binary"), null("string"), null(place), F.col("seed_id")))
+    rows = n.unionByName(e).unionByName(s).repartition("home").sortWithinPartitions("home")
+    kind = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("seed_id", ident), T.StructField("rel", T.StringType()), T.StructField("pos", place), T.StructField("block", T.BinaryType()), T.StructField("rank", T.IntegerType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in N.documents(batches):
+            for made in N.neighbors(some, limit):
+                yield pa.RecordBatch.from_arrays(made, names=kind.names)
+
+    return rows.mapInArrow(find, kind).select(_unpacked(F.col("key")).alias("node_id"), "seed_id", "rel", "pos", _unpacked(F.col("block")).alias("source_block_id"), "rank")
 
 
 def block_chunk_map(chunks: DataFrame) -> DataFrame:
@@ -109,12 +105,13 @@ def expand_hits(hits: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: Dat
 
     hits: query_id, rank, chunk_id, score_vec.
     """
-    where = chunks.select("chunk_id", F.explode("meta.source_block_ids").alias("block_id"))  # what is there twice counts once below
+    doc = ["doc_id"] if "doc_id" in chunks.columns else []
+    where = chunks.select("chunk_id", *doc, F.explode("meta.source_block_ids").alias("block_id"))  # what is there twice counts once below
     first = hits.filter(F.col("rank") <= limit)
-    seeds = first.join(where, "chunk_id").select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("chunk_id")).alias("seed_id"), "query_id", F.col("chunk_id").alias("from_chunk"), F.col("rank").alias("from_rank"), "score_vec", "block_id")
+    seeds = first.join(where, "chunk_id").select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("chunk_id")).alias("seed_id"), "query_id", F.col("chunk_id").alias("from_chunk"), F.col("rank").alias("from_rank"), "score_vec", "block_id", *doc)
     seeds = staged(seeds, "seeds")
-    near = graph_neighbors(seeds.select("seed_id", "block_id"), nodes, edges).select("seed_id", F.col("source_block_id").alias("block_id"), F.col("rank").alias("near_rank"))
-    found = near.join(seeds.drop("block_id").distinct(), "seed_id").join(where, "block_id")
+    near = graph_neighbors(seeds.select("seed_id", "block_id", *doc), nodes, edges).select("seed_id", F.col("source_block_id").alias("block_id"), F.col("rank").alias("near_rank"))
+    found = near.join(seeds.drop("block_id", *doc).distinct(), "seed_id").join(where.drop(*doc), "block_id")
     fresh = found.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     best = fresh.groupBy("query_id", "chunk_id").agg(F.min(F.struct("from_rank", "near_rank", "score_vec")).alias("m"))
     score = F.lit(0.6) * F.col("m.score_vec")

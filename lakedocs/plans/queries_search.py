@@ -198,9 +198,9 @@ def _(spark, d):
  select seed_id, 'follows' as rel, 1::bigint as n from f where next = 1 union all select seed_id, 'incoming_contains', 1 from f union all select seed_id, 'incoming_follows', 1 from f where last = 1 union all select seed_id, 'shared_parent', least(n - 1, 31 - next - last)::bigint from f where n > 1""")
 def _(spark, d):
     """The neighbours of every block, by relation."""
-    b = staged(D.line_blocks(spark, d).drop("span_start", "span_end"), "blocks")
+    b = staged(D.line_blocks(spark, d).drop("span_start", "span_end", "text"), "blocks").withColumn("text", F.lit(None).cast("string"))  # a label's, which isn't asked for
     nodes, edges = G.graph_nodes(b), G.contains_edges(b).unionByName(G.follows_edges(b))
-    seeds = b.select(F.concat("doc_id", F.lit("#"), "pos").alias("seed_id"), "block_id")
+    seeds = b.select("doc_id", F.concat("doc_id", F.lit("#"), "pos").alias("seed_id"), "block_id")
     return G.graph_neighbors(seeds, nodes, edges).groupBy("seed_id", "rel").agg(F.count(F.lit(1)).alias("n"))
 
 
