@@ -1,6 +1,7 @@
 """The inverted index as tables on disk: segments of postings, bucketed and sorted by term.
 
-A segment holds the postings of the chunks of one change in blocks, the change that it makes to each term's
+A segment holds the postings of the chunks of one change in blocks, which name chunks by numbers of eight bytes, the ids
+of those numbers, the change that it makes to each term's
 statistics (so old counts go down where chunks go), and the ids of the chunks that it replaces: their
 postings in earlier segments are dead. Questions are joined with each segment on its own buckets, so
 no posting is shuffled; a term's list is dealt to ``SPLIT`` parts, for the sake of terms that are in
@@ -10,12 +11,13 @@ every third chunk. Segments are merged when there are more than ``SEGMENTS``.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.stage import shuffles_go
@@ -28,6 +30,9 @@ WORDS = 500_000
 #: The table of a store that knows each chunk's terms, to take them out again.
 FORWARD = Table(("chunk_id",), 32)
 _BLOCK = "term string, part int, chunk_ids array<string>, lengths array<int>, ends array<int>, positions array<int>, leads int"
+#: What a posting on disk calls its chunk: the segment's place and the chunk's number there.
+_CALLED = "struct<segment:int,n:bigint>"
+_IDS = "chunk_id string, n long"
 _POSTING = "term string, part int, chunk_id string, tf int, positions array<int>, length int"
 
 
@@ -111,6 +116,15 @@ def _opened(blocks: DataFrame) -> DataFrame:
     return rows.select(*rest, "chunk_id", tf.alias("tf"), F.slice("positions", start + 1, tf).alias("positions"), F.get("lengths", F.col("_i")).alias("length"))
 
 
+def _chunk_number(chunk_id: Column, salt: int) -> Column:
+    return F.xxhash64(chunk_id, F.lit(salt))
+
+
+def _called(blocks: DataFrame, salt: int) -> DataFrame:
+    """Blocks with numbers for ids: an id is twice as long as all else of a posting."""
+    return blocks.withColumn("chunk_ids", F.transform("chunk_ids", lambda c: _chunk_number(c, salt)))
+
+
 def _table(spark: SparkSession, path: str, schema: StructType, by: tuple[str, ...]) -> DataFrame:
     """A bucketed table at ``path``, told to this session's catalog if it isn't yet."""
     name = "lakedocs_" + hashlib.md5(path.encode()).hexdigest()
@@ -130,13 +144,13 @@ def _write(df: DataFrame, path: str, by: tuple[str, ...], more: bool = False) ->
         dealt.write.mode("append" if more else "overwrite").format("parquet").bucketBy(BUCKETS, *by).sortBy("term").option("path", path).option("compression", "zstd").saveAsTable(name)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def _union(parts: list[DataFrame], again: str | None = "term") -> DataFrame:
     """Segments' rows together. The term is written anew: Spark takes a union of bucketed tables as dealt by their
     buckets, but adaptive execution may have read them otherwise, and a term's rows would then be summed apart."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out if len(parts) == 1 else out.withColumn("term", F.concat("term", F.lit("")))
+    return out if len(parts) == 1 or again is None else out.withColumn(again, F.concat(again, F.lit("")))
 
 
 class Index:
@@ -156,19 +170,41 @@ class Index:
     def _terms(self, segment: dict) -> DataFrame:
         return _table(self.spark, self._path(segment, "terms"), StructType.fromJson(segment["terms"]), ("term",))
 
+    def _ids(self, k: int) -> DataFrame:
+        return self.spark.read.schema(_IDS).parquet(self._path(self.segments[k], "ids"))
+
+    def _gone(self, k: int) -> DataFrame | None:
+        """The chunks that segments after ``k`` replace."""
+        gone = [self.spark.read.schema("chunk_id string").parquet(self._path(s, "gone")) for s in self.segments[k + 1 :] if s["gone"]]
+        return _union(gone, None) if gone else None
+
     def _alive(self, rows: DataFrame, k: int) -> DataFrame:
         """Rows of segment ``k`` without those of chunks that later segments replace."""
-        gone = [self.spark.read.schema("chunk_id string").parquet(self._path(s, "gone")) for s in self.segments[k + 1 :] if s["gone"]]
-        for g in gone:
-            rows = rows.join(g, "chunk_id", "left_anti")
-        return rows
+        gone = self._gone(k)
+        if gone is not None:
+            rows = rows.join(self._ids(k).join(gone, "chunk_id", "left_semi").select(F.col("n").alias("chunk_id")), "chunk_id", "left_anti")
+        return rows.withColumn("chunk_id", F.struct(F.lit(k).alias("segment"), F.col("chunk_id").alias("n")))
+
+    def ids(self) -> DataFrame:
+        """(called, chunk_id): the ids of what :meth:`find` calls the chunks, of those that are there."""
+        parts = []
+        for k in range(len(self.segments)):
+            rows, gone = self._ids(k), self._gone(k)
+            rows = rows if gone is None else rows.join(gone, "chunk_id", "left_anti")
+            parts.append(rows.select(F.struct(F.lit(k).alias("segment"), "n").alias("called"), "chunk_id"))
+        return _union(parts, None) if parts else self.spark.createDataFrame([], f"called {_CALLED}, chunk_id string")
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """Rows of :meth:`find`, or what was made of them, with their chunks' own ids."""
+        return rows.withColumnRenamed("chunk_id", "called").join(self.ids(), "called").select(*rows.columns)
 
     def find(self, asked: DataFrame) -> DataFrame:
-        """``asked``, which has ``term``, joined with the postings: chunk_id, tf, positions, length."""
+        """``asked``, which has ``term``, joined with the postings: chunk_id, tf, positions, length. Chunks are called by numbers
+        until they are :meth:`named`."""
         dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
         # Not broadcast, nor is the index shuffled: the asked terms go where their buckets are.
         found = [self._alive(_opened(dealt.hint("merge").join(self._blocks(s), ["term", "part"])).drop("part"), k) for k, s in enumerate(self.segments)]
-        return _union(found) if found else asked.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("chunk_id", "string"), ("tf", "int"), ("positions", "array<int>"), ("length", "int"))]).limit(0)
+        return _union(found) if found else asked.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("chunk_id", _CALLED), ("tf", "int"), ("positions", "array<int>"), ("length", "int"))]).limit(0)
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df): how many chunks hold each of ``terms`` (term), 0 left out."""
@@ -190,7 +226,7 @@ class Index:
     def postings(self) -> DataFrame:
         """All that is alive."""
         rows = [self._alive(_opened(self._blocks(s)), k) for k, s in enumerate(self.segments)]
-        return _union(rows) if rows else self.spark.createDataFrame([], _POSTING)
+        return self.named(_union(rows)) if rows else self.spark.createDataFrame([], _POSTING)
 
 
 class IndexWriter:
@@ -226,9 +262,10 @@ class IndexWriter:
             lost = old.join(self.spark.read.schema("chunk_id string").parquet(path("gone")), "chunk_id", "left_semi")
             minus = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         here["gone"] = minus[0] > 0
+        salt = self._number(ids if chunks is None else chunks.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct(), path("ids"))
         # One part after the other: disks hold the shuffle of one, and its blocks hold more chunks each.
         for k in range(SPLIT if chunks is not None else 1):
-            made = blocks_of(chunks, text_col, k) if chunks is not None else self.spark.createDataFrame([], _BLOCK)
+            made = _called(blocks_of(chunks, text_col, k) if chunks is not None else self.spark.createDataFrame([], _BLOCK), salt)
             _write(made, path("postings"), ("term", "part"), k > 0)
         here["postings"] = _json(made)
         mine = self.spark.read.schema(made.schema).parquet(path("postings"))
@@ -245,6 +282,14 @@ class IndexWriter:
         here |= {"chunks": plus[0] - minus[0], "length": int(plus[1]) - int(minus[1])}
         return self._merged([*segments, here], number)
 
+    def _number(self, ids: DataFrame, path: str) -> int:
+        """Writes the numbers of a segment's chunks (chunk_id), each of one chunk; returns what they were made with."""
+        for salt in itertools.count():
+            ids.select("chunk_id", _chunk_number(F.col("chunk_id"), salt).alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+            have = self.spark.read.schema(_IDS).parquet(path).agg(F.count("n"), F.countDistinct("n")).first()
+            if have[0] == have[1]:
+                return salt
+
     def _merged(self, segments: list[dict], number: int) -> list[dict]:
         """One segment of all, where there are more than ``SEGMENTS``."""
         if len(segments) <= SEGMENTS:
@@ -252,7 +297,8 @@ class IndexWriter:
         whole = Index(self.spark, self.root, segments)
         name = f"{number}m"
         path = lambda what: f"{self.root}/_index/seg={name}/{what}"
-        postings, terms = _blocks_again(whole.postings()), whole.terms()
+        salt = self._number(whole.ids().select("chunk_id"), path("ids"))
+        postings, terms = _called(_blocks_again(whole.postings()), salt), whole.terms()
         _write(postings, path("postings"), ("term", "part"))
         _write(terms, path("terms"), ("term",))
         return [{"number": name, "gone": False, "postings": _json(postings), "terms": _json(terms), "chunks": whole.chunks, "length": sum(s["length"] for s in segments)}]

@@ -27,7 +27,7 @@ def streamed(df: DataFrame, by: str | None = None, at_once: int = 1000) -> DataF
     """``df`` written in a few files and read as a stream, ``at_once`` files a batch; rows of one value of ``by`` together."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, "stream")
     dealt = df.repartition(4) if by is None else df.repartition(4, by)
-    dealt.write.parquet(path)
+    dealt.write.option("compression", "zstd").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", at_once).parquet(path)
 
 

@@ -81,9 +81,15 @@ def _put_documents(store: Store, docs: DataFrame, stream: str | None, batch: int
         "documents": (plain, None), "blocks": (blocks, ids), "chunks": (chunks, ids), "nodes": (G.graph_nodes(blocks), ids), "edges": (edges, ids),
         "vectors": (made, ids), "forward": (writer.forward(chunks), gone),
     }
-    new = store.change(changes, stream, batch, lambda n, now: now.notes | {"segments": writer.segment(n, now, chunks, gone)})
+
+    def index(n: int, now: Commit) -> dict:
+        """The last to be written; it reads chunks alone."""
+        dropped(blocks, plain)
+        return now.notes | {"segments": writer.segment(n, now, chunks, gone)}
+
+    new = store.change(changes, stream, batch, index)
     writer.expire()
-    dropped(blocks, plain, chunks, *held)
+    dropped(chunks, *held)
     return new
 
 
